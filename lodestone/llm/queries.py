@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, packing, token_files
+from lodestone.llm import exact_dedup, jaccard_join, packing, substring_dedup, token_files
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf, "documents"), width=20)
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf, "documents"))
 
@@ -30,12 +34,16 @@ def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(_table(spark, sf, "documents"), k=4, percent=85)
+
+
 def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_index_of(_table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op7_best_fit_packing, op9_token_files)}
+    return {f.__name__: f for f in (op3_substring_dedup, op5_exact_dedup, op7_best_fit_packing, op8_jaccard_join, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
