@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, jaccard_join, packing, substring_dedup, token_files
+from lodestone.llm import chat_format, exact_dedup, jaccard_join, langid, packing, substring_dedup, token_files, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -16,10 +16,32 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(_table(spark, sf, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf, "documents"), width=20)
 
 
+#: The rules of the URL query.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op4_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.url_verdicts(_table(spark, sf, "pages"), rules)
+
+
+OP4_SQL = r"""
+WITH r(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+p AS (SELECT row_number() OVER () AS k, page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+m AS (SELECT k, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY k ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS n
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.k = m.k AND m.n = 1"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf, "documents"))
 
@@ -30,6 +52,15 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)"""
 
 
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    planted = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(planted)
+    return chat_format.read_back(chat_format.windows(rows))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -43,8 +74,8 @@ def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op5_exact_dedup, op7_best_fit_packing, op8_jaccard_join, op9_token_files)}
+    return {f.__name__: f for f in (op1_language_id, op3_substring_dedup, op4_url_filters, op5_exact_dedup, op6_chat_format, op7_best_fit_packing, op8_jaccard_join, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op4_url_filters": OP4_SQL, "op5_exact_dedup": OP5_SQL}
