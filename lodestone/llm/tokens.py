@@ -14,8 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct pieces that a Python worker keeps of each kind before it starts anew.
-CACHE = 300_000
+#: Distinct pieces that a Python worker keeps before it starts anew.
+CACHE = 500_000
 
 
 class Encoder:
@@ -30,44 +30,50 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.by_pieces = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
-        self.line_end = self._encode(["\n"])[0]
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        if self.by_pieces:
+            vocab = self.tokenizer.get_vocab()
+            self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+            for token, k in vocab.items():  # each character of a byte-level token stands for one byte
+                self.n_bytes[k] = len(token)
+        self.kept: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, kept: dict[str, bytes], pieces: set[str], prefix: str) -> None:
-        new = [p for p in pieces if p not in kept]
-        kept.update(zip(new, self._encode([prefix + p for p in new])))
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces, many in one text, and cuts the ids where the bytes of a piece end."""
+        for k in range(0, len(pieces), 4000):
+            own = pieces[k : k + 4000]
+            texts = [p if p[0] == "\n" else " " + p for p in own]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(t.encode()) for t in texts])
+            at = np.cumsum(self.n_bytes[ids])
+            cuts = np.searchsorted(at, ends)
+            if np.array_equal(at[cuts], ends):
+                blob, cuts = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+                self.kept.update(zip(own, [blob[a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+            else:
+                self.kept.update(zip(own, self._encode(texts)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) > CACHE:
-            self.first.clear()
-        if len(self.spaced) > CACHE:
-            self.spaced.clear()
-        cut: list[list[list[str]] | None] = []
-        heads: set[str] = set()
-        tails: set[str] = set()
+        if len(self.kept) > CACHE:
+            self.kept.clear()
+        cut: list[list[str] | None] = []
+        seen: set[str] = set()
         for text in texts:
             words = text.split() if self.by_pieces else []
             gaps = len(words) - 1
-            if not words or len(text) - sum(map(len, words)) != gaps or text.count(" ") + text.count("\n") != gaps:
+            if gaps < 0 or len(text) - len("".join(words)) != gaps or text.count(" ") + text.count("\n") != gaps:
                 cut.append(None)
                 continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            for line in lines:
-                heads.add(line[0])
-                tails.update(line[1:])
-            cut.append(lines)
-        self._learn(self.first, heads, "")
-        self._learn(self.spaced, tails, " ")
-        whole = iter(self._encode([t for t, lines in zip(texts, cut) if lines is None]))
-        first, spaced = self.first, self.spaced
-        return [
-            next(whole) if lines is None else self.line_end.join([first[line[0]] + b"".join([spaced[w] for w in line[1:]]) for line in lines])
-            for lines in cut
-        ]
+            pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+            seen.update(pieces)
+            cut.append(pieces)
+        self._learn(list(seen.difference(self.kept)))
+        whole = iter(self._encode([t for t, pieces in zip(texts, cut) if pieces is None]))
+        ids = self.kept.__getitem__
+        # the line end put before the first word is one id
+        return [next(whole) if pieces is None else b"".join(map(ids, pieces))[4:] for pieces in cut]
 
 
 @lru_cache(maxsize=2)
