@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat_format, exact_dedup, jaccard_join, langid, packing, substring_dedup, token_files, url_filter
+from lodestone.llm import chat_format, decontaminate, exact_dedup, jaccard_join, langid, licences, packing, substring_dedup, token_files, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,20 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(_table(spark, sf, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contained_items(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), k=5, percent=80)
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+t AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM t GROUP BY 1)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
+FROM d JOIN t USING (s) JOIN n USING (item_id) GROUP BY 1, 2, 3 HAVING count(*) * 100 >= n_shingles * 80"""
+
+
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf, "documents"), width=20)
 
@@ -73,9 +87,13 @@ def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_index_of(_table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.licences(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_substring_dedup, op4_url_filters, op5_exact_dedup, op6_chat_format, op7_best_fit_packing, op8_jaccard_join, op9_token_files)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_substring_dedup, op4_url_filters, op5_exact_dedup, op6_chat_format, op7_best_fit_packing, op8_jaccard_join, op9_token_files, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_exact_dedup": OP5_SQL}
