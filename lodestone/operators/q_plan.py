@@ -72,9 +72,9 @@ FILTERS = [
     ("filter_gte", "day", "gte", "2024-10-01", "d >= DATE '2024-10-01'"),
     ("filter_lt", "amount", "lt", "100", "num < 100"),
     ("filter_lte_text", "code", "lte", "000050", "code <= '000050'"),
-    ("filter_contains", "path", "contains", "a-c", "coalesce(path, '') ILIKE '%a-c%'"),
+    ("filter_contains", "path", "contains", "n_1_", "coalesce(path, '') ILIKE '%n_1_%'"),
     ("filter_contains_wildcard", "code", "contains", "0_1%5", "coalesce(code, '') ILIKE '%0_1%5%'"),
-    ("filter_starts_with", "path", "starts_with", "asia-j", "coalesce(path, '') ILIKE 'asia-j%'"),
+    ("filter_starts_with", "path", "starts_with", "asia-nation_2", "coalesce(path, '') ILIKE 'asia-nation_2%'"),
     ("filter_ends_with", "code", "ends_with", "77", "coalesce(code, '') ILIKE '%77'"),
     ("filter_direct_child_of", "path", "direct_child_of", "ASIA", "regexp_matches(path, '(^|[-/＞>])ASIA[-/＞>][^-/＞>]+$')"),
     ("filter_in", "segment", "in", ["BUILDING", "MACHINERY", ""], "segment IN ('BUILDING', 'MACHINERY', '')"),
