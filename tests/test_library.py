@@ -146,3 +146,20 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     jobs.run_to(read(), out, check)
     keys = events.select("event_type", "user_id").distinct().count()
     assert before < spark.read.parquet(out).count() == keys
+
+
+def test_evidence_helpers(spark):
+    from lodestone.operators import evidence
+
+    assert evidence.overlap("abcdef", "efgh") == 2 and evidence.overlap("a", "b") == 0
+    rows = spark.createDataFrame([(1, 0, 1, "one two"), (1, 1, 2, "two three"), (1, 2, 3, "end")], "document_id long, place long, chunk_id long, content string")
+    got = {r.chunk_id: r.context for r in evidence.merged_neighbours(rows).collect()}
+    assert got[2] == "one two three\n\nend" and got[1] == "one two three"
+    assert evidence.next_profile_state("ready", "active", missing=3) == "building" and evidence.next_profile_state("ready", "active") == "active"
+    with pytest.raises(ValueError):
+        evidence.next_profile_state("draft", "active")
+    same = {"fingerprint": "f", "dimension": 2, "model": "m"}
+    assert evidence.compatibility(same, same, []) == "same"
+    other = same | {"fingerprint": "g"}
+    assert evidence.compatibility(same, other, []) == "unknown" and evidence.compatibility(same, other, [([1.0, 0.0], [1.0, 0.0])]) == "compatible"
+    assert evidence.compatibility(same, other | {"dimension": 3}, []) == "rebuild_required"
