@@ -152,9 +152,9 @@ def test_evidence_helpers(spark):
     from lodestone.operators import evidence
 
     assert evidence.overlap("abcdef", "efgh") == 2 and evidence.overlap("a", "b") == 0
-    rows = spark.createDataFrame([(1, 0, 1, "one two"), (1, 1, 2, "two three"), (1, 2, 3, "end")], "document_id long, place long, chunk_id long, content string")
+    rows = spark.createDataFrame([(1, 0, 1, "one two"), (1, 1, 2, "two three"), (1, 2, 3, "fin")], "document_id long, place long, chunk_id long, content string")
     got = {r.chunk_id: r.context for r in evidence.merged_neighbours(rows).collect()}
-    assert got[2] == "one two three\n\nend" and got[1] == "one two three"
+    assert got[2] == "one two three\n\nfin" and got[1] == "one two three"
     assert evidence.next_profile_state("ready", "active", missing=3) == "building" and evidence.next_profile_state("ready", "active") == "active"
     with pytest.raises(ValueError):
         evidence.next_profile_state("draft", "active")
