@@ -7,14 +7,18 @@ differ in H tokens at most, and the segments are allotted more than H in all (1
 indexed with its one-deletion neighbourhood, whose difference must then be 2 to be missed), some allotted segment matches.
 ``scheme`` chooses both by expected cost: small sets take deletions, larger ones more plain segments than H + 1.
 
-The spare segments pay for a second, per-set allocation: where keys are frequent a set skips that many of its smallest
-segments, which long lists of unlike sets have in common, and is looked up by the others; everyone is indexed by all.
-
-Equal sets are one node from the start. Short lists give their pairs directly. In long lists all pairs would grow with the
-square of the list, so each first gives pairs with one hub, the member that is in most long lists; of what the
-verified hub links leave apart, only nodes that can link at all are paired: a node whose tokens occur nowhere else
-in long lists to such an extent that no partner of its lists can reach the threshold is out. That leaves out no
-link. Every pair is verified on whole token sets, in 64-bit hashes of shingles.
+With spare segments, two sets that link agree in more segments than are spare. Short lists give their pairs with the
+number of lists that show them, and a pair shown by fewer lists than that, less the long lists that either set is in, is no
+candidate. This is the second, per-set allocation, by the cost that the lists turn out to have: a set may skip as many
+long lists, which unlike sets have in common, as there are spare segments. Only two sets with more of them can have a link
+that no short list shows.
+
+Equal sets are one node from the start. All pairs of a long list would grow with its square, so such sets first give pairs
+with one hub, the one that is in most long lists. What the verified hub links leave apart is compared without making pairs:
+nodes that can link at all meet by hub, in blocks of bounded size, where exact counts of common tokens come from
+matrix products, and only links between groups come out. A node cannot link if its tokens occur nowhere else in long lists
+to such an extent that no partner of its lists can reach the threshold. That leaves out no link. Every link is verified on
+whole token sets, in 64-bit hashes of shingles.
 
 Cases: null, empty and blank texts have an empty set and link with nothing. Texts of fewer than k words have one shingle,
 the whole sequence. A null doc_id is smaller than any other and then gives a null component_id. Repeated rows are
@@ -29,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
@@ -40,6 +44,10 @@ from lodestone.llm.words import mix, runs_hash, within_row, word_slices
 NULL_ID = -(1 << 63)
 #: Lists of more nodes are long.
 LONG = 8
+#: Bounds of a block of nodes that are compared with each other.
+BLOCK_NODES, BLOCK_TOKENS = 1000, 2_000_000
+#: Into so many parts the nodes of one group of tokens are dealt.
+NODE_PARTS = 64
 _TOKEN = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -58,7 +66,7 @@ def most_differing(percent: int, largest: int) -> int:
 
 @lru_cache(maxsize=None)
 def scheme(percent: int, largest: int) -> tuple[int, bool, int]:
-    """Number of segments, whether they have one-deletion neighbourhoods, and how many a set may skip, by the expected
+    """Number of segments, whether they have one-deletion neighbourhoods, and how many segments are spare, by the expected
     number of keys of a set plus what the likely empty segments would bring."""
     h = most_differing(percent, largest)
     empty = lambda m: 20.0 * m * np.exp(-largest / m) if m > 1 else 0.0
@@ -104,7 +112,7 @@ def _base(k: int):
     return run
 
 
-ENTRY = np.dtype([("key", "<u4"), ("probe", "u1"), ("n", "<u4"), ("node", "<i8")])
+ENTRY = np.dtype([("key", "<u4"), ("scheme", "u1"), ("n", "<u4"), ("node", "<i8")])
 
 
 def _scheme_entries(row, token, n, sig, percent: int, starts: np.ndarray):
@@ -115,7 +123,7 @@ def _scheme_entries(row, token, n, sig, percent: int, starts: np.ndarray):
     for low in np.unique(np.concatenate([band[n > 0], band[n > 0] - 1])):
         if low < 0:
             continue
-        m, deletion, spare = scheme(percent, int(starts[min(low + 2, len(starts) - 1)]) - 1)
+        m, deletion, _ = scheme(percent, int(starts[min(low + 2, len(starts) - 1)]) - 1)
         rows = np.flatnonzero((n > 0) & ((band == low) | (band == low + 1)))
         if not len(rows):
             continue
@@ -125,15 +133,10 @@ def _scheme_entries(row, token, n, sig, percent: int, starts: np.ndarray):
         cell = index[row[use]] * m + ((top[use] * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(len(rows) * m, np.uint64)
         np.add.at(sums, cell, value[use])
-        size = np.bincount(cell, minlength=len(sums))
         salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((int(low) + 1) << 32))
-        probe = np.ones(len(sums), np.uint8)
-        if spare:
-            order = np.argsort(size.reshape(-1, m), axis=1, kind="stable")[:, :spare]
-            np.put_along_axis(probe.reshape(-1, m), order, 0, axis=1)
-        yield mix(sums + np.tile(salt, len(rows))), probe, np.repeat(rows, m)
+        yield mix(sums + np.tile(salt, len(rows))), np.full(len(sums), low, np.uint8), np.repeat(rows, m)
         if deletion:
-            yield mix(sums[cell] - value[use] + np.tile(salt, len(rows))[cell]), np.ones(len(cell), np.uint8), rows[cell // m]
+            yield mix(sums[cell] - value[use] + np.tile(salt, len(rows))[cell]), np.full(len(cell), low, np.uint8), rows[cell // m]
 
 
 def _entries(k: int, percent: int, groups: int):
@@ -153,7 +156,7 @@ def _entries(k: int, percent: int, groups: int):
                 parts = list(_scheme_entries(row, token, n, sig, percent, np.append(starts, [-(-starts[-1] * 100 // percent)])))
                 key = np.concatenate([p[0] for p in parts])
                 rec = np.zeros(len(key), ENTRY)
-                rec["key"], rec["probe"] = key & np.uint64(0xFFFFFFFF), np.concatenate([p[1] for p in parts])
+                rec["key"], rec["scheme"] = key & np.uint64(0xFFFFFFFF), np.concatenate([p[1] for p in parts])
                 own = np.concatenate([p[2] for p in parts])
                 rec["n"], rec["node"] = n[own], sig[own]
                 group = ((key >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
@@ -165,49 +168,50 @@ def _entries(k: int, percent: int, groups: int):
     return run
 
 
-LISTS = "kind int, a long, b long"  # kind 0: a pair; 1: list a has node b; 2: so, and b is looked up by it
+#: kind 0: nodes a and b are in so many (weight) short lists of a scheme; kind 1: the long list a, which stands for so many
+#: equal ones, has node b. With the number of spare segments of the scheme.
+LISTS = "kind int, a long, b long, weight int, scheme int, spare int"
 
 
 def _lists(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rec = np.concatenate([np.frombuffer(b, ENTRY) for b in rows["blob"]])
-        rec = rec[np.lexsort((255 - rec["probe"], rec["node"], rec["key"]))]
-        new = np.concatenate([[True], (rec["key"][1:] != rec["key"][:-1]) | (rec["node"][1:] != rec["node"][:-1])])
-        rec = rec[new]
-        head = np.flatnonzero(np.concatenate([[True], rec["key"][1:] != rec["key"][:-1]]))
+        rec = rec[np.lexsort((rec["node"], rec["scheme"], rec["key"]))]
+        other = np.concatenate([[True], (rec["key"][1:] != rec["key"][:-1]) | (rec["scheme"][1:] != rec["scheme"][:-1])])
+        keep = other | np.concatenate([[True], rec["node"][1:] != rec["node"][:-1]])
+        rec, other = rec[keep], other[keep]
+        head = np.flatnonzero(other)
         size = np.diff(np.append(head, len(rec)))
-        kind, a, b = [], [], []
-        by = lambda part: (part["node"], part["n"].astype(np.int64), part["probe"])
+        starts = band_starts(percent, int(rec["n"].max()) * 2 + 2)
+        spare = np.array([scheme(percent, int(starts[low + 2]) - 1)[2] for low in range(int(rec["scheme"].max()) + 1)], np.int64)
+        out = []
+        a, b, low = [], [], []
         for many in range(2, LONG + 1):
             first = head[size == many]
             for i in range(many):
                 for j in range(i + 1, many):
-                    (x, nx, px), (y, ny, py) = by(rec[first + i]), by(rec[first + j])
-                    use = (px | py).astype(bool) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
-                    a.append(x[use])
-                    b.append(y[use])
+                    x, y = rec[first + i], rec[first + j]
+                    use = 100 * np.minimum(x["n"], y["n"]).astype(np.int64) >= percent * np.maximum(x["n"], y["n"]).astype(np.int64)
+                    a.append(x["node"][use])
+                    b.append(y["node"][use])
+                    low.append(x["scheme"][use].astype(np.int64))
         if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            kind, a, b = [np.zeros(len(pairs), np.int32)], [pairs[:, 0]], [pairs[:, 1]]
-        group = int(rows["group"].iloc[0])
+            pairs, count = np.unique(np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(low)], 1), axis=0, return_counts=True)
+            out.append(pd.DataFrame({"kind": 0, "a": pairs[:, 0], "b": pairs[:, 1], "weight": count, "scheme": pairs[:, 2], "spare": spare[pairs[:, 2]]}))
         long = size > LONG
-        # lists of the same nodes and lookups, as near copies have many of, are one list
-        at = np.repeat(long, size)
-        part, which = rec[at], np.repeat(np.arange(int(long.sum())), size[long])
+        part, which = rec[np.repeat(long, size)], np.repeat(np.arange(int(long.sum())), size[long])
         if len(part):
+            # lists of the same nodes, as near copies have many of, are one list
             sums = np.zeros(int(long.sum()), np.uint64)
-            np.add.at(sums, which, mix(part["node"].view(np.uint64) * np.uint64(2) + part["probe"]))
-            looked = np.bincount(which, part["probe"]) > 0
-            _, once = np.unique(sums, return_index=True)
-            keep = np.zeros(len(sums), bool)
-            keep[once] = True
-            use = (keep & looked)[which]
-            kind.append(1 + part["probe"][use].astype(np.int32))
-            a.append(which[use].astype(np.int64) + (group << 32))
-            b.append(part["node"][use])
-        if not kind:
-            return pd.DataFrame({"kind": np.zeros(0, np.int32), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return pd.DataFrame({"kind": np.concatenate(kind), "a": np.concatenate(a), "b": np.concatenate(b)})
+            np.add.at(sums, which, mix(part["node"].view(np.uint64) + part["scheme"].astype(np.uint64)))
+            _, once, weight = np.unique(sums, return_index=True, return_counts=True)
+            weights = np.zeros(len(sums), np.int64)
+            weights[once] = weight
+            use = weights[which] > 0
+            part, which = part[use], which[use]
+            lists = which.astype(np.int64) + (int(rows["group"].iloc[0]) << 32)
+            out.append(pd.DataFrame({"kind": 1, "a": lists, "b": part["node"], "weight": weights[which], "scheme": part["scheme"], "spare": spare[part["scheme"]]}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("kind", "a", "b", "weight", "scheme", "spare")})
 
     return run
 
@@ -248,6 +252,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
 
 
+def _block_links(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between nodes of different labels, within one block or between two; one for each pair of labels."""
+        rows = rows.drop_duplicates("node").sort_values("own", kind="stable")
+        lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
+        sets = [np.frombuffer(x, "<u8") for x in rows["tokens"]]
+        node, label = rows["node"].to_numpy(), rows["label"].to_numpy()
+        left = np.flatnonzero(rows["own"].to_numpy() == lo)
+        right = left if lo == hi else np.flatnonzero(rows["own"].to_numpy() == hi)
+        n = np.array([len(x) for x in sets], np.int64)
+        token, count = np.unique(np.concatenate(sets), return_counts=True)
+        token = token[count > 1]  # a token of one node is common to no two
+        both = np.zeros((len(left), len(right)), np.float32)
+        for k in range(0, len(token), 4096):
+            part = token[k : k + 4096]
+            have = np.zeros((len(sets), len(part)), np.float32)
+            for i, own in enumerate(sets):  # sets are sorted
+                own = own[np.searchsorted(own, part[0]) : np.searchsorted(own, part[-1], "right")]
+                at = np.searchsorted(part, own)
+                have[i, at[part[np.minimum(at, len(part) - 1)] == own]] = 1
+            both += have[left] @ have[right].T
+        both = both.astype(np.int64)
+        linked = (100 * both >= percent * (n[left][:, None] + n[right][None] - both)) & (label[left][:, None] != label[right][None])
+        x, y = np.nonzero(linked)
+        x, y = left[x], right[y]
+        _, once = np.unique(np.stack([np.minimum(label[x], label[y]), np.maximum(label[x], label[y])], 1), axis=0, return_index=True)
+        return pd.DataFrame({"a": node[x[once]], "b": node[y[once]]})
+
+    return run
+
+
 def _rare(groups: int):
     """By group of tokens: how many of each node's tokens no other node has."""
 
@@ -269,14 +304,22 @@ def _rare(groups: int):
             blobs = [(int(group[p[0]]), out[p].tobytes()) for p in np.split(order, np.flatnonzero(np.diff(group[order])) + 1)]
             yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], ["group", "blob"])
 
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
+    def alone(rows: pd.DataFrame) -> pd.DataFrame:
+        """The nodes of the tokens that one node has, dealt to parts by node."""
         rec = np.concatenate([np.frombuffer(b, [("token", "<u8"), ("node", "<i8"), ("many", "u1")]) for b in rows["blob"]])
         _, first, many = np.unique(rec["token"], return_index=True, return_counts=True)
-        alone = rec[first[(many == 1)]]
-        node, n = np.unique(alone["node"][alone["many"] == 0], return_counts=True)
+        rec = rec[first[many == 1]]
+        node = np.sort(rec["node"][rec["many"] == 0])
+        part = (mix(node.view(np.uint64)) % np.uint64(NODE_PARTS)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        blobs = [(int(part[p[0]]), node[p].tobytes()) for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(p)]
+        return pd.DataFrame(blobs, columns=["part", "blob"])
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        node, n = np.unique(np.concatenate([np.frombuffer(b, "<i8") for b in rows["blob"]]), return_counts=True)
         return pd.DataFrame({"node": node, "rare": n.astype(np.int64)})
 
-    return deal, count
+    return deal, alone, count
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -290,34 +333,42 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     nodes = written(nodes, "nodes")
     lists = rows.mapInArrow(_entries(k, percent, groups), "group int, blob binary").groupBy("group").applyInPandas(_lists(percent), LISTS)
     lists = written(lists, "lists")
-    long = lists.where("kind > 0").select(F.col("a").alias("list"), F.col("b").alias("node"), (F.col("kind") == 2).alias("probe"))
-    members = written(long.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).join(nodes, "node").select("node", "degree", "n"), "members")
-    hubs = long.join(members, "node").groupBy("list").agg(F.max(F.struct("degree", F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.min("n").alias("least")).select("list", "h.hub", "h.hub_n", "least")
+    long = lists.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"), "weight", "scheme", "spare")
+    # the sets that short lists may not do for
+    own = Window.partitionBy("node", "scheme")
+    bound = long.withColumn("long", F.sum("weight").over(own)).where("long > spare").select("list", "node", "weight")
+    members = bound.groupBy("node").agg(F.sum("weight").alias("degree")).join(nodes, "node").select("node", "degree", "n")
+    bound = written(bound.join(members, "node"), "bound")
+    members = bound.select("node", "n").distinct()
+    hubs = bound.groupBy("list").agg(F.max(F.struct("degree", F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.min("n").alias("least")).select("list", "h.hub", "h.hub_n", "least")
     hubs = written(hubs, "hubs")
-    stars = long.join(members, "node").join(hubs.hint("shuffle_merge"), "list").where(f"node != hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-    pairs = lists.where("kind = 0").select("a", "b").union(stars.select(F.least("node", "hub"), F.greatest("node", "hub"))).distinct()
+    stars = bound.join(hubs, "list").where(f"node != hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+    shown = lists.where("kind = 0").groupBy("a", "b", "scheme").agg(F.sum("weight").alias("shown"), F.first("spare").alias("spare"))
+    skipped = long.groupBy("node", "scheme").agg(F.sum("weight").alias("skipped"))
+    for side in ("a", "b"):
+        shown = shown.join(skipped.select(F.col("node").alias(side), "scheme", F.col("skipped").alias(f"skipped_{side}")), [side, "scheme"], "left")
+    enough = F.greatest(F.lit(1), F.col("spare") - F.least(F.coalesce("skipped_a", F.lit(0)), F.coalesce("skipped_b", F.lit(0))))
+    pairs = shown.where(F.col("shown") >= enough).select("a", "b").union(stars.select(F.least("node", "hub"), F.greatest("node", "hub"))).distinct()
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct().join(nodes, "node").select("doc_id", "node")
     sets = written(rows.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets(k), "node long, tokens binary"), "tokens")
     links = written(_verify(pairs, sets, percent), "links")
     labels = components(links)
     # what hubs left apart in long lists
-    deal, count = _rare(groups)
-    rare = sets.join(members.select("node"), "node", "left_semi").mapInArrow(deal, "group int, blob binary").groupBy("group").applyInPandas(count, "node long, rare long").groupBy("node").agg(F.sum("rare").alias("rare"))
-    near = long.join(hubs.select("list", "least"), "list").groupBy("node").agg(F.min("least").alias("least"))
+    deal, alone, count = _rare(groups)
+    rare = sets.join(members.select("node"), "node", "left_semi").mapInArrow(deal, "group int, blob binary").groupBy("group").applyInPandas(alone, "part int, blob binary").groupBy("part").applyInPandas(count, "node long, rare long")
+    near = bound.join(hubs.select("list", "least"), "list").groupBy("node").agg(F.min("least").alias("least"))
     able = members.join(near, "node").join(rare, "node", "left").withColumn("cap", F.col("n") - F.coalesce("rare", F.lit(0)))
     # the best partner is as large as the tokens that can be shared, or the least that its lists have
-    able = able.where(f"100 * cap >= {percent} * (n + greatest(cap, least) - cap)").select("node", "n", "cap")
-    able = able.join(labels, "node", "left").select("node", "n", "cap", F.coalesce("label", "node").alias("label"))
-    left = written(long.join(able, "node"), "left")
-    mixed = left.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("list")
-    left = written(left.join(mixed, "list"), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    apart = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.probe") | F.col("y.probe")))
-    both = F.least("x.cap", "y.cap")
-    apart = apart.where(F.lit(100) * both >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - both)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    apart = apart.join(pairs, ["a", "b"], "left_anti")
-    more = written(_verify(apart, sets, percent), "links")
+    able = able.where(f"100 * cap >= {percent} * (n + greatest(cap, least) - cap)").select("node", "cap")
+    able = able.join(labels, "node", "left").select("node", "cap", F.coalesce("label", "node").alias("label"))
+    left = written(bound.select("list", "node", "n").join(able, "node").join(hubs.select("list", "hub"), "list").select("hub", "node", "n", "label").distinct(), "left")
+    mixed = left.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens")).where("lo != hi")
+    blocks = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    left = left.join(mixed.select("hub", blocks.alias("blocks")), "hub").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label").join(sets, "node")
+    more = written(left.groupBy("hub", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long"), "links")
     labels = components(links.union(more)) if more.limit(1).count() else labels
     named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -61,6 +61,7 @@ def test_substring_dedup_edges(spark):
 @pytest.mark.parametrize("seed, k, percent, long", [(1, 4, 85, 8), (2, 5, 80, 3), (3, 1, 70, 2), (4, 2, 95, 4)])
 def test_jaccard_groups(spark, monkeypatch, seed, k, percent, long):
     monkeypatch.setattr(jaccard_join, "LONG", long)
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 7)
     docs = made_corpus(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(frame(spark, docs), k, percent).collect()}
     assert got == brute.jaccard_groups(docs, k, percent)
