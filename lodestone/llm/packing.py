@@ -2,9 +2,10 @@
 
 Method: Martello-Toth dominance reduction, then best-fit decreasing. All that decides where a piece goes is its length, so
 the plan is made on the histogram of lengths, which has as many entries as the sequence has tokens, whatever the size of
-the corpus. The reduction fixes small sets that dominate every alternative for the largest piece left (the piece alone
-where nothing fits; a pair that fills the sequence, or whose partner is as large as any two pieces that would fit);
-best-fit decreasing packs what is left. The plan is a list of patterns with multiplicities, a few thousand at most; each
+the corpus. The reduction fixes sets of up to three pieces that dominate every alternative for one of them (the piece alone
+where nothing fits; a pair that fills the sequence, or whose partner is as large as any two pieces that would fit; three
+pieces where no fourth fits and each other pair is dominated). It goes through all lengths, past those that have no such
+set, until nothing changes; best-fit decreasing packs what is left. The plan is a list of patterns with multiplicities, a few thousand at most; each
 piece finds its place from its rank among the pieces of its length, counted in salted groups so that a length shared by
 a third of all pieces is no hot key.
 
@@ -55,18 +56,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
 def _largest_pair(counts: np.ndarray, room: int) -> int:
     """The largest sum of two pieces left that is at most room; 0 if no two fit."""
-    best = 0
     there = np.flatnonzero(counts)
     there = there[there < room]
-    for a in there[::-1]:
-        if 2 * a <= best:
-            break
-        fits = there[: np.searchsorted(there, min(a, room - a), "right")]
-        if len(fits) and fits[-1] == a and counts[a] < 2:
-            fits = fits[:-1]
-        if len(fits):
-            best = max(best, int(a + fits[-1]))
-    return best
+    at = np.searchsorted(there, np.minimum(there, room - there), "right") - 1  # the larger piece's best partner
+    at -= (at >= 0) & (there[at] == there) & (counts[there] < 2)
+    return int((there + there[at])[at >= 0].max(initial=0))
 
 
 def _sum_of_smallest(counts: np.ndarray, many: int) -> int:
@@ -76,28 +70,46 @@ def _sum_of_smallest(counts: np.ndarray, many: int) -> int:
     return int(found.sum()) if len(found) == many else len(counts) * many
 
 
+def _dominating_set(counts: np.ndarray, j: int, capacity: int) -> list[int] | None:
+    """The lengths of a set of up to three pieces with j that dominates every set with j that fits; None if none is known."""
+    room = capacity - j
+    own = counts[: room + 1].copy()
+    if j <= room:
+        own[j] -= 1
+    fits = np.flatnonzero(own)
+    if not len(fits):
+        return [j]
+    k = int(fits[-1])
+    if k == room:
+        return [j, k]
+    if _sum_of_smallest(own, 3) <= room:
+        return None  # three more pieces fit, which may be better than any two
+    if _largest_pair(own, room) <= k:
+        return [j, k]
+    # with the largest partner k and the largest piece b beside both, a pair is dominated unless both of it are larger
+    # than b and it is larger than k
+    beside = own[: room - k + 1].copy()
+    if k <= room - k:
+        beside[k] -= 1
+    b = int(np.flatnonzero(beside)[-1]) if beside.any() else 0
+    own[: b + 1] = 0
+    return [j, k, b] if b and _largest_pair(own, room) <= k else None
+
+
 def reduce_by_dominance(counts: np.ndarray, capacity: int) -> tuple[list[tuple[Pattern, int]], np.ndarray]:
-    """Martello-Toth: takes dominating sets off the histogram; the sets with multiplicities, and what is left."""
+    """Martello-Toth: takes dominating sets off the histogram; the sets with multiplicities, and what is left. A length
+    that has no such set is left for the next round, and rounds go on until one takes nothing."""
     counts, fixed = counts.copy(), []
-    for j in range(capacity, 0, -1):
-        while counts[j]:
-            room = capacity - j
-            own = counts[: room + 1].copy()
-            if j <= room:
-                own[j] -= 1
-            fits = np.flatnonzero(own)
-            if not len(fits):
-                m = 1 if j <= room else int(counts[j])
-                fixed.append((((j, 1),), m))
-                counts[j] -= m
-                continue
-            k = int(fits[-1])
-            if k < room and (_sum_of_smallest(own, 3) <= room or _largest_pair(own, room) > k):
-                break  # more pieces may fit better than this partner
-            m = int(counts[j] // 2) if j == k else int(min(counts[j], counts[k]))
-            fixed.append((((j, 2),) if j == k else ((j, 1), (k, 1)), m))
-            counts[j] -= m
-            counts[k] -= m
+    before = -1
+    while len(fixed) != before:
+        before = len(fixed)
+        for j in range(capacity, 0, -1):
+            while counts[j] and (chosen := _dominating_set(counts, j, capacity)):
+                each = [(size, chosen.count(size)) for size in dict.fromkeys(chosen)]
+                m = min(int(counts[size]) // n for size, n in each)  # the set dominates as long as its pieces last
+                fixed.append((tuple(each), m))
+                for size, n in each:
+                    counts[size] -= n * m
     return fixed, counts
 
 

@@ -75,6 +75,55 @@ def test_plan_is_near_the_bound(seed):
     assert sum(m for _, m in plan) <= max(bound, large) * 1.03 + 1
 
 
+def fewest(pieces, capacity):
+    """The optimal number of sequences, by search."""
+    pieces = sorted(pieces, reverse=True)
+    best = len(pieces)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(pieces):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= pieces[k]:
+                left = list(rooms)
+                left.remove(room)
+                place(k + 1, [*left, room - pieces[k]])
+        place(k + 1, [*rooms, capacity - pieces[k]])
+
+    place(0, [])
+    return best
+
+
+def test_reduction_goes_past_a_length_it_cannot_fix():
+    counts = np.bincount([90, 60, 40, 55, 45, 3, 3, 3, 2], minlength=101)  # 90 has room for three pieces and more
+    fixed, rest = packing.reduce_by_dominance(counts, 100)
+    assert {pattern for pattern, _ in fixed} >= {((60, 1), (40, 1)), ((55, 1), (45, 1))}
+    assert rest[[60, 40, 55, 45]].sum() == 0
+
+
+def test_reduction_fixes_three_pieces():
+    fixed, rest = packing.reduce_by_dominance(np.bincount([50, 50, 30, 30, 19, 19], minlength=101), 100)
+    assert (((50, 2),), 1) in fixed
+    fixed, rest = packing.reduce_by_dominance(np.bincount([60, 20, 19, 18], minlength=101), 100)
+    assert fixed[0] == (((60, 1), (20, 1), (19, 1)), 1) and not rest.any()
+
+
+def test_reduction_keeps_the_optimum():
+    rng = np.random.default_rng(5)
+    kinds = set()
+    for _ in range(400):
+        capacity = int(rng.integers(8, 40))
+        pieces = rng.integers(1 + int(rng.integers(0, capacity // 4 + 1)), capacity + 1, int(rng.integers(2, 10)))
+        fixed, rest = packing.reduce_by_dominance(np.bincount(pieces, minlength=capacity + 1), capacity)
+        kinds |= {sum(n for _, n in pattern) for pattern, _ in fixed}
+        assert fewest(pieces, capacity) == sum(m for _, m in fixed) + fewest(np.repeat(np.arange(capacity + 1), rest), capacity)
+    assert kinds == {1, 2, 3}
+
+
 def test_exact_groups(spark):
     rows = [(5, "Ab C", "x"), (9, "aB c", "y"), (2, "É", None), (3, "é", None), (7, None, "z"), (8, "", "z"), (None, "n", "q"), (4, "x", "w"), (4, "x", "w")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, keep_id string")
