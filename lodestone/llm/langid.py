@@ -8,6 +8,11 @@ batches, as one matrix product for all filters (narrower ones have zeros at thei
 Training takes a bounded sample of labelled rows (``SAMPLE_DOCS``, with ``PIECES`` pieces of each), those with the least
 hash of their doc_id, and learns from text and lang only. It runs on the driver, on data of that bound.
 
+``recognised`` keeps the rows whose score is ``least_score`` at least. That threshold is calibrated on labelled rows that were not
+learned from (``CALIBRATION`` at most, by the least hash of doc_id): of n of them, the floor((n + 1) * CLEAN_LOSS)-th smallest score, so
+that a text like them falls below it with a chance of CLEAN_LOSS at most. Fewer than 1 / CLEAN_LOSS - 1 of them say nothing about so
+small a share; the threshold is 0 then. Without a model, every text with a letter is kept.
+
 Cases: a null text, or one without any letter, is ``und`` with score 0. Where no row is labelled, every text is ``und``. A
 null doc_id counts as held out. Repeated rows are predicted each. An empty table gives no rows. Other columns are not read.
 """
@@ -20,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +39,8 @@ EPOCHS, BATCH, RATE = 5, 64, 0.004
 #: Windows in one matrix product.
 AT_ONCE = 128
 UNKNOWN = "und"
+#: Of clean texts, the share that the threshold may cost, and the rows that it is set on.
+CLEAN_LOSS, CALIBRATION = 0.001, 4000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -135,40 +143,80 @@ def train_on(docs: DataFrame) -> Model | None:
     return train([t for t, _ in texts], [str(lang) for _, lang in texts]) if texts else None
 
 
+def judge(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray]:
+    """The language and the score of each text."""
+    pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    rows: list[int] = []
+    windows: list[np.ndarray] = []
+
+    def flush() -> None:
+        sizes = [len(w) for w in windows]
+        sums = np.add.reduceat(probabilities(model, np.concatenate(windows)), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        mean = sums / np.array(sizes)[:, None]
+        for k, p in zip(rows, mean):
+            pred[k], score[k] = model.langs[p.argmax()], min(1.0, float(p.max()))
+        rows.clear()
+        windows.clear()
+
+    for k, text in enumerate(texts):
+        if model is None or text is None or not _LETTER.search(text):
+            continue
+        rows.append(k)
+        windows.append(cut_windows(text.encode()))
+        if sum(map(len, windows[-64:])) > 4096 or len(windows) >= 1024:
+            flush()
+    if rows:
+        flush()
+    return pred, score
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds nothing to docs but gives doc_id, held_out, lang_pred and score of each row."""
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pred, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
-            rows: list[int] = []
-            windows: list[np.ndarray] = []
-
-            def judge() -> None:
-                sizes = [len(w) for w in windows]
-                sums = np.add.reduceat(probabilities(model, np.concatenate(windows)), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-                mean = sums / np.array(sizes)[:, None]
-                for k, p in zip(rows, mean):
-                    pred[k], score[k] = model.langs[p.argmax()], min(1.0, float(p.max()))
-                rows.clear()
-                windows.clear()
-
-            for k, text in enumerate(batch["text"]):
-                if model is None or text is None or not _LETTER.search(text):
-                    continue
-                rows.append(k)
-                windows.append(cut_windows(text.encode()))
-                if sum(map(len, windows[-64:])) > 4096 or len(windows) >= 1024:
-                    judge()
-            if rows:
-                judge()
+            pred, score = judge(batch["text"], model)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": pred, "score": score})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(run, schema)
 
 
+def threshold(scores: list[float], loss: float) -> float:
+    """Of n scores of clean texts, the floor((n + 1) * loss)-th smallest; 0 if they are too few for that."""
+    k = int((len(scores) + 1) * loss)
+    return sorted(scores)[k - 1] if k else 0.0
+
+
+def least_score(docs: DataFrame, model: Model | None) -> float:
+    """The threshold, set on labelled rows of docs that the model has not seen."""
+    if model is None:
+        return 0.0
+    unseen = docs.where(held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).withColumn("by", F.xxhash64("doc_id"))
+    few = unseen.select("by").orderBy("by").limit(CALIBRATION).agg(F.max("by").alias("last")).first()["last"]
+    if few is None:
+        return 0.0
+    found = predict(unseen.where(F.col("by") <= few), model).where(F.col("lang_pred") != UNKNOWN)
+    return threshold([r["score"] for r in found.select("score").limit(CALIBRATION).collect()], CLEAN_LOSS)
+
+
+def recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs whose text has a letter and, where there is a model, a score of least or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            if model is None:
+                keep = [bool(t and _LETTER.search(t)) for t in texts]
+            else:
+                pred, score = judge(texts, model)
+                keep = [p != UNKNOWN and s >= least for p, s in zip(pred, score)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Trains on docs (doc_id, text, lang) and predicts every row of it."""
     return predict(docs, train_on(docs))

@@ -1,10 +1,14 @@
 import hashlib
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, langid, url_filter
+sys.path.insert(0, str(Path(__file__).parents[2]))
+import corpus_pipeline  # noqa: E402
+from lodestone.llm import chat_format, langid, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,6 +41,33 @@ def test_training_never_sees_held_out_rows(spark):
     assert langid.train_on(poisoned).langs == ["a", "z"]
 
 
+def test_threshold_keeps_clean_text():
+    scores = [k / 1000 for k in range(999, -1, -1)]
+    assert langid.threshold(scores, 0.001) == 0.0 and langid.threshold(scores, 0.01) == 0.009
+    assert langid.threshold(scores[:998], 0.001) == 0.0 and langid.threshold([], 0.5) == 0.0
+
+
+def test_the_score_decides_in_the_pipeline(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CLEAN_LOSS", 0.02)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    model = langid.train_on(docs)
+    least = langid.least_score(docs, model)
+    rows = langid.predict(docs, model).collect()
+    held = sorted(r.score for r in rows if r.held_out and r.lang_pred != "und")
+    assert least == held[int((len(held) + 1) * 0.02) - 1] > 0
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in rows if r.lang_pred != "und" and r.score >= least}
+    lost = [r for r in rows if r.doc_id not in kept and r.lang_pred != "und"]
+    assert 0 < len(lost) <= 0.04 * len(rows)
+
+
+def test_without_labels_lettered_documents_stay(spark):
+    docs = spark.createDataFrame([(1, "the end", None, "s", 7), (2, "12 !!", None, "s", 5), (3, None, None, "s", 0), (None, "élan", None, None, 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [0, 1]
+    only_held = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(5).alias("n_chars")).where(langid.held_out())
+    assert corpus_pipeline.language_id(spark, only_held, SF).count() == only_held.count() > 0
+
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 URLS = {
     "http://a.example.org/es/1": ("a.example.org", "/es/1", "example.org/es/", "block"),
