@@ -20,8 +20,8 @@ earliest leaf stays; the windows of the others are removed. Words are compared b
 Windows are judged on the input, and earlier means a smaller doc_id, or an earlier start in the same document.
 
 Cases: a null text has no words. Texts of fewer than ``width`` words lose none. A null doc_id sorts before all others. Rows
-that share a doc_id are taken as one document's rows of unknown order: equal windows of both are repeats of each other,
-and of rows that are wholly equal none is removed as a copy of the other. An empty table gives no rows. Other columns are not read.
+that share a doc_id, or have none, are documents each, in the order they are read; where there are such rows, the jobs work
+on written row numbers (``row_ids``). An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.row_ids import OWN_ID, one_id_a_row
 from lodestone.llm.store import written
 from lodestone.llm.words import mix, runs_hash, text_buffers, within_row, word_slices
 
@@ -262,17 +263,18 @@ def remove_repeats(docs: DataFrame, width: int = 20, with_text: bool = False) ->
     if not K <= width <= 255:
         raise ValueError(f"width must be from {K} to 255")
     groups = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    entries = written(rows.mapInArrow(_entries(width), "key long, doc_id long, pos int"), "anchors")
+    docs = one_id_a_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), OWN_ID, "text")
+    entries = written(rows.select("doc_id", "text").mapInArrow(_entries(width), "key long, doc_id long, pos int"), "anchors")
     repeated = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
     repeated = written(repeated, "repeated")
     found = entries.join(repeated, "key").where("pos >= 0 or doc_id > least")
     marks = found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", (F.col("n") > GROUP).alias("hot"))).alias("marks"))
     marked = rows.join(marks, "doc_id", "left")
-    suffixes = marked.where("marks is not null").mapInArrow(_suffixes(width, groups), "group int, kind int, blob binary")
+    suffixes = marked.drop(OWN_ID).where("marks is not null").mapInArrow(_suffixes(width, groups), "group int, kind int, blob binary")
     spans = suffixes.groupBy("group").applyInPandas(_subtree(width), "doc_id long, begin long, end long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     copy = F.coalesce(F.exists("marks", lambda m: m["pos"] < 0), F.lit(False)).alias("copy")
-    judged = marked.join(spans, "doc_id", "left").select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", "spans", copy)
+    judged = marked.join(spans, "doc_id", "left").select(F.col(OWN_ID).alias("doc_id"), "text", "spans", copy)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return judged.mapInArrow(_kept_batches(width, with_text), schema)

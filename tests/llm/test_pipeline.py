@@ -37,3 +37,19 @@ def test_stages_keep_the_columns_of_documents(spark):
     for name, stage in corpus_pipeline.STAGES[:2]:
         assert stage(spark, docs, SF).columns == corpus_pipeline.COLUMNS
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_judge_rows_without_an_id_of_their_own(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    for id_ in (None, 7):
+        rows = [(id_, t, None, "s", 1) for t in (a, b, b, b + " more", "12 !!", c + " " + item)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+        left = []
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            docs = corpus_pipeline.written(stage(spark, docs, SF), "stage")
+            assert docs.columns == corpus_pipeline.COLUMNS
+            left.append(docs.count())
+        assert left == [5, 4, 3, 2]
+        kept = docs.collect()
+        assert {r.doc_id for r in kept} == {id_} and {r.text[:2] for r in kept} == {"a0", "b0"}

@@ -58,6 +58,16 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_rows_without_an_id_of_their_own(spark):
+    own = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    shared = own("s", 20)
+    one, two = f"{own('a', 70)} {shared} {own('b', 10)}", f"{own('c', 5)} {shared} {own('d', 5)}"
+    for id_ in (None, 4):
+        docs = spark.createDataFrame([(id_, one), (id_, two), (9, own("e", 25)), (id_, one)], "doc_id long, text string").coalesce(1)
+        got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(docs, with_text=True).collect())
+        assert got == sorted([(id_ or 0, 100, 0, one), (id_ or 0, 30, 20, f"{own('c', 5)} {own('d', 5)}"), (9, 25, 0, own("e", 25)), (id_ or 0, 100, 100, "")])
+
+
 @pytest.mark.parametrize("seed, k, percent, long", [(1, 4, 85, 8), (2, 5, 80, 3), (3, 1, 70, 2), (4, 2, 95, 4)])
 def test_jaccard_groups(spark, monkeypatch, seed, k, percent, long):
     monkeypatch.setattr(jaccard_join, "LONG", long)
