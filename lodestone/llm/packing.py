@@ -6,8 +6,8 @@ the corpus. The reduction fixes sets of up to three pieces that dominate every a
 where nothing fits; a pair that fills the sequence, or whose partner is as large as any two pieces that would fit; three
 pieces where no fourth fits and each other pair is dominated). It goes through all lengths, past those that have no such
 set, until nothing changes; best-fit decreasing packs what is left. The plan is a list of patterns with multiplicities, a few thousand at most; each
-piece finds its place from its rank among the pieces of its length, counted in salted groups so that a length shared by
-a third of all pieces is no hot key.
+piece finds its place from its rank among the pieces of its length. A length that more pieces share than one
+sort takes (``SORTS``) is counted in salted groups, their number taken from the count.
 
 Cases: a null text has the end id alone. Rows that share a doc_id are packed as separate documents. An empty table gives
 no rows. Only documents longer than a sequence are cut; their first piece takes the remainder. Other columns are not read.
@@ -19,14 +19,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.store import written
-from lodestone.llm.tokens import encoder, in_slices
+from lodestone.llm.tokens import encoder
 
-SALTS = 64
+#: Pieces of one length are numbered in sorts of a SORTS-th of all pieces, or of LEAST if that is more.
+SORTS, LEAST = 4096, 1000
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), in order of place
 
 
@@ -34,24 +35,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids of each piece."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, end_id)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            names = batch["doc_id"].tolist()
-            for a, b in in_slices(texts):
-                out = []
-                for name, ids in zip(names[a:b], enc.encode(texts[a:b])):
-                    ids += end
-                    n = len(ids) // 4
-                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
-                        own = ids[4 * s : 4 * e]
-                        out.append((name, k, s, e - s, zlib.crc32(own)) + ((np.frombuffer(own, "<u4").astype(np.int32),) if with_ids else ()))
-                frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-                yield frame.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+            for begin, end, ids, at in enc.encode(batch.column("text")):
+                n = np.diff(at)  # one at least
+                many = -(-n // capacity)
+                row = np.repeat(np.arange(end - begin), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                first = (n - (many - 1) * capacity)[row]
+                start = np.where(piece > 0, first + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first)
+                places = np.concatenate([[0], np.cumsum(length)])  # the pieces lie one after the other
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+                columns = [batch.column("doc_id").slice(begin, end - begin).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _largest_pair(counts: np.ndarray, room: int) -> int:
@@ -168,27 +171,36 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     for row in pieces.groupBy("length").count().collect():  # capacity rows at most
         counts[row["length"]] = row["count"]
     slots = pieces.sparkSession.sparkContext.broadcast(_slots(plan_sequences(counts, capacity), capacity))
-    salted = pieces.withColumn("salt", F.pmod(F.hash("doc_id", "piece"), F.lit(SALTS)))
-    own = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))  # capacity * SALTS rows at most
-    before = own.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    # a length that many pieces share is dealt to as many salts as its sorts need
+    most = max(LEAST, int(counts.sum()) // SORTS)
+    shared = [int(size) for size in np.flatnonzero(counts > most)]
+    salts = [F.lit(x) for size in shared for x in (size, int(-(-counts[size] // most)))]
+    salt = F.pmod(F.hash("doc_id", "piece"), F.coalesce(F.create_map(*salts)[F.col("length").cast("int")], F.lit(1))) if salts else F.lit(0)
+    salted = pieces.withColumn("salt", salt)
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("salt", "before")
-    names = [f for f in pieces.schema.fields]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + ", sequence_id long, offset long"
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    if salts:
+        own = salted.where(F.col("length").isin(shared)).groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+        before = own.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+        ranked = ranked.join(F.broadcast(before), ["length", "salt"], "left")  # 2 * SORTS rows at most
+        ranked = ranked.withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
+    names = pieces.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seq, off = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            for size in np.unique(length):
-                at, table = np.flatnonzero(length == size), slots.value[size]
-                first, each, base, start = table[np.searchsorted(table[:, 0], rank[at], "right") - 1].T
-                seq[at] = base + (rank[at] - first) // each
-                off[at] = start + (rank[at] - first) % each * size
-            batch["sequence_id"], batch["offset"] = seq, off
-            yield batch.drop(columns="rank")
-
-    return ranked.select(*[f.name for f in names], "rank").mapInPandas(place, schema)
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            order = np.argsort(length, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+                if len(at):
+                    size = int(length[at[0]])
+                    table = slots.value[size]
+                    first, each, base, start = table[np.searchsorted(table[:, 0], rank[at], "right") - 1].T
+                    sequence[at] = base + (rank[at] - first) // each
+                    offset[at] = start + (rank[at] - first) % each * size
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+
+    return ranked.select(*names, F.col("rank").cast("long").alias("rank")).mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

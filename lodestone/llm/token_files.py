@@ -20,23 +20,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.store import new_path
-from lodestone.llm.tokens import encoder, in_slices
+from lodestone.llm.tokens import encoder
 
 FILE_SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
 def _encode_batches(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        enc = encoder(path, end_id)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id")
-            for a, b in in_slices(texts):
-                parts = [x + end for x in enc.encode(texts[a:b])]
-                sizes = np.array([len(x) // 4 for x in parts], np.int64)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                flat = pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32, copy=False))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n_tokens", "ids"])
+            for begin, end, ids, at in enc.encode(batch.column("text")):
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pa.array(np.diff(at)), lists], ["doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -64,6 +59,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FILE_SCHEMA).parquet(path).select("doc_id", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def read_tokens_of(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """doc_id and ids of the documents from first to last: row groups and pages of other ranges are not read."""
+    return spark.read.schema(FILE_SCHEMA).parquet(path).where(F.col("doc_id").between(first, last)).select("doc_id", "ids")
+
+
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")

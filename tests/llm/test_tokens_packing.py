@@ -2,13 +2,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import exact_dedup, packing, token_files
+from lodestone.llm import exact_dedup, packing, token_files, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["a b\nc", None, "", "  two  spaces \n\n end ", "tab\there\x0b", "it's we'll\nDon't", " lead", "trail\n", "ünï ” “ 数字 12 34", "nbsp x  y", "<|endoftext|> ok", "x" * 9000, "w " * 5000, "a b\nc"]
+TEXTS = ["Stop. stop, ünï; stop. don't! x1. Stop.\nStop. end?!", "a b\nc", None, "", "  two  spaces \n\n end ", "tab\there\x0b", "it's we'll\nDon't", " lead", "trail\n", "ünï ” “ 数字 12 34", "nbsp x  y", "<|endoftext|> ok", "x" * 9000, "w " * 5000, "a b\nc"]
 
 
 def docs(spark, texts=TEXTS):
@@ -32,6 +35,50 @@ def test_token_files_round_trip(spark, encoding):
         start += len(ids)
 
 
+def test_encoder_is_exact_when_it_drops_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    monkeypatch.setattr(tokens, "SLICE", 60)
+    rng = np.random.default_rng(3)
+    words = ["word", "Word.", "x1", "ünï,", "(in", "don't", "\u00e9\u0301", "…", "long" * 9, "e.", "n" * 70]
+    texts = [" ".join(str(w) for w in rng.choice(words, 9)) + str(k) for k in range(60)] + [t or "" for t in TEXTS]
+    enc = tokens.Encoder(PATH, 0)
+    got = [ids[a:b] for _, _, ids, at in enc.encode(pa.array(texts)) for a, b in zip(at[:-1], at[1:])]
+    assert len(got) == len(texts) and len(enc.kept) < 120
+    for text, ids in zip(texts, got):
+        assert np.array_equal(ids, reference_ids(text))
+
+
+def test_selective_reads_touch_few_pages(spark, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    token_files.write_token_files(rows, path, PATH, row_group_mb=1, page_rows=100)
+    metas = [pq.ParquetFile(f).metadata for f in sorted((tmp_path / "tokens").glob("*.parquet"))]
+    column = lambda m, g, name: next(c for c in map(m.row_group(g).column, range(m.num_columns)) if c.path_in_schema.startswith(name))
+    assert all(column(m, g, "doc_id").has_column_index and column(m, g, "ids").has_offset_index for m in metas for g in range(m.num_row_groups))
+    wanted = token_files.read_tokens_of(spark, path, 1000, 1010)
+    assert sorted(r.doc_id for r in wanted.collect()) == list(range(1000, 1011))
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,1000), LessThanOrEqual(doc_id,1010)]" in plan and "ReadSchema: struct<doc_id:bigint,ids:array<int>>" in plan
+    sizes = spark.read.parquet(path).select("n_tokens")
+    assert "ReadSchema: struct<n_tokens:bigint>" in sizes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, "a b"), (None, "c"), (7, "x y z"), (7, "x y z"), (7, None)], "doc_id long, text string")
+    files = token_files.token_index_of(rows, PATH).collect()
+    assert sorted(r.n_tokens for r in files) == sorted(len(reference_ids(t)) for t in ("a b", "c", "x y z", "x y z", ""))
+    assert [r.doc_id for r in sorted(files, key=lambda r: r.start)] == [None, None, 7, 7, 7]
+    packed = packing.pack_documents(rows, PATH, 16).collect()
+    assert len(packed) == 5 and len({(r.sequence_id, r.offset) for r in packed}) == 5
+
+
+def test_ranks_of_a_frequent_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LEAST", 7)
+    rows = packing.pack_documents(docs(spark, ["a b"] * 100 + ["a b c"] * 5), PATH, 16).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 105
+    assert max(r.offset + r.length for r in rows) <= 16
+
+
 def test_token_files_empty(spark):
     assert token_files.token_index_of(docs(spark, []), PATH).count() == 0
 
