@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column
 
+#: What stands between the parts of a path (fixed values).
 SEPARATORS = "-/＞>"
 
 

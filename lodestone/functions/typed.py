@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 RAW_VALUE = "（原始值：([^）]*)）$"
 #: What may stand around the digits of a number (fixed values).
 NUMBER_NOISE = r"[,，\s￥¥$元%]"
+ISO_DATE = r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}\s*$"
 DATE_PARTS = r"^\s*(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?\s*$"
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "是", "否"]
 
@@ -30,8 +31,8 @@ def exact_number(text: Column) -> Column:
 
 
 def date(text: Column) -> Column:
-    """DATE of an ISO cell, with - or / between the parts."""
-    return F.coalesce(text.try_cast("date"), F.try_to_date(text, "yyyy/M/d"))
+    """DATE of an ISO cell, with - or / between its three parts; a year or a month alone is no day."""
+    return F.when(text.rlike(ISO_DATE), F.replace(F.trim(text), F.lit("/"), F.lit("-")).try_cast("date"))
 
 
 def calendar_date(text: Column) -> Column:

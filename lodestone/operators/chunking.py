@@ -60,6 +60,41 @@ def pack(texts: list[tuple[int, str]], target: int, most: int, least: int) -> li
     return [tuple(x) for x in out]
 
 
+def candidate_windows(rows: DataFrame, chars: int = 6000, many: int = 32) -> DataFrame:
+    """Numbers the windows of each document's blocks: one ends before its characters or blocks would be too many, and a heading of the
+    first level begins one. Blocks of a document are few enough for a task; it is packed in order."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("place")
+        win, size, count, out = 0, 0, 0, []
+        for text, kind in zip(own["text"], own["kind"]):
+            if count and (size + len(text) > chars or count == many or kind == "heading" and text.startswith("# ")):
+                win, size, count = win + 1, 0, 0
+            size, count = size + len(text), count + 1
+            out.append(win)
+        return own.assign(win=out)
+
+    return rows.groupBy("document_id").applyInPandas(run, "document_id long, place long, kind string, text string, win int")
+
+
+def row_parts(rows: DataFrame, size: int) -> DataFrame:
+    """n, part and text of table rows (n, line): a line longer than size is cut into parts that name their row, part and number of parts."""
+    k = F.greatest(F.ceil(F.length("line") / size), F.lit(1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substring("line", i * size + 1, F.lit(size)))
+    rows = rows.select("n", k.alias("k"), F.posexplode(parts).alias("i", "body"))
+    head = F.concat(F.lit("行 "), F.col("n").cast("string"), F.lit("｜【片段 "), (F.col("i") + 1).cast("string"), F.lit("/"), F.col("k").cast("string"), F.lit("】"))
+    return rows.select("n", (F.col("i") + 1).alias("part"), F.when(F.col("k") == 1, F.col("body")).otherwise(F.concat(head, "body")).alias("text"))
+
+
+def uncovered(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """document_id, lines and characters of the lines (document_id, begin, end) that the spans (the same) leave out in part, each document once."""
+    last = spans.groupBy("document_id").agg(F.max("end").alias("end"))
+    ends = lines.groupBy("document_id").agg(F.max("end").alias("until")).join(last, "document_id", "left").select("document_id", F.coalesce("end", F.lit(0)).alias("begin"), F.col("until").alias("end")).where("begin < end")
+    gaps = coverage_gaps(spans).unionByName(ends).select("document_id", F.col("begin").alias("from"), F.col("end").alias("to"))
+    missed = lines.join(gaps, "document_id").where("from < end and to > begin").groupBy("document_id").agg(F.sum(F.least("to", "end") - F.greatest("from", "begin")).alias("missed"))
+    return lines.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_lines")).join(missed, "document_id", "left").select("document_id", "n_lines", F.coalesce("missed", F.lit(0)).alias("uncovered"))
+
+
 def child_chunks(documents: DataFrame, profile: str = "general") -> DataFrame:
     """Chunks of the whole text of each document, with their place in it. A document is one row already, so nothing is
     shuffled; packing is sequential inside it."""

@@ -56,3 +56,8 @@ def feature_evidence(candidates: DataFrame, features: list[str], title_weight: f
     scores = long.withColumn("weight", weight).groupBy("document_id", "chunk_id", "rank", "anchor").agg(F.round(F.sum("weight"), 6).alias("score"))
     best = scores.groupBy("document_id").agg(F.max(F.struct("score", "anchor", (-F.col("rank")).alias("r"), (-F.col("chunk_id")).alias("c"))).alias("b"))
     return best.select("document_id", (-F.col("b.c")).alias("chunk_id"), "b.score")
+
+
+def page(rows: DataFrame, order: list, limit: int = 20, offset: int = 0, most: int = 50) -> DataFrame:
+    """A page of ranked rows; pages have most rows at most."""
+    return rows.orderBy(*order).offset(offset).limit(min(limit, most))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import typed
@@ -65,7 +65,9 @@ def samples(rows: DataFrame, columns: list[str], most: int = 8) -> DataFrame:
     """The first distinct values of each column in row order; only the least row of each value is shuffled on."""
     long = unpivot(rows, columns).where("cell is not null and cell <> ''")
     first = long.groupBy("name", "cell").agg(F.min("row_number").alias("row"))
-    return first.groupBy("name").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("row", "cell"))), 1, most), lambda x: x["cell"]), "|").alias("samples"))
+    # the group limit is applied before the shuffle by name too, so a task gives most rows of a column at most
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("row", "cell"))).where(F.col("place") <= most)
+    return first.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "cell"))), lambda x: x["cell"]), "|").alias("samples"))
 
 
 def dataset_quality(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -30,9 +30,9 @@ def parse_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return C.blocks(documents(spark, sf))
 
 
-@query("parse_note", LINES + r" SELECT document_id, place, CASE WHEN regexp_matches(line, '^#{1,6}\s*\S') THEN 'heading' WHEN regexp_matches(line, '^\s*([-*+]|\d+[.)])\s+') THEN 'list_item' WHEN regexp_matches(line, '^\s*>') THEN 'blockquote' WHEN contains(line, ' | ') THEN 'table' ELSE 'paragraph' END AS kind FROM lines WHERE trim(line) <> '' AND document_id < 100")
+@query("parse_note", LINES + r" SELECT document_id, place, CASE WHEN regexp_matches(line, '^#{1,6}\s*\S') THEN 'heading' WHEN regexp_matches(line, '^\s*([-*+]|\d+[.)])\s+') THEN 'list_item' WHEN regexp_matches(line, '^\s*>') THEN 'blockquote' WHEN contains(line, ' | ') THEN 'table' ELSE 'paragraph' END AS kind FROM lines WHERE trim(line) <> ''")
 def parse_note(spark: SparkSession, sf: str) -> DataFrame:
-    return C.blocks(documents(spark, sf).where("document_id < 100"), heading=r"^#{1,6}\s*\S").select("document_id", "place", "kind")
+    return C.blocks(documents(spark, sf), heading=r"^#{1,6}\s*\S").select("document_id", "place", "kind")
 
 
 @query("block_type_counts", BLOCKS + "SELECT kind, count(*) AS n FROM blocks GROUP BY 1")
@@ -45,7 +45,7 @@ def chunk_type(spark: SparkSession, sf: str) -> DataFrame:
     return C.blocks(documents(spark, sf)).groupBy("document_id").agg(F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("mixed").alias("chunk_type"))
 
 
-OPENS = "place = 0 OR length(text) < 30"
+OPENS = "kind = 'heading'"
 
 
 @query("sectionize", BLOCKS + f"SELECT document_id, place, CAST(sum(CASE WHEN {OPENS} THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY place) AS BIGINT) AS section FROM blocks")
@@ -110,16 +110,19 @@ def parser_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.when(p.endswith(".html"), "html").when(p.endswith(".md"), "markdown").when(p.endswith("/"), "folder").otherwise("text").alias("parser"))
 
 
-@query("sanitize_unicode", "SELECT doc_id, length(text) AS n, replace(text, chr(1), '') AS text FROM documents WHERE doc_id < 50")
+@query("sanitize_unicode", "SELECT doc_id, length(text) AS n, replace(text, chr(1), '') AS text FROM documents")
 def sanitize_unicode(spark: SparkSession, sf: str) -> DataFrame:
     dirty = F.concat(F.lit("\0"), F.col("text"), F.lit("\0"))
     clean = F.make_valid_utf8(F.translate(dirty, "\0", ""))
-    return table(spark, sf, "documents").where("doc_id < 50").select("doc_id", F.length(clean).alias("n"), clean.alias("text"))
+    return table(spark, sf, "documents").select("doc_id", F.length(clean).alias("n"), clean.alias("text"))
 
 
-@query("import_batch", "SELECT doc_id FROM documents WHERE doc_id <= 700 AND lang <> 'en' ORDER BY doc_id LIMIT 50")
+@query("import_batch", "SELECT doc_id FROM documents WHERE doc_id <= (SELECT max(doc_id) FROM documents) AND lang <> 'en' ORDER BY doc_id LIMIT 50")
 def import_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("doc_id <= 700 AND lang <> 'en'").orderBy("doc_id").select("doc_id").limit(50)
+    """The first batch up to the id that is the greatest when the import begins; rows that come later are not part of it."""
+    rows = table(spark, sf, "documents")
+    through = rows.agg(F.max("doc_id").alias("through_id"))
+    return rows.join(F.broadcast(through), F.col("doc_id") <= F.col("through_id")).where("lang <> 'en'").orderBy("doc_id").select("doc_id").limit(50)
 
 
 @query("sink_export", "SELECT '# ' || source || chr(10) || chr(10) || text AS value FROM documents")
@@ -145,10 +148,10 @@ def source_db_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(f.name, i + 1) for i, f in enumerate(fields)], "name string, place int")
 
 
-@query("ocr_line_aggregate", r"""WITH w AS (SELECT doc_id, i, i // 8 AS line, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE doc_id < 60)))
+@query("ocr_line_aggregate", r"""WITH w AS (SELECT doc_id, i, i // 8 AS line, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))
 SELECT doc_id, line, string_agg(word, ' ' ORDER BY i) AS text, min(i % 8 * 10) AS x0, max(i % 8 * 10 + length(word)) AS x1, round(avg(i % 100), 4) AS confidence FROM w GROUP BY 1, 2""")
 def ocr_line_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    w = table(spark, sf, "documents").where("doc_id < 60").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).withColumn("line", F.floor(F.col("i") / 8))
+    w = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).withColumn("line", F.floor(F.col("i") / 8))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ")
     x = F.col("i") % 8 * 10
     return w.groupBy("doc_id", "line").agg(text.alias("text"), F.min(x).alias("x0"), F.max(x + F.length("word")).alias("x1"), F.round(F.avg(F.col("i") % 100), 4).alias("confidence"))
@@ -197,9 +200,9 @@ def content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
 
 
-@query("bounded_parent", "SELECT doc_id, CASE WHEN length(text) <= 2000 THEN text ELSE substr(text, 1, 998) || chr(10) || '…' || chr(10) || right(text, 999) END AS parent FROM documents")
+@query("bounded_parent", "SELECT doc_id, CASE WHEN length(text) <= 80000 THEN text ELSE substr(text, 1, 39998) || chr(10) || '…' || chr(10) || right(text, 39999) END AS parent FROM documents")
 def bounded_parent(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.bounded(F.col("text"), 2000).alias("parent"))
+    return table(spark, sf, "documents").select("doc_id", T.bounded(F.col("text"), 80_000).alias("parent"))
 
 
 @query("merge_extras", BLOCKS + "SELECT document_id, min(place) AS row_start, max(place) AS row_end, round(avg(length(text)), 4) AS confidence FROM blocks WHERE kind = 'table' GROUP BY 1")
@@ -254,11 +257,11 @@ def chunk_inspect(spark: SparkSession, sf: str) -> DataFrame:
     return C.blocks(documents(spark, sf)).orderBy("document_id", "place").offset(80).limit(40).select("document_id", "place", F.substring("text", 1, 2400).alias("text"))
 
 
-@query("ai_input_sample", "SELECT doc_id, CASE WHEN length(text) <= 800 THEN text ELSE substr(text, 1, 300) || substr(text, length(text) // 2 - 99, 200) || right(text, 300) END AS sample FROM documents")
+@query("ai_input_sample", "SELECT doc_id, CASE WHEN length(text) <= 8000 THEN text ELSE substr(text, 1, 3000) || substr(text, length(text) // 2 - 999, 2000) || right(text, 3000) END AS sample FROM documents")
 def ai_input_sample(spark: SparkSession, sf: str) -> DataFrame:
     n, t = F.length("text"), F.col("text")
-    middle = F.substring(t, F.floor(n / 2).cast("int") - 99, F.lit(200))
-    return table(spark, sf, "documents").select("doc_id", F.when(n <= 800, t).otherwise(F.concat(F.substring(t, 1, 300), middle, F.substring(t, -300, 300))).alias("sample"))
+    middle = F.substring(t, F.floor(n / 2).cast("int") - 999, F.lit(2000))
+    return table(spark, sf, "documents").select("doc_id", F.when(n <= 8000, t).otherwise(F.concat(F.substring(t, 1, 3000), middle, F.substring(t, -3000, 3000))).alias("sample"))
 
 
 @query("document_map", BLOCKS + "SELECT document_id, 'v1:' || sha256(text) || ':b' || place AS block_id, kind FROM blocks")

@@ -134,10 +134,10 @@ def citation_whitelist(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("k", ((F.size(left) == 0) & (F.size("cited") > 0)).alias("supported"), F.array_join(left, ",").alias("unknown"))
 
 
-@query("supporting_evidence", CHUNKS + ", h AS (SELECT * FROM chunks WHERE place = 0), a AS (SELECT document_id, chunk_id AS anchor_id, content AS body, place AS rank FROM chunks WHERE place BETWEEN 1 AND 4) SELECT h.document_id, h.chunk_id, arg_min(anchor_id, rank) AS anchor_id FROM h JOIN a ON a.document_id = h.document_id WHERE NOT contains(h.content, body) GROUP BY 1, 2")
+@query("supporting_evidence", CHUNKS + ", h AS (SELECT * FROM chunks WHERE place = 0), a AS (SELECT document_id, chunk_id AS anchor_id, content AS body, place AS rank FROM chunks WHERE place >= 1) SELECT h.document_id, h.chunk_id, arg_min(anchor_id, rank) AS anchor_id FROM h JOIN a ON a.document_id = h.document_id WHERE NOT contains(h.content, body) GROUP BY 1, 2")
 def supporting_evidence(spark: SparkSession, sf: str) -> DataFrame:
     rows = chunks(spark, sf).withColumn("version", F.lit(1))
-    anchors = rows.where("place between 1 and 4").withColumns({"rank": F.col("place"), "kind": F.lit("paragraph")})
+    anchors = rows.where("place >= 1").withColumns({"rank": F.col("place"), "kind": F.lit("paragraph")})
     return E.supporting(rows.where("place = 0"), anchors)
 
 
@@ -173,12 +173,13 @@ def next_unit(spark: SparkSession, sf: str) -> DataFrame:
     return done.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("ready"))
 
 
-@query("tag_merge_undo", "SELECT doc_id, source AS tag FROM documents WHERE source IN ('src1', 'src2')")
+@query("tag_merge_undo", "SELECT doc_id, source AS tag FROM documents")
 def tag_merge_undo(spark: SparkSession, sf: str) -> DataFrame:
     """The audit rows of a merge say which links were moved, and moving those back restores the links."""
-    links = table(spark, sf, "documents").where("source in ('src1', 'src2')").select("doc_id", F.col("source").alias("tag"))
-    audit = links.where("tag = 'src2'").select("doc_id", F.col("tag").alias("was"))
-    merged = links.select("doc_id", F.lit("src1").alias("tag")).distinct()
+    links = table(spark, sf, "documents").select("doc_id", F.col("source").alias("tag"))
+    target = F.broadcast(links.agg(F.min("tag").alias("into")))
+    audit = links.join(target, F.col("tag") != F.col("into")).select("doc_id", F.col("tag").alias("was"))
+    merged = links.join(target, F.lit(True)).select("doc_id", F.col("into").alias("tag")).distinct()
     return merged.join(audit, "doc_id", "left").select("doc_id", F.coalesce("was", "tag").alias("tag"))
 
 
@@ -196,10 +197,12 @@ def search_filter_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.explode(kinds).alias("x")).groupBy("x.kind", "x.value").agg(F.count_distinct("doc_id").alias("n"))
 
 
-@query("trash_restore", "SELECT doc_id, doc_id % 4 = 0 AND doc_id % 8 <> 0 AS deleted FROM documents")
+@query("trash_restore", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND quality = 0) AS deleted FROM documents")
 def trash_restore(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id")
-    trashed, restored = d.where("doc_id % 4 = 0"), d.where("doc_id % 8 = 0")
+    """Toxic documents are put into the trash, and those of good quality taken out again."""
+    d, labels = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels")
+    trashed = d.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    restored = trashed.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     gone = trashed.join(restored, "doc_id", "left_anti").withColumn("deleted", F.lit(True))
     return d.join(gone, "doc_id", "left").select("doc_id", F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
@@ -210,11 +213,10 @@ def retry_failed(spark: SparkSession, sf: str) -> DataFrame:
     return last.where("value > 60").select("user_id", "event_type")
 
 
-@query("batch_organize", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'picked' ELSE lang END AS category FROM documents")
+@query("batch_organize", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) THEN 'picked' ELSE lang END AS category FROM documents")
 def batch_organize(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "lang")
-    picked = d.where("doc_id % 6 = 0").select("doc_id", F.lit("picked").alias("new"))
-    return d.join(picked, "doc_id", "left").select("doc_id", F.coalesce("new", "lang").alias("category"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("category"))
+    return R.set_values(d, table(spark, sf, "labels").where("quality = 1 and toxic = 0"), "doc_id", "category", "picked")
 
 
 @query("dataset_candidates", "SELECT document_id FROM (SELECT DISTINCT doc_id AS document_id FROM documents WHERE contains(text, ' | ')) ORDER BY document_id DESC LIMIT 12")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import store
 from lodestone.catalog import table, tables
 from lodestone.operators import chunking, fusion, profile, registry
 from lodestone.operators import relations as R
 from lodestone.operators.q_documents import BLOCKS, documents
 from lodestone.operators.q_plan import DATASET, FIELDS, dataset
-from lodestone.operators.q_search import CHUNKS, SCORE, chunks, scored
+from lodestone.operators.q_search import CHUNKS, LEXICAL, SCORE, chunks, rankings, scored
 from lodestone.operators.registry import query
 from lodestone.plans import compiler, units
 from lodestone.plans.model import Field, PlanError, validate, validate_drafted
@@ -21,8 +20,8 @@ from lodestone.sources import snapshots, tables as cells
 #: Inventory name: the query that has it.
 SAME = {
     "filter_eq": "filter_eq_text", "filter_ne": "filter_ne_text", "filter_lte": "filter_lte_text", "sort_rows": "sort_rows_text_desc", "agg_min": "agg_min_number", "agg_max": "agg_max_date", "group_by": "group_by_two",
-    "qa_recall_cjk": "qa_recall", "lease": "lease_gaps", "read_document": "content_hash", "purge": "purge_orphans", "trash": "trash_restore", "structural_candidate": "structural_coverage", "source_url": "normalize_url",
-    "row_fallback_executor": "row_compat_sum", "split_children": "build_chunks", "vector_repair": "backfill_missing",
+    "qa_recall_cjk": "qa_recall", "lease": "lease_gaps", "purge": "purge_orphans", "trash": "trash_restore", "source_url": "normalize_url",
+    "row_fallback_executor": "row_compat_sum", "split_children": "build_chunks",
 }
 for _name, _other in SAME.items():
     query(_name, registry._SQL.get(_other))(registry._QUERIES[_other])
@@ -73,10 +72,10 @@ def hybrid_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return fused.select("chunk_id", F.round("score", 8).alias("score"))
 
 
-@query("evidence_dataset", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 100 = 0")
+@query("evidence_dataset", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def evidence_dataset(spark: SparkSession, sf: str) -> DataFrame:
     c, n, r = tables(spark, sf, "customer", "nation", "region")
-    return c.where("c_custkey % 100 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
 
 
 @query("structured_evidence", DATASET + "SELECT segment, sum(num) AS metric, count(*) AS matched_rows FROM typed GROUP BY 1 ORDER BY metric DESC NULLS LAST LIMIT 20")
@@ -91,9 +90,10 @@ def run_reads(spark: SparkSession, sf: str) -> DataFrame:
     return nested.select("conv_id", F.inline("parts")).orderBy("conv_id", "turn").offset(10).limit(30)
 
 
-@query("source_fingerprint", BLOCKS + "SELECT document_id, sha256(string_agg(kind || ':' || place, ',' ORDER BY place)) AS fingerprint FROM blocks GROUP BY 1")
+@query("source_fingerprint", BLOCKS + "SELECT document_id, sha256(string_agg(kind || ':' || place || ':' || sha256(text), ',' ORDER BY place)) AS fingerprint FROM blocks GROUP BY 1")
 def source_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "kind"))), lambda x: F.concat(x["kind"], F.lit(":"), x["place"].cast("string"))), ",")
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "kind", digest))), lambda x: F.concat_ws(":", x["kind"], x["place"].cast("string"), x["digest"])), ",")
     return chunking.blocks(documents(spark, sf)).groupBy("document_id").agg(F.sha2(parts.cast("binary"), 256).alias("fingerprint"))
 
 
@@ -137,29 +137,29 @@ def plan_validate_nl(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _root(spark: SparkSession) -> str:
-    """A folder for snapshots: below the cluster's shared folder, or a local one where none is named."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return shared.rstrip("/") if shared else "file://" + tempfile.mkdtemp(prefix="snapshots-")
+    """A new folder for snapshots in the shared one."""
+    return store.new_path(spark, "snapshots")
 
 
 @query("sink_snapshot", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
 def sink_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """Publishes two versions of a table and reads the active one."""
-    import uuid
-
-    root, nation = f"{_root(spark)}/{uuid.uuid4().hex}", table(spark, sf, "nation")
+    root, nation = _root(spark), table(spark, sf, "nation")
     snapshots.publish(nation.limit(3), root)
     snapshots.publish(nation, root)
     return snapshots.active(spark, root)
 
 
-@query("import_db_snapshot", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS version FROM customer WHERE c_custkey % 7 <> 0")
+@query("import_db_snapshot", "SELECT state, count(*) AS n FROM (SELECT CASE WHEN c.c_custkey IS NULL THEN 'added' WHEN s.s_suppkey IS NULL THEN 'removed' WHEN c.c_nationkey = s.s_nationkey THEN 'unchanged' ELSE 'changed' END AS state FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey) GROUP BY 1")
 def import_db_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of the new import replace the old ones by key; rows that are gone from the source go."""
-    c = table(spark, sf, "customer").select("c_custkey")
-    old, new = c.withColumn("version", F.lit(1)), c.where("c_custkey % 5 = 0").withColumn("version", F.lit(2))
-    gone = c.where("c_custkey % 7 = 0")
-    return old.join(new, "c_custkey", "left_anti").union(new).join(gone, "c_custkey", "left_anti")
+    """Publishes an import and then another as the next version, and tells what that changed, by key. An empty import changes nothing."""
+    root = _root(spark)
+    first = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
+    second = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"))
+    snapshots.publish(first, root)
+    before = snapshots.active(spark, root)
+    snapshots.publish(second, root)
+    return snapshots.changes(before, snapshots.active(spark, root), "key").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sink_ndjson_stream", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS value FROM region")
@@ -167,17 +167,24 @@ def sink_ndjson_stream(spark: SparkSession, sf: str) -> DataFrame:
     return cells.as_json(table(spark, sf, "region"))
 
 
-@query("freshness_policy", "SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'refuse' WHEN user_id % 3 = 1 THEN 'serve_and_schedule' ELSE 'warn' END AS action FROM (SELECT DISTINCT user_id FROM events)")
+@query("freshness_policy", "WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last, date_diff('minute', max(ts), (SELECT max(ts) FROM events)) AS age FROM events GROUP BY 1) SELECT user_id, CASE WHEN age < 1440 THEN 'serve' WHEN last = 'error' THEN 'refuse' WHEN last = 'purchase' THEN 'serve_and_schedule' ELSE 'warn' END AS action FROM l")
 def freshness_policy(spark: SparkSession, sf: str) -> DataFrame:
-    """What a stale dataset's mode means: strict, background or manual."""
-    mode = F.when(F.col("user_id") % 3 == 0, "strict").when(F.col("user_id") % 3 == 1, "background").otherwise("manual")
-    users = table(spark, sf, "events").select("user_id").distinct().withColumn("mode", mode)
-    return users.select("user_id", F.when(F.col("mode") == "strict", "refuse").when(F.col("mode") == "background", "serve_and_schedule").otherwise("warn").alias("action"))
-
-
-@query("candidate_windows", BLOCKS + ", w AS (SELECT document_id, place // 32 AS win, text FROM blocks) SELECT document_id, win, count(*) AS n FROM w GROUP BY 1, 2")
+    """A user's last event dates their data and sets its mode; a day is the interval."""
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    now = F.broadcast(events.agg(F.max("ts").alias("now")))
+    last = R.latest(events, ["user_id"], ["ts", "event_id"]).join(now, F.lit(True))
+    minutes = F.timestamp_diff("MINUTE", F.date_trunc("minute", "ts"), F.date_trunc("minute", "now"))
+    mode = F.when(F.col("event_type") == "error", "strict").when(F.col("event_type") == "purchase", "background").otherwise("manual")
+    state = R.freshness(minutes, F.lit(1440), F.lit(None).cast("string"))
+    return last.select("user_id", R.freshness_action(state, mode).alias("action"))
+
+
+@query("candidate_windows", BLOCKS.replace("WITH lines", "WITH RECURSIVE lines") + """, b AS (SELECT document_id, length(text) AS n, text LIKE '# %' AND kind = 'heading' AS edge, row_number() OVER (PARTITION BY document_id ORDER BY place) AS k FROM blocks),
+w AS (SELECT document_id, k, n AS chars, 1 AS many, 0 AS win FROM b WHERE k = 1 UNION ALL SELECT b.document_id, b.k, CASE WHEN w.chars + b.n > 6000 OR w.many = 32 OR b.edge THEN b.n ELSE w.chars + b.n END, CASE WHEN w.chars + b.n > 6000 OR w.many = 32 OR b.edge THEN 1 ELSE w.many + 1 END, CASE WHEN w.chars + b.n > 6000 OR w.many = 32 OR b.edge THEN w.win + 1 ELSE w.win END
+  FROM w JOIN b ON b.document_id = w.document_id AND b.k = w.k + 1) SELECT document_id, win, count(*) AS n, CAST(max(chars) AS BIGINT) AS chars FROM w GROUP BY 1, 2""")
 def candidate_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.blocks(documents(spark, sf)).groupBy("document_id", F.floor(F.col("place") / 32).alias("win")).agg(F.count(F.lit(1)).alias("n"))
+    windows = chunking.candidate_windows(chunking.blocks(documents(spark, sf)))
+    return windows.groupBy("document_id", "win").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("normalize_filter", "SELECT '1,2,9' AS ids, 'src1,src2' AS sources")
@@ -187,11 +194,11 @@ def normalize_filter(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select(clean(F.filter("ids", lambda x: x > 0)).alias("ids"), clean(F.col("sources")).alias("sources"))
 
 
-@query("search_paging", "SELECT document_id FROM (SELECT doc_id AS document_id FROM documents ORDER BY doc_id LIMIT 50 OFFSET 20) ORDER BY document_id LIMIT 20")
+@query("search_paging", LEXICAL + ", f AS (SELECT document_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM u GROUP BY 1) SELECT document_id FROM f ORDER BY score DESC, document_id LIMIT 10 OFFSET 10")
 def search_paging(spark: SparkSession, sf: str) -> DataFrame:
-    limit, offset = 20, 20
-    candidates = min(50, max(limit + offset, 4 * limit))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("document_id")).orderBy("document_id").offset(offset).limit(min(limit, candidates))
+    """The second page of the fused documents."""
+    fused = fusion.rrf(rankings(spark, sf))
+    return fusion.page(fused, [F.round("score", 12).desc(), F.col("document_id")], limit=10, offset=10).select("document_id")
 
 
 @query("record_turn", "SELECT conv_id, count(*) + 1 AS turns FROM conversations GROUP BY 1")

@@ -61,10 +61,11 @@ def facet_counts(spark: SparkSession, sf: str) -> DataFrame:
     return R.facet_counts(values, d.where("lang = 'es'"), "source").select(F.lit("source").alias("facet"), F.col("source").alias("value"), "n")
 
 
-@query("facet_counts_selected", "SELECT source AS value, count(DISTINCT doc_id) AS n FROM documents WHERE doc_id % 50 = 0 GROUP BY 1")
+@query("facet_counts_selected", "SELECT source AS value, count(DISTINCT doc_id) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1")
 def facet_counts_selected(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf)
-    return R.facet_counts(d.select("source").distinct(), d.where("document_id % 50 = 0"), "source", zeroes=False).select(F.col("source").alias("value"), "n")
+    chosen = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("document_id"))
+    return R.facet_counts(d.select("source").distinct(), d.join(chosen, "document_id", "left_semi"), "source", zeroes=False).select(F.col("source").alias("value"), "n")
 
 
 @query("category_counts", "SELECT d.lang AS category, count(DISTINCT l.doc_id) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 1 GROUP BY 1")
@@ -352,7 +353,7 @@ def claim_due(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stage_fair_scheduler", "WITH t AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS turn FROM events) SELECT event_id, event_type, turn FROM t ORDER BY turn, event_type LIMIT 33")
 def stage_fair_scheduler(spark: SparkSession, sf: str) -> DataFrame:
-    return R.fair_order(table(spark, sf, "events"), "event_type", ["ts", "event_id"]).orderBy("turn", "event_type").select("event_id", "event_type", F.col("turn").cast("long").alias("turn")).limit(33)
+    return R.fair_order(table(spark, sf, "events"), "event_type", ["ts", "event_id"], 33).orderBy("turn", "event_type").select("event_id", "event_type", F.col("turn").cast("long").alias("turn")).limit(33)
 
 
 @query("busy_document_exclusion", "SELECT event_id FROM events e WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'error' AND b.value > 90)")
@@ -385,7 +386,7 @@ def priority_weighted_cycle(spark: SparkSession, sf: str) -> DataFrame:
     """Four of the foreground, then one of the history."""
     e = table(spark, sf, "events").where(F.col("event_type").isin("signup", "view")).withColumn("fore", F.col("event_type") == "signup")
     n = F.row_number().over(Window.partitionBy("fore").orderBy("ts", "event_id")) - 1
-    e = e.withColumn("n", n)
+    e = e.withColumn("n", n).where("n < 50")  # 50 of each are enough, and a limit of a group is applied before the shuffle
     return e.orderBy(F.when(F.col("fore"), F.floor(F.col("n") / 4) * 5 + F.col("n") % 4).otherwise(F.col("n") * 5 + 4)).select("event_id").limit(50)
 
 

@@ -12,14 +12,14 @@ from lodestone.operators import fusion, search
 from lodestone.operators.registry import query
 
 CHUNKS = """WITH lines AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents),
-chunks AS (SELECT doc_id AS document_id, source, lang, doc_id * 100000 + place AS chunk_id, place, content FROM lines WHERE trim(content) <> '')
+chunks AS (SELECT doc_id AS document_id, source, lang, doc_id * 4294967296 + place AS chunk_id, place, content FROM lines WHERE trim(content) <> '')
 """
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """document_id, source, lang, chunk_id, place and content of each non-blank line."""
+    """document_id, source, lang, chunk_id (unique below 2**31 documents), place and content of each non-blank line."""
     lines = table(spark, sf, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("place", "content"))
-    return lines.where(F.trim("content") != "").select(F.col("doc_id").alias("document_id"), "source", "lang", (F.col("doc_id") * 100000 + F.col("place")).alias("chunk_id"), F.col("place").cast("long").alias("place"), "content")
+    return lines.where(F.trim("content") != "").select(F.col("doc_id").alias("document_id"), "source", "lang", (F.col("doc_id") * (1 << 32) + F.col("place")).alias("chunk_id"), F.col("place").cast("long").alias("place"), "content")
 
 
 @query("parse_text", CHUNKS + "SELECT document_id, place, content FROM chunks")
@@ -202,12 +202,12 @@ def evidence_dedup(spark: SparkSession, sf: str) -> DataFrame:
 FEATURES = ["the", "tion", "with", "from", "that", "which", "de", "la"]
 
 
-@query("evidence_select", CHUNKS + r""", c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY place) AS rank FROM chunks), k AS (SELECT *, place = 0 AS anchor FROM c WHERE rank <= 8),
+@query("evidence_select", CHUNKS + r""", c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY place) AS rank FROM chunks), k AS (SELECT *, place = 0 AS anchor FROM c),
 f AS (SELECT document_id, chunk_id, rank, anchor, unnest(['the', 'tion', 'with', 'from', 'that', 'which', 'de', 'la']) AS feature, content FROM k),
 h AS (SELECT * FROM f WHERE list_contains(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), feature)),
 d AS (SELECT document_id, feature, count(*) AS df FROM h GROUP BY 1, 2), n AS (SELECT document_id, count(*) AS n FROM k GROUP BY 1),
 s AS (SELECT k.document_id, k.chunk_id, k.rank, k.anchor, round(coalesce(sum(1 + ln((1 + n.n) / (1 + d.df))), 0), 6) AS score FROM k JOIN n USING (document_id) LEFT JOIN h ON h.chunk_id = k.chunk_id LEFT JOIN d ON d.document_id = h.document_id AND d.feature = h.feature GROUP BY 1, 2, 3, 4),
 r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, anchor DESC, rank, chunk_id) AS p FROM s) SELECT document_id, chunk_id, score FROM r WHERE p = 1""")
 def evidence_select(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy("place"))).where("rank <= 8")
+    c = chunks(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy("place")))
     return fusion.feature_evidence(c.withColumns({"anchor": F.col("place") == 0, "title": F.lit("")}), FEATURES)

@@ -10,10 +10,10 @@ from lodestone.streaming import jobs
 
 @query("stream_hourly_metrics", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY 1, 2")
 def stream_hourly_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.run_available(jobs.hourly_metrics(jobs.read_events(spark, f"{sf}/events.parquet")))
+    return jobs.run_through(jobs.hourly_metrics(jobs.read_events(spark, f"{sf}/events.parquet")))
 
 
 @query("stream_lease_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS began, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_lease_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.run_available(jobs.lease_sessions(jobs.read_events(spark, f"{sf}/events.parquet")))
+    return jobs.run_through(jobs.lease_sessions(jobs.read_events(spark, f"{sf}/events.parquet")))

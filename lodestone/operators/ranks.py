@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.store import written
+
 
 def global_rank(rows: DataFrame, *order: str | Column) -> DataFrame:
     """Adds rank, from 0, in the given order: rows are dealt by ranges and numbered inside each; the sums of the
-    ranges before, one row per range, are joined back."""
+    ranges before, one row per range, are joined back. The ranges are written, for two exchanges by range may draw their
+    borders apart, and the numbers of one would not fit the sums of the other."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id())
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), "ranges")
     inside = dealt.withColumn("inside", F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1)
     sizes = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row per range
     return inside.join(F.broadcast(before), "range").withColumn("rank", F.col("inside") + F.col("before")).drop("range", "inside", "before")

@@ -66,9 +66,37 @@ def backoff_seconds(failures: Column, least: int = 60, most: int = 3600, cap: in
     return F.least(F.lit(most), least * F.pow(F.lit(2.0), F.least(failures, F.lit(cap)))).cast("long")
 
 
-def fair_order(jobs: DataFrame, stage: str, order: list[str]) -> DataFrame:
-    """One job of each stage in turn: the place inside the stage first, then the stage."""
-    return jobs.withColumn("turn", F.row_number().over(Window.partitionBy(stage).orderBy(*order)))
+def fair_order(jobs: DataFrame, stage: str, order: list[str], turns: int) -> DataFrame:
+    """One job of each stage in turn: the place inside the stage first, then the stage. A page of so many jobs has no later turn, and
+    Spark applies that limit of a group before the shuffle too, so no stage's jobs meet in one task."""
+    return jobs.withColumn("turn", F.row_number().over(Window.partitionBy(stage).orderBy(*order))).where(F.col("turn") <= turns)
+
+
+def freshness_action(state: Column, mode: Column) -> Column:
+    """What a stale dataset's mode means: strict refuses, background serves and schedules a refresh, manual warns. Others are served."""
+    return F.when(state != "stale", "serve").when(mode == "strict", "refuse").when(mode == "background", "serve_and_schedule").otherwise("warn")
+
+
+def set_values(rows: DataFrame, chosen: DataFrame, key: str, column: str, value: str) -> DataFrame:
+    """One value for the chosen rows of a table, the old one for the others."""
+    marks = chosen.select(key).distinct().withColumn("chosen", F.lit(True))
+    return rows.join(marks, key, "left").withColumn(column, F.when(F.col("chosen"), F.lit(value)).otherwise(F.col(column))).drop("chosen")
+
+
+def next_stage(done: Column, stages: list[str]) -> Column:
+    """The first stage of a chain that is not among those done; null where all are."""
+    return F.get(F.filter(F.array(*[F.lit(s) for s in stages]), lambda s: ~F.array_contains(done, s)), F.lit(0))
+
+
+def missing_vectors(documents: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
+    """document_id and reason (missing or dimension) of each document without a usable vector."""
+    j = documents.select("document_id").join(vectors.select("document_id", F.size("embedding").alias("n")), "document_id", "left")
+    return j.where(F.col("n").isNull() | (F.col("n") != dimension)).select("document_id", F.when(F.col("n").isNull(), "missing").otherwise("dimension").alias("reason"))
+
+
+def visible(documents: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Documents that no rule hides."""
+    return documents.join(hidden.select("document_id"), "document_id", "left_anti")
 
 
 def hourly(events: DataFrame, now: Column, days: int = 31) -> DataFrame:

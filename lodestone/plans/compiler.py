@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import is_direct_child
@@ -35,7 +35,7 @@ def predicate(f: Filter, kind: str) -> Column:
     if f.operator in text_only:
         if kind in ("number", "date"):
             raise PlanError("query_failed", f"{f.operator} needs a text column")
-        return F.coalesce(cell, F.lit("")).ilike(text_only[f.operator].format(f.value))
+        return F.coalesce(cell, F.lit("")).ilike(text_only[f.operator].format(str(f.value).replace("\\", "\\\\")))
     if f.operator == "direct_child_of":
         return is_direct_child(F.coalesce(F.col(f"`{f.column}`"), F.lit("")), str(f.value))
     if f.operator == "in":
@@ -93,11 +93,16 @@ def provenance(rows: DataFrame, plan: Plan, fields: list[Field], most: int = 200
 
 
 def unit_stats(rows: DataFrame, plan: Plan, fields: list[Field], columns: list[str]) -> DataFrame:
-    """Per unit column of the matched rows: how many units, how many blanks, the first five units."""
+    """Per unit column of the matched rows: how many units, how many blanks, the first five units. Units are made distinct before
+    any are put together, and six rows of each column are the most that meet."""
     found = matched(rows, plan, fields)
     long = found.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")))])).alias("unit_column", "unit"))
-    units = F.array_sort(F.collect_set(F.when(F.col("unit") != "", F.substring("unit", 1, 41))))
-    return long.groupBy("unit_column").agg(F.count_distinct(F.nullif("unit", F.lit(""))).alias("n_units"), F.sum((F.col("unit") == "").cast("long")).alias("n_blank"), F.array_join(F.slice(units, 1, 5), "|").alias("units"))
+    units = long.groupBy("unit_column", "unit").agg(F.count(F.lit(1)).alias("n"))
+    stats = units.groupBy("unit_column").agg(F.count(F.nullif("unit", F.lit(""))).alias("n_units"), F.coalesce(F.sum(F.when(F.col("unit") == "", F.col("n"))), F.lit(0)).alias("n_blank"))
+    shown = units.where("unit <> ''").select("unit_column", F.substring("unit", 1, 41).alias("unit")).distinct()
+    first = shown.withColumn("place", F.row_number().over(Window.partitionBy("unit_column").orderBy("unit"))).where("place <= 5")  # a group limit before the shuffle
+    first = first.groupBy("unit_column").agg(F.array_sort(F.collect_list("unit")).alias("units"))
+    return stats.join(first, "unit_column", "left").select("unit_column", "n_units", "n_blank", F.coalesce(F.array_join("units", "|"), F.lit("")).alias("units"))
 
 
 def invalid_numbers(rows: DataFrame, plan: Plan, fields: list[Field]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+#: Names and limits of the plan interface (fixed values).
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "contains", "starts_with", "ends_with", "direct_child_of", "in")
 METRICS = ("rows", "count", "count_distinct", "sum", "avg", "min", "max")
 MAX_FILTERS, MAX_GROUPS, MAX_IN, MAX_LIMIT, MAX_OFFSET = 8, 3, 100, 200, 1_000_000

@@ -10,7 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SKIP = {"script", "style", "nav", "header", "footer", "aside", "noscript", "template", "svg", "form", "iframe"}
+#: Elements whose text is no content, and those of them that have no end tag (fixed values).
+SKIP = {
+    "script", "style", "noscript", "iframe", "svg", "canvas", "template", "form", "input", "button", "object", "embed", "audio", "video", "source", "track",
+    "nav", "footer", "header",
+}
+VOID = {"input", "embed", "source", "track"}
 BLOCKS = {"p": "paragraph", "li": "list_item", "blockquote": "blockquote", "pre": "code_block"} | {f"h{i}": "heading" for i in range(1, 7)}
 SCHEMA = "page_id long, place long, kind string, level int, text string"
 
@@ -31,14 +36,14 @@ class _Blocks(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SKIP:
-            self.skipped += 1
+            self.skipped += tag not in VOID
         elif tag in BLOCKS and not self.skipped:
             self.close_block()
             self.open = tag
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIP:
-            self.skipped = max(0, self.skipped - 1)
+            self.skipped = max(0, self.skipped - (tag not in VOID))
         elif tag == self.open:
             self.close_block()
 

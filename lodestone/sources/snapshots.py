@@ -46,6 +46,13 @@ def publish(rows: DataFrame, root: str) -> int:
     return version
 
 
+def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """key and state (added, removed, changed, unchanged) of the rows of two versions; rows are compared by all their columns."""
+    row = lambda df: df.select(F.col(key), F.xxhash64(*[F.coalesce(F.col(f"`{c}`"), F.lit("\0")) for c in sorted(df.columns)]).alias("row"))
+    j = row(before).withColumnRenamed("row", "was").join(row(after).withColumnRenamed("row", "is"), key, "full")
+    return j.select(key, F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("was") == F.col("is"), "unchanged").otherwise("changed").alias("state"))
+
+
 def active(spark: SparkSession, root: str) -> DataFrame:
     """The rows of the latest version; its path must lie below the root."""
     known = _manifest(spark, root)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import store
+
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
     schema = spark.read.parquet(path).schema
@@ -44,6 +46,21 @@ def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+def run_through(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a query over all that is available, each batch of the sink being written by the executors as a table of its own in the shared
+    folder; the last one is the result."""
+    spark, root = stream.sparkSession, store.new_path(stream.sparkSession, "stream")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number:09d}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", store.new_path(spark, "stream-state")).foreachBatch(put).trigger(availableNow=True)
+    query = writer.start()
+    query.awaitTermination()
+    last = query.lastProgress
+    return spark.read.schema(stream.schema).parquet(f"{root}/batch={last['batchId']:09d}") if last else spark.createDataFrame([], stream.schema)
+
+
 def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a query over all that is available into Parquet; a checkpoint makes the next run go on from there."""
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone import store
 from lodestone.functions import text, typed, vector
 from lodestone.operators import chunking, fusion, profile, relations, search
 from lodestone.operators.ranks import global_rank
@@ -135,6 +137,47 @@ def test_global_rank(spark):
     assert rows == list(range(1000))
 
 
+def test_global_rank_of_many_rows_with_a_payload(spark):
+    rows = spark.range(1_000_000).select(F.xxhash64("id").alias("key"), F.concat(F.lit("payload "), F.col("id").cast("string")).alias("payload"))
+    ranked = global_rank(rows, "key")
+    before = F.lag("key").over(Window.partitionBy(F.floor(F.col("rank") / 5000)).orderBy("rank"))
+    found = ranked.withColumn("rises", F.coalesce(before < F.col("key"), F.lit(True))).agg(F.count_distinct("rank").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.bool_and("rises").alias("rises")).first()
+    assert tuple(found) == (1_000_000, 0, 999_999, True)
+    assert spark.createDataFrame([], "key long").transform(lambda df: global_rank(df, "key")).count() == 0
+
+
+@pytest.mark.parametrize("cell, want", [("2024-05-06", "2024-05-06"), ("2024/5/6", "2024-05-06"), (" 2024-05-06 ", "2024-05-06"), ("2024", None), ("2024-05", None), ("2024-02-30", None), ("x", None), (None, None)])
+def test_dates_need_a_day(spark, cell, want):
+    got = one(spark, typed.date(F.lit(cell).cast("string")))
+    assert (got and str(got)) == want
+
+
+def test_html_skips_what_is_no_content(spark):
+    page = "<p>a<button>no</button>b</p><aside><p>kept</p></aside><nav><p>no</p></nav><form><input><p>no</p></form><video><p>no</p></video><p>c<input>d</p><canvas><p>no</p></canvas><p>end</p>"
+    rows = html.html_blocks(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).collect()
+    assert [r.text for r in rows] == ["ab", "kept", "cd", "end"]
+
+
+def test_snapshot_changes(spark):
+    old, new = (spark.createDataFrame(r, "k long, v string") for r in ([(1, "a"), (2, None), (3, "c")], [(1, "a"), (2, ""), (4, "d")]))
+    assert {r.k: r.state for r in snapshots.changes(old, new, "k").collect()} == {1: "unchanged", 2: "changed", 3: "removed", 4: "added"}
+
+
+def test_a_candidate_that_leaves_text_out_is_seen(spark):
+    lines = spark.createDataFrame([(1, 0, 10), (1, 11, 20), (2, 0, 5), (3, 0, 4)], "document_id long, begin long, end long")
+    spans = spark.createDataFrame([(1, 0, 10), (1, 13, 18), (2, 0, 5)], "document_id long, begin long, end long")
+    assert {r.document_id: r.uncovered for r in chunking.uncovered(lines, spans).collect()} == {1: 4, 2: 0, 3: 4}
+
+
+def test_temporary_tables_go_but_those_that_are_kept(spark):
+    with store.temporary(spark) as keep:
+        gone, stays = store.written(spark.range(3), "gone"), store.written(spark.range(4), "stays")
+        keep.append(stays)
+    assert stays.count() == 4
+    with pytest.raises(Exception):
+        spark.read.schema(gone.schema).parquet(gone.inputFiles()[0]).count()
+
+
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     source, out, check = (f"{tmp_path}/{n}" for n in ("in", "out", "check"))

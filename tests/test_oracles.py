@@ -1,4 +1,4 @@
-"""Every registered query of the library against its DuckDB twin, on the smallest tables."""
+"""Every registered query of the library against its DuckDB twin, on the tables of the correctness gate."""
 
 import math
 from pathlib import Path
@@ -8,7 +8,7 @@ import pytest
 
 from lodestone.operators import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

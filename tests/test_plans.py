@@ -3,8 +3,8 @@ import pytest
 from lodestone.plans import compiler, units
 from lodestone.plans.model import Field, Plan, PlanError, validate, validate_drafted
 
-FIELDS = [Field("地区", "text", ("华东", "全国-华东", "全国-华南")), Field("金额", "number"), Field("日期", "date")]
-ROWS = [(2, "华东", "10.0（原始值：10）"), (3, "华东", "20"), (4, "华南", "7"), (5, "全国-华东", "30"), (6, "全国-华南", "40"), (7, "全国-华东-上海", "99")]
+FIELDS = [Field("地区", "text", ("harbour", "all-harbour", "all-hills")), Field("金额", "number"), Field("日期", "date")]
+ROWS = [(1, "harbour", "4.50（原始值：4.5）"), (2, "harbour", "11"), (3, "hills", "6"), (4, "all-harbour", "21"), (5, "all-hills", "8.5"), (6, "all-harbour-pier", "77"), (7, "back\\slash", "1")]
 
 
 @pytest.fixture(scope="module")
@@ -21,17 +21,22 @@ def eq(value, operator="eq", column="地区"):
 
 
 def test_group_and_sum(sales):
-    assert run(sales, {"filters": eq("华东"), "group_by": ["地区"], "metric": "sum", "metric_column": "金额"}) == [("华东", 30.0, 2)]
+    assert run(sales, {"filters": eq("harbour"), "group_by": ["地区"], "metric": "sum", "metric_column": "金额"}) == [("harbour", 15.5, 2)]
 
 
 def test_direct_children(sales):
-    assert run(sales, {"filters": eq("全国", "direct_child_of"), "metric": "sum", "metric_column": "金额"}) == [(70.0, 2)]
+    assert run(sales, {"filters": eq("all", "direct_child_of"), "metric": "sum", "metric_column": "金额"}) == [(29.5, 2)]
 
 
 def test_hint_where_nothing_matches(sales):
-    raw = {"filters": eq("全国")}
+    raw = {"filters": eq("all")}
     assert run(sales, raw) == []
-    assert compiler.hints(validate(raw, FIELDS), FIELDS) == [{"column": "地区", "operator": "direct_child_of", "value": "全国"}]
+    assert compiler.hints(validate(raw, FIELDS), FIELDS) == [{"column": "地区", "operator": "direct_child_of", "value": "all"}]
+
+
+@pytest.mark.parametrize("operator, value, rows", [("contains", "k\\s", [7]), ("contains", "\\", [7]), ("starts_with", "back\\", [7]), ("ends_with", "\\slash", [7]), ("contains", "HARB", [1, 2, 4, 6])])
+def test_text_filters_take_values_as_they_are(sales, operator, value, rows):
+    assert [r[0] for r in run(sales, {"metric": "rows", "filters": eq(value, operator)})] == rows
 
 
 @pytest.mark.parametrize("raw", [
@@ -60,20 +65,21 @@ def test_drafted_plans():
 
 
 def test_purchase_sheet(spark):
-    fields = [Field("品类"), Field("金额", "number"), Field("完成率", "number")]
-    rows = [(2, "水果", "￥1,200元", "25%（原始值：0.25）"), (3, "水果", "800", "50%（原始值：0.5）"), (4, "蔬菜", "500", "75%（原始值：0.75）"), (5, "蔬菜", "无", None)]
-    frame = spark.createDataFrame(rows, "row_number long, `品类` string, `金额` string, `完成率` string")
-    fruit = {"filters": eq("水果", column="品类"), "group_by": ["品类"], "metric": "sum", "metric_column": "金额"}
-    assert run(frame, fruit, fields) == [("水果", 2000.0, 2)]
-    stats = compiler.matched_stats(frame, validate(fruit, fields), fields).first()
-    assert tuple(stats) == (2, 2, 3)
-    assert run(frame, {"group_by": ["品类"], "metric": "avg", "metric_column": "完成率", "sort_order": "desc"}, fields) == [("蔬菜", 0.75, 2), ("水果", 0.375, 2)]
-    assert compiler.invalid_numbers(frame, validate({"metric": "sum", "metric_column": "金额"}, fields), fields).first()["invalid"] == 1
+    fields = [Field("kind"), Field("paid", "number"), Field("share", "number")]
+    rows = [(11, "lamps", "￥3,050元", "12%（原始值：0.125）"), (12, "ropes", "90", "80%"), (13, "lamps", "50", None), (14, "ropes", "later", "40%（原始值：0.4）")]
+    frame = spark.createDataFrame(rows, "row_number long, kind string, paid string, share string")
+    lamps = {"filters": eq("lamps", column="kind"), "group_by": ["kind"], "metric": "sum", "metric_column": "paid"}
+    assert run(frame, lamps, fields) == [("lamps", 3100.0, 2)]
+    stats = compiler.matched_stats(frame, validate(lamps, fields), fields).first()
+    assert tuple(stats) == (2, 11, 13)
+    assert [(k, round(x, 6), n) for k, x, n in run(frame, {"group_by": ["kind"], "metric": "avg", "metric_column": "share", "sort_order": "desc"}, fields)] == [("ropes", 0.6, 2), ("lamps", 0.125, 2)]
+    assert compiler.invalid_numbers(frame, validate({"metric": "sum", "metric_column": "paid"}, fields), fields).first()["invalid"] == 1
 
 
 @pytest.mark.parametrize("cells, metric, groups, want", [
-    (["人", "人"], "sum", [], "known"), ([" 人 ", "人"], "sum", [], "known"), (["USD", "CNY"], "sum", [], "blocked"), (["kg", None], "avg", [], "blocked"), (["kg", ""], "max", [], "blocked"),
-    ([None, ""], "min", [], "unknown"), (["USD", "CNY"], "sum", ["单位"], "grouped"), (["kg", None], "sum", ["单位"], "grouped"), (["USD", "CNY"], "count", [], "not_applicable"), (["x" * 80] * 2, "sum", [], "unknown"),
+    # the rule of each verdict (fixed values), on units of our own
+    ([" box", "box ", "box"], "sum", [], "known"), (["mile", "yard"], "sum", [], "blocked"), (["mile", None, "mile"], "avg", [], "blocked"), (["", "yard"], "max", [], "blocked"), (["", None], "min", [], "unknown"),
+    (["mile", "yard"], "sum", ["单位"], "grouped"), (["yard", None], "sum", ["单位"], "grouped"), (["mile", "yard"], "count", [], "not_applicable"), (["long" * 20] * 2, "sum", [], "unknown"),
 ])
 def test_unit_verdicts(spark, cells, metric, groups, want):
     fields = [Field("值", "number"), Field("单位")]
