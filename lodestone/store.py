@@ -35,7 +35,9 @@ def written(df: DataFrame, name: str, **options: object) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -44,9 +46,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def drop(df: DataFrame) -> None:
-    """Removes a table made by ``written`` that no later result reads."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, path)
+    """Removes a table as ``written`` gave it; no later result may read it."""
+    remove(df.sparkSession, df._written_to)
 
 
 @contextmanager
@@ -56,8 +57,7 @@ def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
     try:
         yield keep
     finally:
-        kept = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
-        for path in _made[before:]:
-            if path.rpartition("/")[2] not in kept:
-                remove(spark, path)
-        _made[before:] = [p for p in _made[before:] if p.rpartition("/")[2] in kept]
+        kept = [df._written_to for df in keep]
+        for path in set(_made[before:]).difference(kept):
+            remove(spark, path)
+        _made[before:] = kept
