@@ -6,14 +6,14 @@ probabilities of the languages. The languages of a text are the mean over all of
 batches, as one matrix product for all filters (narrower ones have zeros at their end).
 
 Training takes a bounded sample of labelled rows (``SAMPLE_DOCS``, with ``PIECES`` pieces of each), those with the least
-hash of their doc_id, and learns from text and lang only. It runs on the driver, on data of that bound.
+hash of their doc_id and text, and learns from text and lang only, all windows of each piece. It runs on the driver, on data of that bound.
 
 ``recognised`` keeps the rows whose score is ``least_score`` at least. That threshold is calibrated on labelled rows that were not
 learned from (``CALIBRATION`` at most, by the least hash of doc_id): of n of them, the floor((n + 1) * CLEAN_LOSS)-th smallest score, so
 that a text like them falls below it with a chance of CLEAN_LOSS at most. Fewer than 1 / CLEAN_LOSS - 1 of them say nothing about so
 small a share; the threshold is 0 then. Without a model, every text with a letter is kept.
 
-Cases: a null text, or one without any letter, is ``und`` with score 0. Where no row is labelled, every text is ``und``. A
+Cases: a null text, or one without any letter, is ``und`` with score 0. Of languages with one probability the first by name is taken. Where no row is labelled, every text is ``und``. A
 null doc_id counts as held out. Repeated rows are predicted each. An empty table gives no rows. Other columns are not read.
 """
 
@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.sampling import least_hashes
+
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 12  # of each width
@@ -41,7 +43,12 @@ AT_ONCE = 128
 UNKNOWN = "und"
 #: Of clean texts, the share that the threshold may cost, and the rows that it is set on.
 CLEAN_LOSS, CALIBRATION = 0.001, 4000
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLY = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is of the letter categories; numerals such as a half or a superscript two are not."""
+    return any(m.group().isalpha() for m in _WORDLY.finditer(text))
 
 
 @dataclass
@@ -87,8 +94,9 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     """Adam on the cross entropy of single windows."""
     rng = np.random.default_rng(seed)
     langs = sorted(set(labels))
-    x = np.concatenate([cut_windows(t.encode())[:1] for t in texts])
-    y = np.searchsorted(langs, labels)
+    cut = [cut_windows(t.encode()) for t in texts]
+    x = np.concatenate(cut)
+    y = np.repeat(np.searchsorted(langs, labels), [len(c) for c in cut])
     wide, n = max(WIDTHS), FILTERS * len(WIDTHS)
     mask = np.zeros((wide, EMBEDDING, n), np.float32)
     for k, width in enumerate(WIDTHS):
@@ -136,10 +144,11 @@ def held_out() -> Column:
 
 def train_on(docs: DataFrame) -> Model | None:
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    few = labelled.select(F.xxhash64("doc_id").alias("by"), "doc_id", "lang", F.length("text").alias("n"), "text")
+    few = labelled.select(F.xxhash64("doc_id", "text").alias("by"), "lang", F.length("text").alias("n"), "text")
     places = [F.substring("text", F.greatest(F.lit(1), (F.col("n") * k / PIECES).cast("int") + 1), F.lit(PIECE_CHARS)) for k in range(PIECES)]
-    rows = few.select("by", "doc_id", "lang", F.array(*places).alias("pieces")).orderBy("by", "doc_id").limit(SAMPLE_DOCS).collect()
-    texts = [(p, r["lang"]) for r in rows for p in r["pieces"] if _LETTER.search(p)]
+    n = docs.where(~held_out() & F.col("lang").isNotNull()).count()
+    rows = least_hashes(few.select("by", "lang", F.array(*places).alias("pieces")), "by", n, SAMPLE_DOCS).collect()
+    texts = [(p, r["lang"]) for r in rows for p in r["pieces"] if has_letter(p)]
     return train([t for t, _ in texts], [str(lang) for _, lang in texts]) if texts else None
 
 
@@ -159,7 +168,7 @@ def judge(texts: list[str | None], model: Model | None) -> tuple[list[str], np.n
         windows.clear()
 
     for k, text in enumerate(texts):
-        if model is None or text is None or not _LETTER.search(text):
+        if model is None or text is None or not has_letter(text):
             continue
         rows.append(k)
         windows.append(cut_windows(text.encode()))
@@ -194,10 +203,10 @@ def least_score(docs: DataFrame, model: Model | None) -> float:
     if model is None:
         return 0.0
     unseen = docs.where(held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).withColumn("by", F.xxhash64("doc_id"))
-    few = unseen.select("by").orderBy("by").limit(CALIBRATION).agg(F.max("by").alias("last")).first()["last"]
-    if few is None:
+    few = least_hashes(unseen.select("by"), "by", unseen.count(), CALIBRATION).agg(F.max("by").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    if not few["n"]:
         return 0.0
-    found = predict(unseen.where(F.col("by") <= few), model).where(F.col("lang_pred") != UNKNOWN)
+    found = predict(unseen.where(F.col("by") <= few["last"]), model).where(F.col("lang_pred") != UNKNOWN)
     return threshold([r["score"] for r in found.select("score").limit(CALIBRATION).collect()], CLEAN_LOSS)
 
 
@@ -208,7 +217,7 @@ def recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             if model is None:
-                keep = [bool(t and _LETTER.search(t)) for t in texts]
+                keep = [bool(t and has_letter(t)) for t in texts]
             else:
                 pred, score = judge(texts, model)
                 keep = [p != UNKNOWN and s >= least for p, s in zip(pred, score)]

@@ -1,39 +1,5 @@
 """Intermediate tables in the folder that the driver and all executors share."""
 
-from __future__ import annotations
+from lodestone.store import drop, new_path, shared_dir, temporary, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (tests), a new local folder."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lodestone.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("lodestone.shared.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage: a lost executor
-    costs the tasks that ran on it, not the stages before."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Removes a table made by ``written`` that no later result reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop", "new_path", "shared_dir", "temporary", "written"]
