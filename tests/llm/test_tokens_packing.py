@@ -177,6 +177,11 @@ def test_exact_groups(spark):
     for support in (0.001, 0.9):
         got = exact_dedup.exact_groups(frame, support).collect()
         assert len(got) == len(rows)
-        found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got}
+        assert sorted(r.kept for r in got if r.doc_id == 4) == [False, True]  # of two equal rows one stays
+        found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in sorted(got, key=lambda r: r.kept)}
         assert found == {5: (9, 2, False), 9: (9, 2, True), 2: (2, 1, True), 3: (3, 1, True), 7: (8, 2, False), 8: (8, 2, True), None: (None, 1, True), 4: (4, 2, True)}
     assert exact_dedup.exact_groups(frame.limit(0)).count() == 0
+    none = exact_dedup.exact_groups(spark.createDataFrame([(None, "same"), (None, "Same"), (None, "sAme" * 300_000)], "doc_id long, text string")).collect()
+    assert sorted((r.group_size, r.kept) for r in none) == [(1, True), (2, False), (2, True)]
+    heavy = exact_dedup.heavy_groups(exact_dedup.digests(frame), 0.25)  # three pairs of ten rows each do not pass a quarter
+    assert heavy.count() == 0
