@@ -15,14 +15,14 @@ def components(links: DataFrame) -> DataFrame:
     about log n rounds; each round is written to the shared folder."""
     edges = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a != b").distinct()
     edges = written(edges, "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
+    table = labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("mid"))
         above = labels.select(F.col("node").alias("mid"), F.col("label").alias("top"))
         moved = written(stepped.join(above, "mid", "left").select("node", "old", F.least("mid", F.coalesce("top", "mid")).alias("label")), "labels")
         changed = moved.where("old != label").limit(1).count()
-        drop(labels)
-        labels = moved.select("node", "label")
+        drop(table)
+        table, labels = moved, moved.select("node", "label")
         if not changed:
             return labels

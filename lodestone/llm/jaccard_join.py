@@ -18,7 +18,7 @@ with one hub, the one that is in most long lists. What the verified hub links le
 nodes that can link at all meet by hub, in blocks of bounded size, where exact counts of common tokens come from
 matrix products, and only links between groups come out. A node cannot link if its tokens occur nowhere else in long lists
 to such an extent that no partner of its lists can reach the threshold. That leaves out no link. Every link is verified on
-whole token sets, in 64-bit hashes of shingles.
+whole token sets, in 64-bit hashes of shingles; sets are equal when 128 bits of their signatures are.
 
 Cases: null, empty and blank texts have an empty set and link with nothing. Texts of fewer than k words have one shingle,
 the whole sequence. A null doc_id is smaller than any other and then gives a null component_id. Repeated rows are
@@ -46,9 +46,11 @@ NULL_ID = -(1 << 63)
 LONG = 8
 #: Bounds of a block of nodes that are compared with each other.
 BLOCK_NODES, BLOCK_TOKENS = 1000, 2_000_000
-#: Into so many parts the nodes of one group of tokens are dealt.
-NODE_PARTS = 64
-_TOKEN = np.uint64(0xD1B54A32D192ED03)
+#: Tokens, and index entries, of one group on average.
+GROUP_TOKENS = 2_000_000
+#: Signatures that different sets share; more of them say that the hash is broken.
+MOST_SHARED = 10_000
+_TOKEN, _CHECK = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def band_starts(percent: int, upto: int) -> np.ndarray:
@@ -95,19 +97,31 @@ def _slice_sets(w, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row, token
 
 
-def _signatures(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def _sums(at: np.ndarray, token: np.ndarray, salt: np.uint64) -> np.ndarray:
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(token + salt), dtype=np.uint64)])
+    return sums[at[1:]] - sums[at[:-1]]
+
+
+def _signatures(row: np.ndarray, token: np.ndarray, rows: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, signature (of so many bits) and a second, independent signature of each set."""
     n = np.bincount(row, minlength=rows)
     at = np.concatenate([[0], np.cumsum(n)])
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(token + _TOKEN), dtype=np.uint64)])
-    return n, mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(n.astype(np.uint64))).view(np.int64)
+    size = mix(n.astype(np.uint64))
+    return n, (mix(_sums(at, token, _TOKEN) ^ size) >> np.uint64(64 - bits)).view(np.int64), mix(_sums(at, token, _CHECK) ^ size).view(np.int64)
+
+
+def _nodes(row: np.ndarray, token: np.ndarray, rows: int, shared: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size and node of each set: its signature, or both in one where different sets share the first."""
+    n, sig, check = _signatures(row, token, rows, bits)
+    return n, np.where(np.isin(sig, shared), sig ^ check, sig)
 
 
-def _base(k: int):
+def _base(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in word_slices(batch.column("text"), lower=True):
-                n, sig = _signatures(*_slice_sets(w, k), w.end - w.begin)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.begin, w.end - w.begin), pa.array(n.astype(np.int64)), pa.array(sig)], ["doc_id", "n_shingles", "sig"])
+                n, sig, check = _signatures(*_slice_sets(w, k), w.end - w.begin, bits)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.begin, w.end - w.begin), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(check)], ["doc_id", "n_shingles", "sig", "check"])
 
     return run
 
@@ -139,12 +153,12 @@ def _scheme_entries(row, token, n, sig, percent: int, starts: np.ndarray):
             yield mix(sums[cell] - value[use] + np.tile(salt, len(rows))[cell]), np.full(len(cell), low, np.uint8), rows[cell // m]
 
 
-def _entries(k: int, percent: int, groups: int):
+def _entries(k: int, percent: int, groups: int, shared: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in word_slices(batch.column("text"), lower=True):
                 row, token = _slice_sets(w, k)
-                n, sig = _signatures(row, token, w.end - w.begin)
+                n, sig = _nodes(row, token, w.end - w.begin, shared, bits)
                 _, once = np.unique(sig, return_index=True)  # equal sets of a slice are indexed once
                 keep = np.zeros(len(n), bool)
                 keep[once] = True
@@ -216,14 +230,14 @@ def _lists(percent: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, shared: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in word_slices(batch.column("text"), lower=True):
                 row, token = _slice_sets(w, k)
                 at = np.searchsorted(row, np.arange(w.end - w.begin + 1))
                 node = batch.column("node").slice(w.begin, w.end - w.begin)
-                own = pa.array(_signatures(row, token, w.end - w.begin)[1] == node.to_numpy())  # other rows may share the doc_id
+                own = pa.array(_nodes(row, token, w.end - w.begin, shared, bits)[1] == node.to_numpy())  # other rows may share the doc_id
                 blobs = pa.array([token[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([node.filter(own), blobs.filter(own)], ["node", "tokens"])
 
@@ -283,7 +297,7 @@ def _block_links(percent: int):
     return run
 
 
-def _rare(groups: int):
+def _rare(groups: int, node_parts: int):
     """By group of tokens: how many of each node's tokens no other node has."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +324,7 @@ def _rare(groups: int):
         _, first, many = np.unique(rec["token"], return_index=True, return_counts=True)
         rec = rec[first[many == 1]]
         node = np.sort(rec["node"][rec["many"] == 0])
-        part = (mix(node.view(np.uint64)) % np.uint64(NODE_PARTS)).astype(np.int64)
+        part = (mix(node.view(np.uint64)) % np.uint64(node_parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         blobs = [(int(part[p[0]]), node[p].tobytes()) for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(p)]
         return pd.DataFrame(blobs, columns=["part", "blob"])
@@ -322,16 +336,25 @@ def _rare(groups: int):
     return deal, alone, count
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 64) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the least doc_id it reaches by links of at least
-    percent / 100 Jaccard similarity between sets of k-word shingles (A-Z lower-cased)."""
+    percent / 100 Jaccard similarity between sets of k-word shingles (A-Z lower-cased). bits: of the signatures that name sets."""
     spark = docs.sparkSession
-    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = written(rows.mapInArrow(_base(k), "doc_id long, n_shingles long, sig long"), "sets")
-    nodes = base.where("n_shingles > 0").groupBy(F.col("sig").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    nodes = written(nodes, "nodes")
-    lists = rows.mapInArrow(_entries(k, percent, groups), "group int, blob binary").groupBy("group").applyInPandas(_lists(percent), LISTS)
+    base = written(rows.mapInArrow(_base(k, bits), "doc_id long, n_shingles long, sig long, check long"), "sets")
+    equal = written(base.where("n_shingles > 0").groupBy("sig", "check").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "equal")
+    # signatures that different sets share are hardly ever any: a few in 10^10 sets
+    shared = np.array(sorted(r["sig"] for r in equal.groupBy("sig").count().where("count > 1").select("sig").limit(MOST_SHARED + 1).collect()), np.int64)
+    if len(shared) > MOST_SHARED:
+        raise ValueError("more signatures are shared by different sets than a 64-bit hash can explain")
+    node = F.when(F.col("sig").isin(shared.tolist()), F.col("sig").bitwiseXOR(F.col("check"))).otherwise(F.col("sig"))
+    nodes = equal.select(node.alias("node"), "doc_id", "n")
+    # groups are as many as keep their size, whatever the corpus has
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens, sets_ = equal.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    groups = max(4 * parts, -(-(tokens + 30 * sets_) // GROUP_TOKENS))
+    node_parts = max(64, groups // 4)
+    lists = rows.mapInArrow(_entries(k, percent, groups, shared, bits), "group int, blob binary").groupBy("group").applyInPandas(_lists(percent), LISTS)
     lists = written(lists, "lists")
     long = lists.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"), "weight", "scheme", "spare")
     # the sets that short lists may not do for
@@ -351,11 +374,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = shown.where(F.col("shown") >= enough).select("a", "b").union(stars.select(F.least("node", "hub"), F.greatest("node", "hub"))).distinct()
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct().join(nodes, "node").select("doc_id", "node")
-    sets = written(rows.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets(k), "node long, tokens binary"), "tokens")
+    sets = written(rows.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets(k, shared, bits), "node long, tokens binary"), "tokens")
     links = written(_verify(pairs, sets, percent), "links")
     labels = components(links)
     # what hubs left apart in long lists
-    deal, alone, count = _rare(groups)
+    deal, alone, count = _rare(groups, node_parts)
     rare = sets.join(members.select("node"), "node", "left_semi").mapInArrow(deal, "group int, blob binary").groupBy("group").applyInPandas(alone, "part int, blob binary").groupBy("part").applyInPandas(count, "node long, rare long")
     near = bound.join(hubs.select("list", "least"), "list").groupBy("node").agg(F.min("least").alias("least"))
     able = members.join(near, "node").join(rare, "node", "left").withColumn("cap", F.col("n") - F.coalesce("rare", F.lit(0)))
@@ -372,7 +395,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     labels = components(links.union(more)) if more.limit(1).count() else labels
     named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "label").select(F.col("node").alias("sig"), "component_id")
-    out = base.where("n_shingles > 0").join(found, "sig").select("doc_id", "n_shingles", "component_id")
+    found = named.join(least, "label").select("node", "component_id")
+    out = base.where("n_shingles > 0").withColumn("node", node).join(found, "node").select("doc_id", "n_shingles", "component_id")
     out = out.union(base.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
     return out.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(NULL_ID)).alias("component_id"))

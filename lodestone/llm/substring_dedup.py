@@ -10,8 +10,8 @@ suffixes that can repeat, so three jobs come before the trees:
    need no tree: all their windows repeat.
 3. Groups by variable-length prefixes. Suffixes are dealt by the anchor's k words, read from the anchor on; where an anchor
    occurs more than ``group`` times, its prefix is lengthened to the whole window, and equal windows of one slice are
-   merged before the shuffle. So no group outgrows a task, and a passage that a third of all documents share is one
-   suffix per slice.
+   merged before the shuffle, so that a passage that a third of all documents share is one suffix per slice. Groups are as many
+   as keep ``GROUP_MARKS`` repeated anchors in each on average.
 
 In each group the suffixes are sorted and neighbours compared: the sorted leaves and the lengths of their common prefixes
 are the subtree, and a run of leaves that agree on all ``width`` words is an internal node at that depth, a repeat. Its
@@ -43,6 +43,8 @@ from lodestone.llm.words import mix, runs_hash, text_buffers, within_row, word_s
 K = 5
 #: An anchor that occurs more often is dealt by the whole window.
 GROUP = 500
+#: Repeated anchors of one group of suffixes, on average.
+GROUP_MARKS = 100_000
 #: Stands for a null doc_id inside the jobs.
 NULL_ID = -(1 << 63)
 
@@ -79,14 +81,17 @@ def _entries(width: int):
                 # one entry for the whole document: a hash over the codes with their places, at place -1
                 place = np.arange(len(w.code)) - np.repeat(w.first[:-1], np.diff(w.first))
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(w.code + mix(place.astype(np.uint64))), dtype=np.uint64)])
+                total = sums[w.first[long + 1]] - sums[w.first[long]]
                 whole = mix((sums[w.first[long + 1]] - sums[w.first[long]]) ^ mix(np.diff(w.first)[long].astype(np.uint64) + np.uint64(1 << 40)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([runs[anchor], whole]).view(np.int64)),
+                        # the last bit of a key tells whole documents from anchors; 32 more bits of another hash tell documents apart
+                        pa.array(np.concatenate([runs[anchor] & ~np.uint64(1), whole | np.uint64(1)]).view(np.int64)),
+                        pa.array(np.concatenate([np.zeros(len(anchor), np.uint64), mix(total + np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)]).astype(np.uint32).view(np.int32)),
                         pa.array(np.concatenate([ids[w.begin + row], ids[w.begin + long]])),
                         pa.array(np.concatenate([anchor - w.first[row], np.full(len(long), -1)]).astype(np.int32)),
                     ],
-                    ["key", "doc_id", "pos"],
+                    ["key", "check", "doc_id", "pos"],
                 )
 
     return run
@@ -262,13 +267,15 @@ def remove_repeats(docs: DataFrame, width: int = 20, with_text: bool = False) ->
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     if not K <= width <= 255:
         raise ValueError(f"width must be from {K} to 255")
-    groups = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = one_id_a_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), OWN_ID, "text")
-    entries = written(rows.select("doc_id", "text").mapInArrow(_entries(width), "key long, doc_id long, pos int"), "anchors")
-    repeated = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    entries = written(rows.select("doc_id", "text").mapInArrow(_entries(width), "key long, check int, doc_id long, pos int"), "anchors")
+    repeated = entries.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
     repeated = written(repeated, "repeated")
-    found = entries.join(repeated, "key").where("pos >= 0 or doc_id > least")
+    # groups are as many as keep their size, whatever the corpus has
+    n_marks = repeated.where("(key & 1) = 0").agg(F.sum("n")).first()[0] or 0
+    groups = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_marks // GROUP_MARKS))
+    found = entries.join(repeated, ["key", "check"]).where("pos >= 0 or doc_id > least")
     marks = found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", (F.col("n") > GROUP).alias("hot"))).alias("marks"))
     marked = rows.join(marks, "doc_id", "left")
     suffixes = marked.where("marks is not null").mapInArrow(_suffixes(width, groups), "group int, kind int, blob binary")

@@ -91,3 +91,20 @@ def test_on_the_tables(spark):
     assert got == brute.substring_dedup(rows, 20)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(docs, 4, 85).collect()}
     assert got == brute.jaccard_groups(rows, 4, 85)
+
+
+def test_sets_that_share_a_signature_stay_apart(spark):
+    docs = made_corpus(7, 120)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(frame(spark, docs), 3, 80, bits=5).collect()}
+    assert got == brute.jaccard_groups(docs, 3, 80)
+
+
+def test_groups_grow_with_the_table(spark, monkeypatch):
+    """With more suffixes than one group may have on average there are more groups, and the result is the same."""
+    monkeypatch.setattr(substring_dedup, "GROUP_MARKS", 20)
+    monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", 100)
+    docs = made_corpus(8)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, docs), 20).collect()}
+    assert got == brute.substring_dedup(docs, 20)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(frame(spark, docs), 4, 85).collect()}
+    assert found == brute.jaccard_groups(docs, 4, 85)
