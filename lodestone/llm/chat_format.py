@@ -12,7 +12,8 @@ it. The loss mask has the text of each assistant turn in the one window where it
 
 Cases: null texts and roles are empty, a null conv_id is a conversation of its own. Rows of one conversation with equal
 turn numbers are ordered by role, then text; repeated rows are turns each. An empty table gives no windows. Other
-columns are not read. A conversation is one value in ``read_back``, so its turns meet in one task there; windows do not.
+columns are not read. A conversation's turns meet in one task, in ``windows`` for their order and in ``read_back`` as one value, which ends at
+Spark's 2 GB for a value.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Where a control string begins: its first character, before the rest.
 CONTROL = r"([<\[])(?=\||/?INST\]|/?s>|</?SYS>>)"
-TOKEN = r"\w+|[^\w\s]"
+#: What counts as a token: at most six word characters, or one other character (a letter beyond ASCII is one too).
+TOKEN = r"\w{1,6}|[^\w\s]"
 
 
 def escape(text: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.native_text import bare_words, gram_hashes, gram_texts, words
-from lodestone.llm.row_ids import one_id_a_row, with_own_ids
+from lodestone.llm.row_ids import one_id_a_row, with_own_ids, without_ids
 from lodestone.llm.store import written
 
 #: Rows of a table that is broadcast.
@@ -76,5 +76,4 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent:
 def without_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that contain no item; rows that share a doc_id, or have none, are judged each."""
     rows = one_id_a_row(docs)
-    bad = contained_items(rows, benchmark, k, percent).select(F.col("doc_id").alias("bad_id")).distinct()
-    return with_own_ids(rows.join(bad, rows["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti"), docs.columns)
+    return with_own_ids(without_ids(rows, contained_items(rows, benchmark, k, percent).select("doc_id")), docs.columns)

@@ -23,6 +23,18 @@ def one_id_a_row(docs: DataFrame) -> DataFrame:
     return written(rows.join(ranks, "row").withColumn("doc_id", F.col("rank").cast("long")).drop("row", "rank"), "numbered")
 
 
+#: Ids that are broadcast at most.
+MAX_BROADCAST = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (of one_id_a_row) whose doc_id is not in the one column of ids. Few enough ids are broadcast, so that the texts stay
+    where they are; more are joined by a shuffle."""
+    ids = written(ids.toDF("dropped_id").distinct(), "dropped")
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["dropped_id"]), "left_anti")
+
+
 def with_own_ids(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of a table of one_id_a_row, doc_id as it was given."""
     return rows.select(*[F.col(OWN_ID).alias(c) if c == "doc_id" else c for c in columns])
