@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline  # noqa: E402
-from lodestone.llm import chat_format, langid, url_filter  # noqa: E402
+from lodestone.llm import chat_format, langid, sampling, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -142,3 +142,19 @@ def test_windows_keep_the_system_turn_and_the_budget(spark):
     many = chat_format.windows(rows, 120, 40).where("conv_id = 6").withColumn("tokens", F.regexp_count("formatted", F.lit(chat_format.TOKEN))).collect()
     assert len(many) > 3 and max(w.tokens for w in many) <= 120
     assert any(w.n_repeated > 0 for w in many)
+
+
+@pytest.mark.parametrize("text, want", [("½ 12", False), ("² ³ ¹", False), ("Ⅷ", False), ("_ 7 -", False), ("", False), ("1é", True), ("数", True), ("12 ʰ", True)])
+def test_letters_are_letters_only(text, want):
+    assert langid.has_letter(text) == want
+    model = langid.train(["ab cd", "xy zw"] * 8, ["en", "de"] * 8)
+    assert (langid.judge([text], model)[0][0] != langid.UNKNOWN) == want
+
+
+def test_samples_are_the_least_hashes(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("by"), "id")
+    hashes = sorted(r.by for r in rows.collect())
+    assert [r.by for r in sampling.least_hashes(rows, "by", 20_000, 500).collect()] == hashes[:500]
+    assert sampling.least_hashes(rows, "by", 20_000, 30_000).count() == 20_000
+    plan = sampling.least_hashes(rows, "by", 20_000, 500)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (xxhash64" in plan or "Filter (by" in plan
