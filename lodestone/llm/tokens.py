@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from lodestone.llm.words import text_buffers
 
 #: Distinct pieces that a Python worker keeps before it drops those that only one slice had.
-CACHE = 600_000
+CACHE = 1_000_000
 #: Bytes of text that are encoded at once; one longer text is encoded alone.
 SLICE = 1 << 23
 #: White space other than single spaces and line ends between other characters (RE2).
