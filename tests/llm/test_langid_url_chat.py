@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline  # noqa: E402
+from lodestone import store  # noqa: E402
 from lodestone.llm import chat_format, langid, sampling, url_filter  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
@@ -135,6 +136,26 @@ def test_chat_round_trip(spark, budget, history):
     assert chat_format.read_back(chat_format.windows(rows.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("budget, history", [(1024, 256), (60, 20), (10, 3)])
+@pytest.mark.parametrize("long", [0, 500])
+def test_long_conversations_have_the_same_windows(spark, budget, history, long):
+    """Conversations that are dealt to many tasks by ranges, all of them or the long ones, have the windows of those in one task."""
+    rows = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").repartition(3)
+    fields = lambda df: sorted(((r.conv_id is None, r.conv_id or 0, r.window, r.n_repeated, r.formatted, r.loss) for r in df.collect()), key=str)
+    assert fields(chat_format.windows(rows, budget, history, long)) == fields(chat_format.windows(rows, budget, history))
+    assert chat_format.windows(rows.limit(0), budget, history, long).count() == 0
+
+
+def test_a_conversation_of_many_turns_goes_to_many_tasks(spark):
+    rows = spark.range(20000).select(F.lit(1).alias("conv_id"), (F.col("id") % 6000).alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("word "), "id").alias("text"))
+    own = chat_format._by_ranges(chat_format._turns(rows), 1024, 256)
+    assert own.groupBy("pos").count().count() == 20000 and own.agg(F.max("pos")).first()[0] == 20000
+    dealt = spark.read.parquet([p for p in store._made if "/turns-" in p][-1])
+    assert dealt.groupBy("range").count().agg(F.max("count")).first()[0] < 2 * 20000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got, want = (chat_format.read_back(chat_format.windows(rows, long=n)).first() for n in (0, 1 << 40))
+    assert got == want
+
+
 def test_windows_keep_the_system_turn_and_the_budget(spark):
     rows = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string")
     own = chat_format.windows(rows, 200, 50).where("conv_id = 1").orderBy("window").collect()
