@@ -77,6 +77,48 @@ def candidate_windows(rows: DataFrame, chars: int = 6000, many: int = 32) -> Dat
     return rows.groupBy("document_id").applyInPandas(run, "document_id long, place long, kind string, text string, win int")
 
 
+def accept_candidate(base: DataFrame, candidate: DataFrame, tiny: int = 100) -> DataFrame:
+    """Whether the units of a candidate (document_id, chars) may take the place of those of the base: not where there are more of them
+    and two tiny ones more at least. Documents that only one of them has are judged against none."""
+    count = lambda df, name: df.groupBy("document_id").agg(F.count(F.lit(1)).alias(name), F.count_if(F.col("chars") < tiny).alias(name + "_tiny"))
+    both = count(base, "base").join(count(candidate, "candidate"), "document_id", "full").fillna(0)
+    return both.withColumn("accepted", ~((F.col("candidate") > F.col("base")) & (F.col("candidate_tiny") >= F.col("base_tiny") + 2)))
+
+
+def page_safe(rows: DataFrame, quality: DataFrame) -> DataFrame:
+    """Headings of documents whose verdict in quality (one row a document) is fallback are paragraphs, so that they open no sections."""
+    verdict = quality.select("document_id", "verdict")
+    kind = F.when((F.col("kind") == "heading") & (F.col("verdict") == "fallback"), "paragraph").otherwise(F.col("kind"))
+    return rows.join(verdict, "document_id", "left").withColumn("kind", kind).drop("verdict")
+
+
+#: Where a span of source text ends best: after a line, else after a sentence.
+ENDS = (r"\n", r"[.!?。！？]")
+
+
+def source_spans(documents: DataFrame, size: int = 600) -> DataFrame:
+    """document_id, span, begin and end of spans of at most size characters that follow each other without a gap. A span ends after
+    the last line, else the last sentence, that ends in its second half, else at size. An empty or null text has none."""
+    import re
+
+    marks = [re.compile(f"(?s).*{end}") for end in ENDS]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for document, text in zip(batch["document_id"], batch["text"]):
+                begin, span, text = 0, 0, text or ""
+                while begin < len(text):
+                    found = (m.match(text, begin, begin + size) for m in marks)
+                    best = next((m.end() for m in found if m and m.end() - begin > size // 2), begin + size)
+                    end = best if len(text) - begin > size else len(text)
+                    out.append((document, span, begin, end))
+                    begin, span = end, span + 1
+            yield pd.DataFrame(out, columns=["document_id", "span", "begin", "end"])
+
+    return documents.select("document_id", "text").mapInPandas(run, "document_id long, span long, begin long, end long")
+
+
 def row_parts(rows: DataFrame, size: int) -> DataFrame:
     """n, part and text of table rows (n, line): a line longer than size is cut into parts that name their row, part and number of parts."""
     k = F.greatest(F.ceil(F.length("line") / size), F.lit(1)).cast("int")

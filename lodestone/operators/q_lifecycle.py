@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import store
 from lodestone.catalog import table
 from lodestone.operators import chunking, evidence
 from lodestone.operators import relations as R
-from lodestone.operators.q_documents import documents
+from lodestone.operators.q_documents import BLOCKS, documents
 from lodestone.operators.q_plan import DATASET, FIELDS, dataset
 from lodestone.operators.q_search import CHUNKS
 from lodestone.operators.registry import query
 from lodestone.plans import compiler, units
 from lodestone.plans.model import Field, validate
+from lodestone.sources import snapshots
 
 
 def _labelled(spark: SparkSession, sf: str, condition: str) -> DataFrame:
@@ -113,3 +115,48 @@ def plan_echo(spark: SparkSession, sf: str) -> DataFrame:
     echo = validate({"metric": "sum", "metric_column": "amount", "group_by": ["segment"], "limit": 20}, FIELDS).echo()
     said = [F.lit(echo["metric"]).alias("metric"), F.lit(echo["metric_column"]).alias("metric_column"), F.lit(",".join(echo["group_by"])).alias("group_by"), F.lit(echo["limit"]).alias("limit")]
     return dataset(spark, sf).agg(F.count(F.lit(1)).alias("source_rows")).select(*said, "source_rows")
+
+
+@query("split_source_spans", r"""WITH RECURSIVE t AS (SELECT doc_id AS document_id, text, length(text) AS n, 0 AS "begin", 0 AS "end", -1 AS span FROM documents
+UNION ALL SELECT document_id, text, n, "end", "end" + CASE WHEN n - "end" <= 600 THEN n - "end" WHEN length(regexp_extract(w, '(?s)^.*\n')) > 300 THEN length(regexp_extract(w, '(?s)^.*\n')) WHEN length(regexp_extract(w, '(?s)^.*[.!?。！？]')) > 300 THEN length(regexp_extract(w, '(?s)^.*[.!?。！？]')) ELSE 600 END, span + 1
+  FROM (SELECT *, substr(text, "end" + 1, 600) AS w FROM t WHERE "end" < n)) SELECT document_id, CAST(span AS BIGINT) AS span, CAST("begin" AS BIGINT) AS "begin", CAST("end" AS BIGINT) AS "end" FROM t WHERE span >= 0""")
+def split_source_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.source_spans(documents(spark, sf))
+
+
+QUALITY = """, p AS (SELECT document_id, count(*) AS n, count(*) FILTER (WHERE length(text) < 80) AS n_short, count(*) - count(DISTINCT text) AS n_repeated FROM blocks GROUP BY 1),
+q AS (SELECT document_id, 100 - CAST(round_even(45.0 * n_short / n, 0) AS BIGINT) - least(2 * n_repeated, 20) < 60 AS fallback FROM p)"""
+
+
+@query("page_safe_fallback", BLOCKS + QUALITY + " SELECT document_id, place, CASE WHEN fallback AND kind = 'heading' THEN 'paragraph' ELSE kind END AS kind FROM blocks JOIN q USING (document_id)")
+def page_safe_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks of documents with low chunk quality, without headings."""
+    blocks = chunking.blocks(documents(spark, sf))
+    return chunking.page_safe(blocks, chunking.chunk_quality(blocks.withColumnRenamed("text", "content"))).select("document_id", "place", "kind")
+
+
+@query("candidate_build", BLOCKS + """, b AS (SELECT document_id, sum(length(text)) AS chars FROM (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY place) AS section FROM blocks) GROUP BY document_id, section),
+x AS (SELECT document_id, count(*) AS base, count(*) FILTER (WHERE chars < 100) AS base_tiny FROM b GROUP BY 1), y AS (SELECT document_id, count(*) AS candidate, count(*) FILTER (WHERE length(text) < 100) AS candidate_tiny FROM blocks GROUP BY 1)
+SELECT *, NOT (candidate > base AND candidate_tiny >= base_tiny + 2) AS accepted FROM x JOIN y USING (document_id)""")
+def candidate_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Single blocks as a candidate for the sections of a document."""
+    blocks = chunking.blocks(documents(spark, sf))
+    sections = chunking.sections(blocks, F.col("kind") == "heading").groupBy("document_id", "section").agg(F.sum(F.length("text")).alias("chars"))
+    return chunking.accept_candidate(sections.select("document_id", "chars"), blocks.select("document_id", F.length("text").alias("chars")))
+
+
+@query("output_validate", """SELECT event_id, CASE WHEN NOT json_valid(props) THEN 'not_json' WHEN json_keys(props) = ['k'] AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'ok' ELSE 'wrong_shape' END AS whole,
+CASE WHEN json_valid('{"stage":"' || event_type || '","props":' || props) THEN 'ok' ELSE 'not_json' END AS cut FROM events""")
+def output_validate(spark: SparkSession, sf: str) -> DataFrame:
+    """Outputs against their contract, whole and with the last brace lost."""
+    cut = F.concat(F.lit('{"stage":"'), "event_type", F.lit('","props":'), "props")
+    return table(spark, sf, "events").select("event_id", R.output_verdict(F.col("props"), "OBJECT<k: BIGINT>").alias("whole"), R.output_verdict(cut, "OBJECT<props: OBJECT<k: BIGINT>, stage: STRING>").alias("cut"))
+
+
+@query("database_refresh", "SELECT * FROM (SELECT 1 AS step, 'published' AS outcome, count(*) AS n_rows FROM customer UNION ALL SELECT 2, 'kept', count(*) FROM customer UNION ALL SELECT 3, 'published', count(*) FROM supplier)")
+def database_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Imports of a table, the second of which comes back empty."""
+    root = store.new_path(spark, "refreshed")
+    customer, supplier = (table(spark, sf, name).select(F.col(f"{name[0]}_name").alias("name")) for name in ("customer", "supplier"))
+    out = [(k, snapshots.refresh(rows, root), snapshots.active(spark, root).count()) for k, rows in enumerate((customer, customer.limit(0), supplier), 1)]
+    return spark.createDataFrame(out, "step int, outcome string, n_rows long")

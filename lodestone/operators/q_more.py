@@ -224,13 +224,11 @@ def dataset_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where(F.contains("text", F.lit(" | "))).select(F.col("doc_id").alias("document_id")).distinct().orderBy(F.desc("document_id")).limit(12)
 
 
-@query("progress_ledger", "SELECT * FROM (VALUES (1, 'a,b'), (2, 'c'), (3, '')) t(step, news)")
+@query("progress_ledger", "SELECT user_id, min(event_id) AS event_id, event_type AS news FROM events GROUP BY user_id, event_type")
 def progress_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """What each step of an analysis adds to what the steps before had found."""
-    steps = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["a", "c"])], "step int, found array<string>")
-    w = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # a bounded loop's few steps
-    known = F.flatten(F.collect_list("found").over(w))
-    return steps.select("step", F.array_join(F.array_except("found", known), ",").alias("news"))
+    """What each step of a run adds to what the steps before it had found: the events of a user are its steps, their types the findings."""
+    found = R.new_information(table(spark, sf, "events"), ["user_id"], ["event_id"], "event_type")
+    return found.withColumnRenamed("event_type", "news")
 
 
 @query("collect_evidence", LEXICAL + f", f AS (SELECT document_id, sum(1.0 / (60 + rank)) AS score FROM u GROUP BY 1), b AS (SELECT document_id, chunk_id, content, row_number() OVER (PARTITION BY document_id ORDER BY {SCORE} DESC, chunk_id) AS n FROM chunks WHERE {SCORE} >= 2) SELECT f.document_id, b.chunk_id, substr(b.content, 1, 600) AS snippet FROM f JOIN b ON b.document_id = f.document_id AND b.n = 1 ORDER BY f.score DESC, f.document_id LIMIT 8")

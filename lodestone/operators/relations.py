@@ -116,3 +116,15 @@ def hierarchy(n_windows: int, fan: int = 4) -> list[tuple[int, int, int, int]]:
         if count == 1:
             break
     return out
+
+
+def new_information(rows: DataFrame, keys: list[str], order: list[str], found: str) -> DataFrame:
+    """Of the rows of each group, those whose finding no earlier row of it has; the earliest combine before the shuffle."""
+    first = F.min(F.struct(*order)).alias("first")
+    return rows.groupBy(*keys, found).agg(first).select(*keys, *[F.col("first")[c].alias(c) for c in order], found)
+
+
+def output_verdict(text: Column, contract: str) -> Column:
+    """Whether a JSON text keeps to a contract, given as the schema of its variant: ok, not_json, or wrong_shape (missing, further or wrongly typed fields)."""
+    value = F.try_parse_json(text)
+    return F.when(value.isNull(), "not_json").when(F.schema_of_variant(value) == contract, "ok").otherwise("wrong_shape")

@@ -46,6 +46,14 @@ def publish(rows: DataFrame, root: str) -> int:
     return version
 
 
+def refresh(rows: DataFrame, root: str) -> str:
+    """Imports a table anew: published, or kept where it came back empty, for then the version before stays active."""
+    if rows.isEmpty():
+        return "kept"
+    publish(rows, root)
+    return "published"
+
+
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """key and state (added, removed, changed, unchanged) of the rows of two versions; rows are compared by all their columns."""
     row = lambda df: df.select(F.col(key), F.xxhash64(*[F.coalesce(F.col(f"`{c}`"), F.lit("\0")) for c in sorted(df.columns)]).alias("row"))
