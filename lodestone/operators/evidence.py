@@ -112,3 +112,9 @@ def compatibility(old: dict, new: dict, canaries: list[tuple[list[float], list[f
 
 def canary_similarity(pairs: DataFrame) -> DataFrame:
     return pairs.select("name", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+def valid_boundaries(ends: Column, n: Column) -> Column:
+    """Whether ends of groups rise strictly and the last one is the number of blocks."""
+    rising = F.forall(F.transform(ends, lambda x, i: (i == 0) | (x > F.get(ends, i - 1))), lambda b: b)
+    return rising & (F.size(ends) > 0) & F.coalesce(F.get(ends, F.size(ends) - 1) == n, F.lit(False))

@@ -127,11 +127,14 @@ def evidence_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return cited.join(current, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", state.alias("state"))
 
 
-@query("citation_whitelist", "SELECT * FROM (VALUES (1, true, ''), (2, false, '9'), (3, false, '')) t(k, supported, unknown)")
+@query("citation_whitelist", """WITH x AS (SELECT l_orderkey, coalesce(list(l_linenumber ORDER BY l_linenumber) FILTER (WHERE l_returnflag = 'R'), []) AS cited, coalesce(list(l_linenumber) FILTER (WHERE l_linestatus = 'F'), []) AS known FROM lineitem GROUP BY 1),
+y AS (SELECT l_orderkey, cited, list_filter(cited, lambda c: NOT list_contains(known, c)) AS unknown FROM x) SELECT l_orderkey, len(cited) > 0 AND len(unknown) = 0 AS supported, array_to_string(list_sort(list_distinct(unknown)), ',') AS unknown FROM y""")
 def citation_whitelist(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["1", "2"], ["1", "2", "3"]), (2, ["1", "9"], ["1"]), (3, [], ["1"])], "k int, cited array<string>, known array<string>")
+    """An order's returned lines are what is cited, its finished lines what is known."""
+    lines = lambda rule: F.array_sort(F.collect_set(F.when(F.expr(rule), F.col("l_linenumber").cast("string"))))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(lines("l_returnflag = 'R'").alias("cited"), lines("l_linestatus = 'F'").alias("known"))
     left = E.uncited(F.col("cited"), F.col("known"))
-    return rows.select("k", ((F.size(left) == 0) & (F.size("cited") > 0)).alias("supported"), F.array_join(left, ",").alias("unknown"))
+    return rows.select("l_orderkey", ((F.size(left) == 0) & (F.size("cited") > 0)).alias("supported"), F.array_join(left, ",").alias("unknown"))
 
 
 @query("supporting_evidence", CHUNKS + ", h AS (SELECT * FROM chunks WHERE place = 0), a AS (SELECT document_id, chunk_id AS anchor_id, content AS body, place AS rank FROM chunks WHERE place >= 1) SELECT h.document_id, h.chunk_id, arg_min(anchor_id, rank) AS anchor_id FROM h JOIN a ON a.document_id = h.document_id WHERE NOT contains(h.content, body) GROUP BY 1, 2")
@@ -159,12 +162,13 @@ def window_risk_score(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("document_id", "win", F.expr("if(small >= 0.5 * n, 3, 0) + if(t > 0 and t < n, 4, 0) + if(chars > 3000 and t = 0, 2, 0)").alias("risk"))
 
 
-@query("boundary_validate", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false)) t(k, valid)")
+@query("boundary_validate", """WITH x AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_shipdate, l_linenumber) AS ends, max(l_linenumber) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey, ends = list_sort(ends) AND len(ends) = len(list_distinct(ends)) AND ends[-1] = n AS valid FROM x""")
 def boundary_validate(spark: SparkSession, sf: str) -> DataFrame:
-    """Ends of groups rise strictly and the last one is the number of blocks."""
-    rows = spark.createDataFrame([(1, [2, 5, 9], 9), (2, [2, 2, 9], 9), (3, [2, 5], 9), (4, [], 9)], "k int, ends array<int>, n int")
-    rising = F.forall(F.transform("ends", lambda x, i: (i == 0) | (x > F.get(F.col("ends"), i - 1))), lambda b: b)
-    return rows.select("k", (rising & (F.size("ends") > 0) & F.coalesce(F.get("ends", F.size("ends") - 1) == F.col("n"), F.lit(False))).alias("valid"))
+    """Whether the numbers of an order's lines, in the order of shipping, could be the ends of groups."""
+    parts = F.array_sort(F.collect_list(F.struct("l_shipdate", "l_linenumber")))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(parts.alias("parts"), F.max("l_linenumber").alias("n"))
+    return rows.select("l_orderkey", E.valid_boundaries(F.col("parts.l_linenumber"), F.col("n")).alias("valid"))
 
 
 @query("next_unit", "SELECT min(conv_id) AS conv_id, count(*) AS ready FROM (SELECT conv_id FROM conversations GROUP BY 1 HAVING bool_and(role <> 'system') AND count(*) >= 4)")
@@ -240,7 +244,9 @@ def collect_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return best.join(F.broadcast(fused), "document_id").orderBy(F.round("score", 12).desc(), "document_id").limit(8).select("document_id", "chunk_id", F.substring("content", 1, 600).alias("snippet"))
 
 
-@query("decode_bytes", "SELECT * FROM (VALUES (1, '数据'), (2, '数据'), (3, 'bom')) t(k, text)")
+@query("decode_bytes", "SELECT doc_id, text AS plain, text AS marked FROM documents")
 def decode_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "数据".encode()), (2, "数据".encode("gb18030")), (3, b"\xef\xbb\xbfbom")], "k int, raw binary")
-    return rows.select("k", E.decoded("raw").alias("text"))
+    """Texts from their bytes, without and with a mark of the encoding in front."""
+    raw = F.encode("text", "UTF-8")
+    rows = table(spark, sf, "documents").select("doc_id", raw.alias("raw"), F.concat(F.unhex(F.lit("EFBBBF")), raw).alias("with_mark"))
+    return rows.select("doc_id", E.decoded("raw").alias("plain"), E.decoded("with_mark").alias("marked"))

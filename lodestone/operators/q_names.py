@@ -187,11 +187,12 @@ def candidate_windows(spark: SparkSession, sf: str) -> DataFrame:
     return windows.groupBy("document_id", "win").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("normalize_filter", "SELECT '1,2,9' AS ids, 'src1,src2' AS sources")
+@query("normalize_filter", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_filter(list(l_partkey), lambda x: x > 0))), ',') AS ids, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS sources FROM lineitem GROUP BY 1")
 def normalize_filter(spark: SparkSession, sf: str) -> DataFrame:
-    raw = spark.createDataFrame([([9, 2, 1, 2, -4], ["src2", "src1", "src2"])], "ids array<int>, sources array<string>")
-    clean = lambda c: F.array_join(F.array_sort(F.array_distinct(c)).cast("array<string>"), ",")
-    return raw.select(clean(F.filter("ids", lambda x: x > 0)).alias("ids"), clean(F.col("sources")).alias("sources"))
+    """The parts and flags of an order's lines as a filter says them: positive, once each, in order."""
+    raw = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("ids"), F.collect_list("l_returnflag").alias("sources"))
+    said = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return raw.select("l_orderkey", said(R.filter_ids(F.col("ids"))).alias("ids"), said(R.filter_names(F.col("sources"))).alias("sources"))
 
 
 @query("search_paging", LEXICAL + ", f AS (SELECT document_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM u GROUP BY 1) SELECT document_id FROM f ORDER BY score DESC, document_id LIMIT 10 OFFSET 10")

@@ -23,10 +23,14 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 # scopes and facets
 
 
-@query("merge_filters", """SELECT * FROM (VALUES (1, '2,3'), (2, '1,5'), (3, '1,2'), (4, ''), (5, NULL)) t(k, merged)""")
+@query("merge_filters", """WITH x AS (SELECT l_orderkey, list(l_linenumber) FILTER (WHERE l_discount > 0.05) AS a, list(l_linenumber) FILTER (WHERE l_tax > 0.04) AS b FROM lineitem GROUP BY 1)
+SELECT l_orderkey, CASE WHEN a IS NULL THEN array_to_string(list_sort(list_distinct(b)), ',') WHEN b IS NULL THEN array_to_string(list_sort(list_distinct(a)), ',') ELSE array_to_string(list_sort(list_distinct(list_filter(a, lambda v: list_contains(b, v)))), ',') END AS merged FROM x""")
 def merge_filters(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [1, 2, 3], [3, 2, 9]), (2, None, [1, 5]), (3, [1, 2], None), (4, [1], [2]), (5, None, None)], "k int, a array<int>, b array<int>")
-    return rows.select("k", F.array_join(R.merge_filters(F.col("a"), F.col("b")), ",").alias("merged"))
+    """Two restrictions of an order's lines; one that names no line restricts nothing."""
+    named = lambda rule: F.array_sort(F.collect_set(F.when(F.expr(rule), F.col("l_linenumber"))))
+    sets = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(named("l_discount > 0.05").alias("a"), named("l_tax > 0.04").alias("b"))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return sets.select("l_orderkey", F.array_join(R.merge_filters(some("a"), some("b")), ",").alias("merged"))
 
 
 @query("selection_condition", "SELECT doc_id AS document_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) OR doc_id IN (SELECT item_id FROM benchmark)")

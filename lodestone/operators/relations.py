@@ -15,6 +15,15 @@ def merge_filters(a: Column, b: Column) -> Column:
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.array_sort(F.array_intersect(a, b)))
 
 
+def filter_ids(ids: Column) -> Column:
+    """Ids as a filter has them: positive, once each, in order."""
+    return F.array_sort(F.array_distinct(F.filter(ids, lambda x: x > 0)))
+
+
+def filter_names(names: Column) -> Column:
+    return F.array_sort(F.array_distinct(names))
+
+
 def selected(documents: DataFrame, keys: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents of the union of two id tables; two empty ones select nothing."""
     return documents.join(keys.select("document_id").union(ids.select("document_id")).distinct(), "document_id", "left_semi")

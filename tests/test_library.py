@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from lodestone import store
 from lodestone.functions import text, typed, vector
-from lodestone.operators import chunking, fusion, profile, relations, search
+from lodestone.operators import chunking, evidence, fusion, profile, relations, search
 from lodestone.operators.ranks import global_rank
 from lodestone.sources import html, snapshots, tables
 from lodestone.streaming import jobs
@@ -206,3 +206,52 @@ def test_evidence_helpers(spark):
     other = same | {"fingerprint": "g"}
     assert evidence.compatibility(same, other, []) == "unknown" and evidence.compatibility(same, other, [([1.0, 0.0], [1.0, 0.0])]) == "compatible"
     assert evidence.compatibility(same, other | {"dimension": 3}, []) == "rebuild_required"
+
+
+def test_filters_and_citations_by_hand(spark):
+    rows = spark.createDataFrame([(1, [1, 2, 3], [3, 2, 9]), (2, None, [1, 5]), (3, [1, 2], None), (4, [1], [2]), (5, None, None)], "k int, a array<int>, b array<int>")
+    assert [r[0] for r in rows.orderBy("k").select(relations.merge_filters(F.col("a"), F.col("b"))).collect()] == [[2, 3], [1, 5], [1, 2], [], None]
+    numbers = lambda *x: F.array(*[F.lit(v) for v in x])
+    assert one(spark, relations.filter_ids(numbers(9, 2, 1, 2, -4))) == [1, 2, 9]
+    assert one(spark, relations.filter_names(numbers("src2", "src1", "src2"))) == ["src1", "src2"]
+    assert one(spark, evidence.uncited(numbers("1", "9"), numbers("1"))) == ["9"]
+
+
+@pytest.mark.parametrize("ends, valid", [([2, 5, 9], True), ([2, 2, 9], False), ([2, 5], False), ([], False)])
+def test_boundaries(spark, ends, valid):
+    assert one(spark, evidence.valid_boundaries(F.lit(ends).cast("array<int>"), F.lit(9))) == valid
+
+
+def test_bytes_of_several_encodings(spark):
+    rows = spark.createDataFrame([(1, "数据".encode()), (2, "数据".encode("gb18030")), (3, b"\xef\xbb\xbfbom"), (4, None)], "k int, raw binary")
+    assert [r[0] for r in rows.orderBy("k").select(evidence.decoded("raw")).collect()] == ["数据", "数据", "bom", None]
+
+
+def test_news_outputs_and_candidates(spark):
+    steps = spark.createDataFrame([("r", 1, "a"), ("r", 1, "b"), ("r", 2, "b"), ("r", 2, "c"), ("r", 3, "a")], "run string, step int, key string")
+    news = relations.new_information(steps, ["run"], ["step"], "key")
+    assert sorted((r.step, r.key) for r in news.collect()) == [(1, "a"), (1, "b"), (2, "c")]
+    said = spark.createDataFrame([(k, t) for k, t in enumerate(['{"k": 1}', '{"k": "1"}', '{"k": 1, "x": 2}', "{}", "{", None])], "k int, t string")
+    verdicts = [r[0] for r in said.orderBy("k").select(relations.output_verdict(F.col("t"), "OBJECT<k: BIGINT>")).collect()]
+    assert verdicts == ["ok", "wrong_shape", "wrong_shape", "wrong_shape", "not_json", "not_json"]
+    units = lambda *x: spark.createDataFrame([(d, c) for d, c in x], "document_id long, chars int")
+    judged = chunking.accept_candidate(units((1, 500), (2, 500), (3, 10)), units((1, 250), (1, 90), (2, 90), (2, 90), (3, 9)))
+    assert {r.document_id: r.accepted for r in judged.collect()} == {1: True, 2: False, 3: True}
+
+
+def test_page_safe_blocks_and_source_spans(spark):
+    rows = spark.createDataFrame([(1, 0, "heading"), (1, 1, "table"), (2, 0, "heading"), (3, 0, "heading")], "document_id long, place long, kind string")
+    quality = spark.createDataFrame([(1, "fallback"), (2, "review")], "document_id long, verdict string")
+    assert sorted((r.document_id, r.place, r.kind) for r in chunking.page_safe(rows, quality).collect()) == [(1, 0, "paragraph"), (1, 1, "table"), (2, 0, "heading"), (3, 0, "heading")]
+    texts = {1: "abcdefg\nh. ij", 2: "x" * 25, 3: "", 4: None, 5: "abcde. fgh\n", 6: "數。" * 8, 7: "abcd. efgh\n"}  # in 7 the sentence ends with the first half
+    docs = spark.createDataFrame(list(texts.items()), "document_id long, text string")
+    found = {}
+    for r in chunking.source_spans(docs, 10).orderBy("document_id", "span").collect():
+        found.setdefault(r.document_id, []).append((r.begin, r.end))
+    assert found == {1: [(0, 8), (8, 13)], 2: [(0, 10), (10, 20), (20, 25)], 5: [(0, 6), (6, 11)], 6: [(0, 10), (10, 16)], 7: [(0, 10), (10, 11)]}
+
+
+def test_an_empty_refresh_keeps_the_version_before(spark, tmp_path):
+    root, rows = f"file://{tmp_path}/kept", spark.range(3).select(F.col("id").cast("string").alias("id"))
+    assert [snapshots.refresh(r, root) for r in (rows, rows.limit(0))] == ["published", "kept"]
+    assert snapshots.active(spark, root).count() == 3
