@@ -5,7 +5,9 @@ its host by the beginnings of its path, of the label counts and lengths that occ
 built over the complete universe of candidate keys of the corpus: level 0 encodes the listed keys, level 1 the other keys
 that level 0 passes by mistake, level 2 the listed keys that level 1 passes, and so on until no mistake is left; a key's
 membership is the parity of the first level that lacks it. A second cascade, over the listed keys, tells block from allow.
-Levels are some bits a listed key; ``MAX_LISTED`` bounds what is broadcast, and longer lists are joined by key instead.
+Levels have some bits a listed key. Keys are dealt by hash to parts of ``PART_KEYS`` listed keys or so, each with cascades of its own;
+the cascades of one part are broadcast at a time, and the urls pass by the parts one after the other, written in between, so
+memory is bounded for a list of any length, and no url is shuffled.
 
 Cases: a null url or one without ``://`` has empty host and path and fits no rule. An empty host fits none either. Repeated
 rows are judged each. Of rules of one length that fit, the one with the longer host wins; a key that is listed both ways
@@ -14,38 +16,38 @@ is blocked. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.llm.store import written
 from lodestone.llm.words import mix
 
 Rule = tuple[str, str, str]  # host, path, allow or block
-#: More listed keys than this are joined, not broadcast; a level has BITS_A_KEY bits for each.
-MAX_LISTED, BITS_A_KEY, HASHES = 10_000_000, 10, 5
+#: Listed keys of a part, whose cascades are broadcast together; a level has BITS_A_KEY bits for each.
+PART_KEYS, BITS_A_KEY, HASHES = 10_000_000, 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
 class Level:
-    """One Bloom filter over 64-bit hash pairs."""
+    """One Bloom filter over 64-bit hash pairs, in words of 64 bits."""
 
-    def __init__(self, bits: np.ndarray, salt: int):
-        self.bits, self.salt = bits, salt
+    def __init__(self, words: np.ndarray, salt: int):
+        self.words, self.salt = words, salt
 
     @staticmethod
     def places(first: np.ndarray, second: np.ndarray, salt: int, size: int) -> np.ndarray:
         a, b = mix(first.view(np.uint64) + np.uint64(salt)), second.view(np.uint64) | np.uint64(1)
-        return np.stack([mix(a + np.uint64(i) * b) % np.uint64(size) for i in range(HASHES)], 1).astype(np.int64)
+        return np.stack([mix(a + np.uint64(i) * b) % np.uint64(size) for i in range(HASHES)], 1)
 
     def has(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        at = self.places(first, second, self.salt, 8 * len(self.bits))
-        return ((self.bits[at >> 3] >> (at & 7)) & 1).all(1)
+        at = self.places(first, second, self.salt, 64 * len(self.words))
+        return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(1)
 
 
 def member(levels: list[Level], first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -60,20 +62,21 @@ def member(levels: list[Level], first: np.ndarray, second: np.ndarray) -> np.nda
 
 
 def _fill(keys: DataFrame, salt: int, count: int) -> Level:
-    """A level with the keys (h1, h2) set: bytes are combined before they come to the driver, size bound by the list."""
-    size = max(8, count * BITS_A_KEY // 8) * 8
+    """A level with the keys (h1, h2) set: words are combined before they come to the driver, in Arrow batches; at most one word
+    for 6 keys does."""
+    words = count * BITS_A_KEY // 64 + 1
 
-    def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(size // 8, np.uint8)
+    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(words, np.uint64)
         for batch in batches:
-            at = Level.places(batch["h1"].to_numpy(), batch["h2"].to_numpy(), salt, size).ravel()
-            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            at = Level.places(batch["h1"].to_numpy(), batch["h2"].to_numpy(), salt, 64 * words).ravel()
+            np.bitwise_or.at(bits, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
         there = np.flatnonzero(bits)
-        yield pd.DataFrame({"at": there, "bits": bits[there].astype(np.int64)})
+        yield pd.DataFrame({"at": there, "bits": bits[there].view(np.int64)})
 
-    bits = np.zeros(size // 8, np.uint8)
-    for row in keys.select("h1", "h2").mapInPandas(bytes_of, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        bits[row["at"]] = row["bits"]
+    found = keys.select("h1", "h2").mapInPandas(words_of, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(words, np.uint64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return Level(bits, salt)
 
 
@@ -108,6 +111,7 @@ def _hashes(key: Column) -> list[Column]:
 
 def url_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages: page_id, url. rules: host, path, verdict (allow or block). Returns page_id, host, path, rule, verdict."""
+    spark = pages.sparkSession
     listed = written(rules.select(F.concat("host", "path").alias("key"), F.length("host").alias("host_n"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("path_n"), (F.col("verdict") == "block").alias("block")), "rules")
     shapes = [(r["labels"], r["path_n"]) for r in listed.select("labels", "path_n").distinct().collect()]  # few: what rules look like
     host, path = host_and_path(F.col("url"))
@@ -117,19 +121,31 @@ def url_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     candidates = [F.when((labels >= m) & (F.length("path") >= n), F.struct(F.concat(tail(m), F.substring("path", 1, n)).alias("key"), F.length(tail(m)).alias("host_n"))) for m, n in shapes]
     if not candidates:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    hashed = lambda x: F.struct(x["key"].alias("key"), x["host_n"].alias("host_n"), F.xxhash64(x["key"]).alias("h1"), F.xxhash64(x["key"], F.lit(1)).alias("h2"))
     rows = rows.withColumn("found", F.array_compact(F.array(*candidates)))
     listed = listed.groupBy("key").agg(F.max("block").alias("block"))
-    if listed.count() > MAX_LISTED:
-        return _by_join(rows, listed)
+    parts = -(-listed.count() // PART_KEYS)
     h1, h2 = _hashes(F.col("key"))
     universe = rows.select(F.explode("found.key").alias("key")).distinct()
     universe = universe.join(listed, "key", "left").select(h1.alias("h1"), h2.alias("h2"), F.col("block").isNotNull().alias("listed"), F.coalesce("block", F.lit(False)).alias("block"))
     universe = written(universe, "universe")
-    member_levels = build_cascade(universe.select("h1", "h2", "listed"))
-    block_levels = build_cascade(universe.where("listed").select("h1", "h2", F.col("block").alias("listed")))
-    fields = [T.StructField("page_id", pages.schema["page_id"].dataType), *(T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict"))]
+    judged = rows.select("page_id", "host", "path", F.transform("found", hashed).alias("found"), F.lit(None).cast("string").alias("rule"), F.lit(-1).alias("host_n"), F.lit("allow").alias("verdict"))
+    for part in range(parts):
+        own = universe.where(F.pmod("h2", F.lit(parts)) == part)
+        cascades = build_cascade(own.select("h1", "h2", "listed")), build_cascade(own.where("listed").select("h1", "h2", F.col("block").alias("listed")))
+        more = part + 1 < parts
+        after = judged if more else judged.drop("found")  # the last part's answers leave their candidates behind
+        judged = judged.mapInPandas(_judge(spark.sparkContext.broadcast(cascades), part, parts, after.columns), after.schema)
+        if more:
+            judged = written(judged, "judged")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _judge(cascades: Broadcast, part: int, parts: int, columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Urls with the best rule so far against the listed keys of one part."""
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        member_levels, block_levels = cascades.value
         for batch in batches:
             keys, sizes = batch["found"], batch["found"].map(len).to_numpy()
             which = np.repeat(np.arange(len(batch)), sizes)
@@ -137,24 +153,14 @@ def url_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
             second = np.array([k["h2"] for own in keys for k in own], np.int64)
             names = [k["key"] for own in keys for k in own]
             host_n = [k["host_n"] for own in keys for k in own]
-            hit = member(member_levels, first, second)
+            hit = (second % parts == part) & member(member_levels, first, second)
             block = member(block_levels, first, second)
-            rule: list[str | None] = [None] * len(batch)
-            verdict, best = ["allow"] * len(batch), [(-1, -1)] * len(batch)
+            rule, host, verdict = list(batch["rule"]), list(batch["host_n"]), list(batch["verdict"])
+            best = [(-1 if r is None else len(r), n) for r, n in zip(rule, host)]
             for k in np.flatnonzero(hit):
-                rank = (len(names[k]), host_n[k])
-                if rank > best[which[k]]:
-                    best[which[k]], rule[which[k]], verdict[which[k]] = rank, names[k], "block" if block[k] else "allow"
-            yield pd.DataFrame({"page_id": batch["page_id"], "host": batch["host"], "path": batch["path"], "rule": rule, "verdict": verdict})
-
-    hashed = F.transform("found", lambda x: F.struct(x["key"].alias("key"), x["host_n"].alias("host_n"), F.xxhash64(x["key"]).alias("h1"), F.xxhash64(x["key"], F.lit(1)).alias("h2")))
-    return rows.select("page_id", "host", "path", hashed.alias("found")).mapInPandas(judge, T.StructType(fields))
-
-
-def _by_join(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """The same result for lists too long to broadcast."""
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "urls")
-    hits = rows.select("row", F.explode("found").alias("x")).select("row", "x.key", "x.host_n").join(listed, "key")
-    best = hits.groupBy("row").agg(F.max(F.struct(F.length("key").alias("n"), "host_n", "key", "block")).alias("best"))
-    return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), F.when(F.col("best.block"), "block").otherwise("allow").alias("verdict"))
+                row, rank = which[k], (len(names[k]), host_n[k])
+                if rank > best[row]:
+                    best[row], rule[row], host[row], verdict[row] = rank, names[k], host_n[k], "block" if block[k] else "allow"
+            yield batch.assign(rule=rule, host_n=host, verdict=verdict)[columns]
+
+    return judge

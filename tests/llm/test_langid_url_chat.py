@@ -90,9 +90,9 @@ def pages(spark):
     return spark.createDataFrame([(k, u, "clash") for k, u in enumerate(URLS)] * 2, "page_id long, url string, host string")
 
 
-@pytest.mark.parametrize("most", [10_000, 0])
+@pytest.mark.parametrize("most", [10_000, 2, 1])
 def test_url_verdicts(spark, monkeypatch, most):
-    monkeypatch.setattr(url_filter, "MAX_LISTED", most)
+    monkeypatch.setattr(url_filter, "PART_KEYS", most)
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(pages(spark), rules).collect())
     assert got == sorted((k, *v) for k, v in list(enumerate(URLS.values())) * 2)
