@@ -83,6 +83,21 @@ def mentioned_values(rows: DataFrame, columns: list[str], question: str, least:
     return hits.groupBy("name").agg(F.max(F.struct(F.length("cell").alias("n"), "cell")).alias("m")).select("name", F.col("m.cell").alias("value"))
 
 
+#: A day or month written out, and what binds a value to a column in a question (fixed values).
+DATE = r"\d{4}[-/.年]\d{1,2}([-/.月]\d{1,2}日?|月)|\d{1,2}月\d{1,2}日"
+BINDS, ENDS = r"(?:为|是|等于|属于|：|:|=)\s*", r"(?:\s|的|、|，|。|？|\?|$)"
+
+
+def literals_suffice(question: Column, values: Column) -> Column:
+    """Whether the values found in a question express all its conditions: two of them do, one does if the question binds it (as in status: open),
+    and a date in the question must be among them."""
+    dated = F.exists(values, lambda v: v.rlike(f"^({DATE})$"))
+    bound = lambda v: F.rlike(question, F.concat(F.lit("(?iu)" + BINDS + r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E" + ENDS)))
+    return F.coalesce(
+        F.when(F.size(values) < 1, False).when(question.rlike(DATE) & ~dated, False).when(F.size(values) >= 2, True).otherwise(bound(F.try_element_at(values, F.lit(1)))), F.lit(False)
+    )
+
+
 def date_aliases(day: Column) -> Column:
     """Ways to write a day, for finding it in a question."""
     return F.array(*[F.date_format(day, f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy/M/d", "yyyy.M.d", "yyyy年M月d日", "yyyy年MM月dd日", "M月d日", "M/d")])

@@ -137,3 +137,15 @@ def output_verdict(text: Column, contract: str) -> Column:
     """Whether a JSON text keeps to a contract, given as the schema of its variant: ok, not_json, or wrong_shape (missing, further or wrongly typed fields)."""
     value = F.try_parse_json(text)
     return F.when(value.isNull(), "not_json").when(F.schema_of_variant(value) == contract, "ok").otherwise("wrong_shape")
+
+
+#: Modules that may be enhanced, and the calls that one run may have (fixed values).
+ENHANCED, CALLS = ("chapter", "graph", "chunking", "overview"), (1, 32)
+
+
+def enhancement_verdict(enabled: Column, acknowledged: Column, modules: Column, calls: Column) -> Column:
+    """disabled unless asked for; then the first rule that a policy breaks, or ok."""
+    return (
+        F.when(~F.coalesce(enabled, F.lit(False)), "disabled").when(~F.coalesce(acknowledged, F.lit(False)), "cost_not_acknowledged")
+        .when(F.size(F.array_except(modules, F.array(*map(F.lit, ENHANCED)))) > 0, "unknown_module").when(~F.coalesce(calls.between(*CALLS), F.lit(False)), "bad_budget").otherwise("ok")
+    )

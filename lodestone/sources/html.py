@@ -81,3 +81,21 @@ def visible_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n ?", "\n")
     return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+
+
+def article_html(envelope: Column, prefix: str = "var article =") -> Column:
+    """HTML of an article that a site wraps in JSON: code must be 0, and data an assignment of an object with topic, content, summary and
+    authors. Null where it is not so, or where both topic and content are empty."""
+    outer = F.from_json(envelope, "code string, data string")
+    body = F.rtrim(F.trim(F.substring(outer["data"], len(prefix) + 1, 1 << 30)), F.lit(";"))
+    article = F.from_json(F.when((outer["code"] == "0") & F.startswith(outer["data"], F.lit(prefix)), body), "topic string, content string, summary string, authors string")
+    field = lambda name: F.coalesce(F.trim(article[name]), F.lit(""))
+
+    def escaped(text: Column) -> Column:
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            text = F.replace(text, F.lit(sign), F.lit(name))
+        return text
+
+    meta = lambda name, value: F.when(value != "", F.concat(F.lit(f'<meta name="{name}" content="'), escaped(value), F.lit('">'))).otherwise("")
+    html = F.concat(F.lit("<title>"), escaped(field("topic")), F.lit("</title>"), meta("description", field("summary")), meta("author", field("authors")), F.lit("<article>"), field("content"), F.lit("</article>"))
+    return F.when(article.isNotNull() & ((field("topic") != "") | (field("content") != "")), html)

@@ -8,6 +8,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -104,3 +105,36 @@ def workbooks(files: DataFrame) -> DataFrame:
 
 def text_documents(files: DataFrame) -> DataFrame:
     return files.mapInPandas(_per_file(lambda path, content: [(path, k, *x) for k, x in enumerate(paragraphs(content))], PARAGRAPHS), PARAGRAPHS)
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+        for name, body in parts.items():
+            package.writestr(name, body)
+    return out.getvalue()
+
+
+def workbook_bytes(sheet: str, rows: list[list[str | None]]) -> bytes:
+    """A workbook of one sheet with text cells; empty cells are left out."""
+    letters = lambda k: (letters(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
+    cell = lambda r, k, text: f'<c r="{letters(k)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+    body = "".join(f'<row r="{r}">{"".join(cell(r, k, text) for k, text in enumerate(row) if text)}</row>' for r, row in enumerate(rows, 1))
+    quoted = escape(sheet, {'"': "&quot;"})
+    return _zipped({
+        "xl/workbook.xml": f'<workbook xmlns="x"><sheets><sheet name="{quoted}" sheetId="1"/></sheets></workbook>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="x"><sheetData>{body}</sheetData></worksheet>',
+    })
+
+
+def document_bytes(parts: list[tuple[str, str]]) -> bytes:
+    """A text document of parts: heading, paragraph, deleted (a tracked deletion) or table (one row, cells divided by tabs)."""
+    run = lambda text, tag="w:t": f'<w:r><{tag} xml:space="preserve">{escape(text)}</{tag}></w:r>'
+    shapes = {
+        "heading": lambda x: f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr>{run(x)}</w:p>',
+        "paragraph": lambda x: f"<w:p>{run(x)}</w:p>",
+        "deleted": lambda x: f"<w:p><w:del>{run(x)}</w:del></w:p>",
+        "table": lambda x: "<w:tbl><w:tr>" + "".join(f"<w:tc><w:p>{run(c)}</w:p></w:tc>" for c in x.split("\t")) + "</w:tr></w:tbl>",
+    }
+    body = "".join(shapes[kind](text) for kind, text in parts)
+    return _zipped({"word/document.xml": f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'})

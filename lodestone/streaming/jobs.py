@@ -5,12 +5,17 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import store
 
 
+class ScanStopped(RuntimeError):
+    """A scan was cancelled; its checkpoint stays."""
+
+
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
     schema = spark.read.parquet(path).schema
     # a streaming source wants a folder; a single file is named by its pattern
@@ -61,6 +66,26 @@ def run_through(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/batch={last['batchId']:09d}") if last else spark.createDataFrame([], stream.schema)
 
 
+def scan_folder(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, files_per_batch: int = 3, stop_before: int | None = None) -> bool:
+    """Reads a folder a few files at a time. The checkpoint holds what was visited, so a scan that was lost or stopped goes on
+    where it was; a batch that runs again replaces its own rows. True once all files are in; stop_before cancels at that batch."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        if number == stop_before:
+            raise ScanStopped(f"cancelled before batch {number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    query = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as stopped:
+        if "cancelled before batch" in str(stopped):
+            return False
+        raise
+    return True
+
+
 def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a query over all that is available into Parquet; a checkpoint makes the next run go on from there."""
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
