@@ -1,5 +1,7 @@
+import math
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, licences
@@ -64,3 +66,91 @@ def test_licences(spark):
     assert [got[k].licence for k in (10001, 10002, 10004, 10005)] == [None] * 4
     assert len(got) == docs.count() + 6
     assert licences.scan(odd.limit(0), model).count() == 0
+
+
+#: Notices in other words than the classifier's own, and sentences that give no licence. The full names among the classifier's
+#: notices were added after its first run on these (11 of 16 found, none wrong), so they are a development set;
+#: FRESH was written before its first run.
+UNSEEN = [
+    ("This package is distributed under the Apache License, Version 2.0 - read LICENSE.txt", "apache-2.0"), ("Apache License 2.0 applies to every file here", "apache-2.0"), ("You may obtain a copy\nof the License at\nhttp://www.apache.org/licenses/LICENSE-2.0 today", "apache-2.0"),
+    ("The code is available under the terms of the MIT License", "mit"), ("Permission is hereby granted, free\nof charge, to any person obtaining\na copy of this software", "mit"), ("MIT License, see COPYING", "mit"),
+    ("It is covered by the GNU General Public License, version 3 or later", "gpl-3.0"), ("distributed under GNU General Public License v3", "gpl-3.0"), ("Our library uses the GNU Lesser General Public License", "lgpl-3.0"),
+    ("All of it falls under the BSD 3-Clause License", "bsd-3-clause"), ("Redistributions of source code must retain\nthe above copyright notice", "bsd-3-clause"), ("subject to the Mozilla Public License, Version 2.0 only", "mpl-2.0"),
+    ("photos: Creative Commons Attribution-NonCommercial 4.0 International", "cc-by-nc-4.0"), ("text under CC BY-NC 4.0, thanks", "cc-by-nc-4.0"), ("text under CC BY 4.0, thanks", "cc-by-4.0"), ("the author has waived all copyright and related rights under CC0 1.0 Universal", "cc0-1.0"),
+    ("A driver must carry the licence at all times", None), ("The mozilla of the story is a public figure", None), ("They released version 2 of the record", None), ("The institute gave the general public free access to the library", None), ("He works at the mit lab", None),
+    ("The contract is governed by the laws of the state", None), ("Copies of the report were distributed to any person present", None), ("the creative people share a common room", None), ("without any warranty the car was sold", None), ("Copyright 2020 the publisher", None),
+]
+
+
+FRESH = [
+    ("Everything in this folder is Apache License, Version 2.0 unless marked", "apache-2.0"), ("source files carry the Apache 2.0 license header", "apache-2.0"), ("made available under MIT License terms", "mit"), ("The MIT License applies to the samples", "mit"),
+    ("You may redistribute this under the GNU General Public License version 3", "gpl-3.0"), ("Licence: GNU GPL v3", "gpl-3.0"), ("linked under the GNU Lesser\nGeneral Public License", "lgpl-3.0"), ("The 3-clause BSD license covers the parser", "bsd-3-clause"),
+    ("Neither the name of the institute nor the names of its contributors\nmay be used to endorse or promote products", "bsd-3-clause"), ("files under the Mozilla Public License 2.0", "mpl-2.0"), ("figures are CC BY-NC 4.0", "cc-by-nc-4.0"), ("maps: Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+    ("the data set is CC0 1.0 Universal", "cc0-1.0"), ("to the extent possible under law all related or neighboring rights to this work are waived", "cc0-1.0"),
+    ("The pilot lost the license in May", None), ("an apache helicopter flew over the city", None), ("the mozilla browser had a public release", None), ("a general license fee of 4.0 percent", None), ("the clause in the BSD contract of sale", None), ("Redistribution of wealth was the topic", None),
+    ("International law grants the right of attribution", None), ("the public domain of the town hall", None), ("software and documentation were late", None), ("Permission to enter was granted by the guard", None),
+]
+
+
+@pytest.fixture(scope="module")
+def found_in(spark):
+    model = licences.train(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+
+    def found(cases):
+        frame = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+        return [r.licence for r in licences.scan(frame, model).orderBy("doc_id").collect()]
+
+    return found
+
+
+@pytest.mark.parametrize("cases", [UNSEEN, FRESH], ids=["development", "fresh"])
+def test_precision_of_notices_in_other_words(found_in, cases):
+    said = [(g, want) for g, (_, want) in zip(found_in(cases), cases) if g is not None]
+    assert said and sum(g == want for g, want in said) >= 0.9 * len(said)
+
+
+@pytest.mark.parametrize("cases", [
+    pytest.param(UNSEEN, id="development"),
+    pytest.param(FRESH, id="fresh", marks=pytest.mark.xfail(reason="11 of 14 found in the first run, 0.79; the bar of 0.8 was set before it and stays")),
+])
+def test_recall_of_notices_in_other_words(found_in, cases):
+    there = [(g, want) for g, (_, want) in zip(found_in(cases), cases) if want is not None]
+    assert sum(g == want for g, want in there) >= 0.8 * len(there)
+
+
+def unwrapped(text):
+    out = [""]
+    for line in re.split("\n", text):
+        last = out[-1].rstrip(" \t\r")
+        if out[-1:] != [""] and last and last[-1] not in ".!?:;。！？：；" and line.strip():
+            out[-1] = last + " " + line
+        else:
+            out.append(line)
+    return out[1:]
+
+
+def test_scan_is_the_model_applied_to_every_paragraph(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(100000 + k, f"One. {a}\n\n{b}.\n{c}") for k, (a, b, c) in enumerate(zip(*[[t for t, _ in UNSEEN][i:] for i in range(3)]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = licences.train(frame)
+    grams = lambda text: {" ".join(w[i : i + n]) for w in [words(text)] for n in (2, 3) for i in range(len(w) - n + 1)}
+    notices = {f: [grams(x) for x in own] for f, own in licences.NOTICES.items()}
+    want = {}
+    for doc, text in docs:
+        found = []
+        for place, line in enumerate(unwrapped(text or "")):
+            own = grams(line)
+            known = [g for g in own if g in model.weights]
+            if known:
+                scores = [b + sum(model.weights[g][i] for g in known) for i, b in enumerate(model.intercepts)]
+                total = sum(math.exp(x - max(scores)) for x in scores)
+                best = max(range(len(scores) - 1), key=lambda i: scores[i])
+                score = math.exp(scores[best] - max(scores)) / total
+                if score >= model.threshold:
+                    family = model.classes[best]
+                    found.append((score, -place, family, max(len(own & n) / len(n) for n in notices[family]) >= licences.SIMILAR))
+        top = max(found, default=None)
+        want[doc] = (top[2], top[3], -top[1], len(found)) if top else (None, None, None, 0)
+    got = {r.doc_id: (r.licence, r.confirmed, r.paragraph, r.n_notices) for r in licences.scan(frame, model).collect()}
+    assert got == want and sum(w[0] is not None for w in want.values()) > 40
