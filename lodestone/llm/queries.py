@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat_format, decontaminate, exact_dedup, jaccard_join, langid, licences, packing, substring_dedup, token_files, url_filter
+from lodestone.llm import (
+    chat_format,
+    clusters,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    jaccard_join,
+    langid,
+    licences,
+    online_packing,
+    packing,
+    substring_dedup,
+    token_files,
+    url_filter,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -91,9 +105,61 @@ def op10_licences(spark: SparkSession, sf: str) -> DataFrame:
     return licences.licences(_table(spark, sf, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.cluster(_table(spark, sf, "embeddings"), k=8, rounds=10, size=64, scale=1024, seed=3)
+
+
+def _op11_round(k: int) -> str:
+    """Assignment k and the centroids after it; a division of whole numbers that rounds down."""
+    return f"""
+a{k} AS MATERIALIZED (SELECT i, k, d FROM (SELECT v.i, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d, row_number() OVER (PARTITION BY v.i ORDER BY sum((v.x - c.x) * (v.x - c.x)), c.k) AS n FROM v JOIN c{k} c USING (dim) GROUP BY 1, 2) WHERE n = 1),
+s{k} AS MATERIALIZED (SELECT a.k, dim, sum(x) AS s, count(*) AS n FROM a{k} a JOIN v USING (i) GROUP BY 1, 2),
+c{k + 1} AS MATERIALIZED (SELECT c.k, c.dim, CASE WHEN s.n IS NULL THEN c.x ELSE (s.s - ((s.s % s.n) + s.n) % s.n) // s.n END AS x FROM c{k} c LEFT JOIN s{k} s ON s.k = c.k AND s.dim = c.dim),"""
+
+
+OP11_SQL = (
+    """
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT i, unnest(range(64)) AS dim, CAST(floor(CAST(unnest(e) AS DOUBLE) * 1024) AS HUGEINT) AS x FROM kept),
+f AS MATERIALIZED (SELECT i, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS k FROM kept),
+c0 AS MATERIALIZED (SELECT k, dim, x FROM f JOIN v USING (i) WHERE k < 8),"""
+    + "".join(map(_op11_round, range(11)))
+    + """
+h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM c10 GROUP BY 1),
+t AS (SELECT k, sum(d) AS s FROM a10 GROUP BY 1)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(t.s AS BIGINT) AS cluster_inertia, CAST((SELECT sum(s) FROM t) AS BIGINT) AS inertia, centroid_sha256
+FROM a10 JOIN kept USING (i) JOIN h USING (k) JOIN t USING (k)"""
+)
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+OP12_SQL = r"""
+WITH l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY 1),
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS least FROM w GROUP BY 1),
+d AS MATERIALIZED (SELECT row_number() OVER () AS i, part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+  [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > m.least, false)] AS fails
+  FROM w JOIN m USING (t) LEFT JOIN l USING (doc_id)),
+f AS (SELECT i, part, good, bad, len(list_filter(fails, lambda x: x)) AS many, unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest(fails) AS fail FROM d),
+p AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT p1.x || p2.x || p3.x || p4.x || p5.x AS filter_order FROM p p1, p p2, p p3, p p4, p p5 WHERE len(list_distinct([p1.x, p2.x, p3.x, p4.x, p5.x])) = 5),
+r AS (SELECT part, filter_order, x, instr(filter_order, x) AS step, good, bad, many, fail, min(CASE WHEN fail THEN instr(filter_order, x) ELSE 6 END) OVER (PARTITION BY i, filter_order) AS hit FROM f, o),
+c AS (SELECT part, filter_order, x, CAST(step AS INTEGER) AS step, count(*) FILTER (WHERE hit > step) AS kept, count(*) FILTER (WHERE hit = step) AS removed, count(*) FILTER (WHERE fail AND hit < step) AS redundant,
+  count(*) FILTER (WHERE fail AND many = 1) AS unique_fails, count(*) FILTER (WHERE hit = step AND good) AS good_lost, count(*) FILTER (WHERE hit = step AND bad) AS toxic_lost FROM r GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM c"""
+
+
+def op13_online_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return online_packing.pack_online(_table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER), capacity=2048, end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_substring_dedup, op4_url_filters, op5_exact_dedup, op6_chat_format, op7_best_fit_packing, op8_jaccard_join, op9_token_files, op10_licences)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_substring_dedup, op4_url_filters, op5_exact_dedup, op6_chat_format, op7_best_fit_packing, op8_jaccard_join, op9_token_files, op10_licences, op11_centroids, op12_filter_audit, op13_online_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_url_filters": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op11_centroids": OP11_SQL, "op12_filter_audit": OP12_SQL}
