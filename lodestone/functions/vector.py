@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ def cosine(a: Column, b: Column, otherwise: float = -1.0) -> Column:
     return F.when(fits, dot(a, b) / (norm(a) * norm(b))).otherwise(F.lit(otherwise))
 
 
+def cosine_to(a: Column, query: list[float], otherwise: float = -1.0) -> Column:
+    """Cosine similarity to a query that is at hand, whose length is taken once; ``otherwise`` where it has a number that is not finite."""
+    if not all(map(math.isfinite, query)):
+        return F.lit(otherwise)
+    target = F.expr(f"array({', '.join(f'{float(x)!r}D' for x in query)})")
+    length = math.sqrt(sum(float(x) * float(x) for x in query))
+    fits = (F.size(a) == len(query)) & (norm(a) > 0) & F.lit(len(query) > 0 and length > 0)
+    return F.when(fits, dot(a, target) / (norm(a) * length)).otherwise(F.lit(otherwise))
+
+
 def is_valid(a: Column, dimension: int) -> Column:
     """Of the dimension, with finite numbers only."""
     finite = F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

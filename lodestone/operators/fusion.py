@@ -7,15 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.vector import cosine
+from lodestone.functions.vector import cosine_to
 
 RRF = 60
 
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int = 80, otherwise: float = -1.0) -> DataFrame:
     """Exact cosine search; the query is a literal, so there is no join, and the order needs k rows per task only."""
-    target = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select("chunk_id", cosine(F.col("embedding"), target, otherwise).alias("similarity"))
+    scored = vectors.select("chunk_id", cosine_to(F.col("embedding"), query, otherwise).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), "chunk_id").limit(k)
 
 

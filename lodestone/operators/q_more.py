@@ -10,7 +10,7 @@ from lodestone.operators import evidence as E
 from lodestone.operators import relations as R
 from lodestone.operators import search
 from lodestone.operators.q_documents import BLOCKS, documents
-from lodestone.operators.q_search import CHUNKS, LEXICAL, SCORE, chunks, rankings, scored
+from lodestone.operators.q_search import CHUNKS, LEXICAL, SCORE, chunks, index, rankings, scored
 from lodestone.operators.registry import query
 
 
@@ -239,9 +239,11 @@ def progress_ledger(spark: SparkSession, sf: str) -> DataFrame:
 def collect_evidence(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.operators import fusion
 
-    best = search.best_chunks(scored(spark, sf)).select("document_id", "chunk_id", "content")
-    fused = fusion.rrf(rankings(spark, sf))  # two pages at most, so the join needs no shuffle of the chunks
-    return best.join(F.broadcast(fused), "document_id").orderBy(F.round("score", 12).desc(), "document_id").limit(8).select("document_id", "chunk_id", F.substring("content", 1, 600).alias("snippet"))
+    fused = F.broadcast(fusion.rrf(rankings(spark, sf)).withColumnRenamed("score", "fused"))  # two pages at most, so the join needs no shuffle of the chunks
+    best = search.best_chunk(scored(spark, sf).join(fused.select("document_id"), "document_id", "left_semi"))
+    found = best.join(fused, "document_id").orderBy(F.round("fused", 12).desc(), "document_id").limit(8)
+    texts = index(spark, sf).chunks.select("chunk_id", F.substring("content", 1, 600).alias("snippet"))
+    return texts.join(F.broadcast(found), "chunk_id").select("document_id", "chunk_id", "snippet")
 
 
 @query("decode_bytes", "SELECT doc_id, text AS plain, text AS marked FROM documents")

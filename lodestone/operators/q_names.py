@@ -11,7 +11,7 @@ from lodestone.operators import chunking, fusion, profile, registry
 from lodestone.operators import relations as R
 from lodestone.operators.q_documents import BLOCKS, documents
 from lodestone.operators.q_plan import DATASET, FIELDS, dataset
-from lodestone.operators.q_search import CHUNKS, LEXICAL, SCORE, chunks, rankings, scored
+from lodestone.operators.q_search import CHUNKS, COVERS, LEXICAL, SCORE, chunks, index, rankings, scored
 from lodestone.operators.registry import query
 from lodestone.plans import compiler, units
 from lodestone.plans.model import Field, PlanError, validate, validate_drafted
@@ -45,19 +45,17 @@ def literal_discovery_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("qa_recall_like", CHUNKS + "SELECT chunk_id FROM chunks WHERE contains(lower(content), 'tion') ORDER BY length(content), chunk_id LIMIT 40")
 def qa_recall_like(spark: SparkSession, sf: str) -> DataFrame:
-    from lodestone.operators import search
+    return index(spark, sf).containing_any(["tion"]).orderBy("length", "chunk_id").select("chunk_id").limit(40)
 
-    hits = chunks(spark, sf).where(search.matches_any(F.col("content"), ["tion"]))
-    return hits.orderBy(F.length("content"), "chunk_id").select("chunk_id").limit(40)
 
-
-@query("qa_recall_fts", None)
+@query("qa_recall_fts", COVERS + "SELECT chunk_id, round(r.rank + CASE WHEN contains(lower(content), 'with the') THEN 1 ELSE 0 END, 6) AS rank FROM ranks r JOIN chunks USING (chunk_id) ORDER BY 2 DESC, 1 LIMIT 40")
 def qa_recall_fts(spark: SparkSession, sf: str) -> DataFrame:
-    from lodestone.operators import search
-
-    text, words = F.col("content"), ["the", "with"]
-    rank = search.cover_rank(text, words) + F.when(F.contains(F.lower(text), F.lit("with the")), 1.0).otherwise(0.0)
-    return chunks(spark, sf).where(search.matches_all(text, words)).withColumn("rank", rank).orderBy(F.desc("rank"), "chunk_id").select("chunk_id", "rank").limit(40)
+    """The cover density of the question's words, and one more where the question is part of the text."""
+    own = index(spark, sf)
+    exact = own.containing_any(["with the"]).select("chunk_id", F.lit(1.0).alias("exact"))
+    hits = own.cover_ranked(["with", "the"]).join(exact, "chunk_id", "left")
+    rank = F.round(F.col("rank") + F.coalesce("exact", F.lit(0.0)), 6).alias("rank")
+    return hits.select("chunk_id", rank).orderBy(F.desc("rank"), "chunk_id").limit(40)
 
 
 @query("hybrid_chunks", CHUNKS + f""", lx AS (SELECT chunk_id, row_number() OVER (ORDER BY {SCORE} DESC, chunk_id) AS rank FROM chunks WHERE {SCORE} >= 2 ORDER BY rank LIMIT 40),
@@ -66,7 +64,7 @@ SELECT chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM u GROUP BY 1""")
 def hybrid_chunks(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    hits = scored(spark, sf).select("chunk_id", "score", F.length("content").alias("n"))
+    hits = scored(spark, sf).select("chunk_id", "score", F.col("length").alias("n"))
     page = lambda *order: hits.orderBy(*order).limit(40).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("chunk_id", "rank")
     fused = fusion.rrf({"score": page(F.desc("score"), "chunk_id"), "length": page("n", "chunk_id")}, "chunk_id")
     return fused.select("chunk_id", F.round("score", 8).alias("score"))

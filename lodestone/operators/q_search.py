@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog import table
 from lodestone.functions import text as T
 from lodestone.functions import vector as V
-from lodestone.operators import fusion, search
+from lodestone.operators import fusion, search, term_index
 from lodestone.operators.registry import query
 
 CHUNKS = """WITH lines AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents),
@@ -22,6 +22,11 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return lines.where(F.trim("content") != "").select(F.col("doc_id").alias("document_id"), "source", "lang", (F.col("doc_id") * (1 << 32) + F.col("place")).alias("chunk_id"), F.col("place").cast("long").alias("place"), "content")
 
 
+def index(spark: SparkSession, sf: str) -> term_index.TermIndex:
+    """The index over the chunks, written when the first query asks for it."""
+    return term_index.ensure(spark, f"{sf}/documents.parquet", lambda: chunks(spark, sf))
+
+
 @query("parse_text", CHUNKS + "SELECT document_id, place, content FROM chunks")
 def parse_text(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).select("document_id", "place", "content")
@@ -41,32 +46,41 @@ def cjk_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fts_match", CHUNKS + r"""SELECT chunk_id FROM chunks WHERE list_contains(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), 'the') AND list_contains(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), 'with')""")
 def fts_match(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf).where(search.matches_all(F.col("content"), ["The", "with"])).select("chunk_id")
+    return index(spark, sf).with_all(["The", "with"]).select("chunk_id")
 
 
 @query("fts_websearch", CHUNKS + r""", flat AS (SELECT chunk_id, ' ' || array_to_string(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), ' ') || ' ' AS f FROM chunks)
 SELECT chunk_id FROM flat WHERE contains(f, ' of the ') AND (contains(f, ' with ') OR contains(f, ' from ')) AND NOT contains(f, ' was ')""")
 def fts_websearch(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf).where(search.websearch(F.col("content"), '"of the" with or from -was')).select("chunk_id")
+    return index(spark, sf).websearch('"of the" with or from -was').select("chunk_id")
+
+
+#: Minimal covers of two words: behind each entry lies the last entry of either word; a cover begins at the lesser of them where that has moved on.
+COVERS = CHUNKS + r""", tok AS (SELECT chunk_id, unnest(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+')) AS w, generate_subscripts(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), 1) AS pos FROM chunks),
+e AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS j FROM tok WHERE w IN ('the', 'with')),
+l AS (SELECT *, max(CASE WHEN w = 'the' THEN j END) OVER o AS a, max(CASE WHEN w = 'with' THEN j END) OVER o AS b FROM e WINDOW o AS (PARTITION BY chunk_id ORDER BY j)),
+s AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END AS first FROM l), c AS (SELECT *, lag(first) OVER (PARTITION BY chunk_id ORDER BY j) AS before FROM s),
+ranks AS (SELECT c.chunk_id, round(sum(0.1 / (1 + (c.pos - p.pos) - (c.j - c.first))), 6) AS rank FROM c JOIN e p ON p.chunk_id = c.chunk_id AND p.j = c.first WHERE c.before IS NULL OR c.first > c.before GROUP BY 1)
+"""
 
 
-@query("fts_rank", None)
+@query("fts_rank", COVERS + "SELECT chunk_id, rank FROM ranks")
 def fts_rank(spark: SparkSession, sf: str) -> DataFrame:
-    hits = chunks(spark, sf).where(search.matches_all(F.col("content"), ["the", "with"]))
-    return hits.select("chunk_id", search.cover_rank(F.col("content"), ["the", "with"]).alias("rank"))
+    return index(spark, sf).cover_ranked(["the", "with"]).select("chunk_id", F.round("rank", 6).alias("rank"))
 
 
 @query("like_match", CHUNKS + "SELECT chunk_id, length(content) AS score FROM chunks WHERE contains(lower(content), 'that%') OR contains(lower(content), 'tion.')")
 def like_match(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf).where(search.matches_any(F.col("content"), ["THAT%", "tion."])).select("chunk_id", F.length("content").cast("long").alias("score"))
+    return index(spark, sf).containing_any(["THAT%", "tion."]).select("chunk_id", F.col("length").cast("long").alias("score"))
 
 
 PATTERNS = [("which", 5), ("tion", 2), ("th", 1), ("ble", 1)]
 SCORE = "(CASE WHEN contains(lower(content), 'which') THEN 5 ELSE 0 END + CASE WHEN contains(lower(content), 'tion') THEN 2 ELSE 0 END + CASE WHEN contains(lower(content), 'th') THEN 1 ELSE 0 END + CASE WHEN contains(lower(content), 'ble') THEN 1 ELSE 0 END)"
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf).withColumn("score", search.weighted_score(F.col("content"), PATTERNS)).where("score >= 2")
+def scored(spark: SparkSession, sf: str, top: int | None = None, of: str = "chunk_id") -> DataFrame:
+    """chunk_id, document_id, length and score; with top, of what may be among the best so many."""
+    return index(spark, sf).weighted(PATTERNS, least=2, top=top, of=of)
 
 
 @query("cjk_match", CHUNKS + f"SELECT chunk_id, {SCORE} AS score FROM chunks WHERE {SCORE} >= 2")
@@ -76,12 +90,12 @@ def cjk_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("qa_recall", CHUNKS + f"SELECT chunk_id, {SCORE} AS score FROM chunks WHERE {SCORE} >= 2 ORDER BY score DESC, length(content), chunk_id LIMIT 40")
 def qa_recall(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).orderBy(F.desc("score"), F.length("content"), "chunk_id").select("chunk_id", "score").limit(40)
+    return scored(spark, sf, top=40).orderBy(F.desc("score"), "length", "chunk_id").select("chunk_id", "score").limit(40)
 
 
 @query("best_chunk_per_document", CHUNKS + f", r AS (SELECT *, {SCORE} AS score, row_number() OVER (PARTITION BY document_id ORDER BY {SCORE} DESC, chunk_id) AS n FROM chunks WHERE {SCORE} >= 2) SELECT document_id, chunk_id, score FROM r WHERE n = 1 ORDER BY score DESC, chunk_id LIMIT 50 OFFSET 10")
 def best_chunk_per_document(spark: SparkSession, sf: str) -> DataFrame:
-    return search.page(search.best_chunks(scored(spark, sf)), "score", 50, 10).select("document_id", "chunk_id", "score")
+    return search.page(search.best_chunk(scored(spark, sf, 60, "document_id")), "score", 50, 10).select("document_id", "chunk_id", "score")
 
 
 @query("retain_candidates", CHUNKS + f", r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY {SCORE} DESC, chunk_id) AS n FROM chunks WHERE {SCORE} >= 2) SELECT document_id, chunk_id, n AS place FROM r WHERE n <= 8")
@@ -175,7 +189,7 @@ u AS (SELECT document_id, min(rank) AS rank, 'lexical' AS channel FROM lx GROUP
 
 def rankings(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Pages of fixed size, numbered: the only rows that meet in one task are those pages."""
-    lexical = scored(spark, sf).orderBy(F.desc("score"), "chunk_id").limit(60)
+    lexical = scored(spark, sf, 60).orderBy(F.desc("score"), "chunk_id").limit(60)
     lexical = lexical.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id"))).select("document_id", "rank")
     found = fusion.vector_topk(*vectors(spark, sf))
     found = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "chunk_id"))).select(F.col("chunk_id").alias("document_id"), "rank")

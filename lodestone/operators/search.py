@@ -54,21 +54,18 @@ def weighted_score(text: Column, patterns: list[tuple[str, int]]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(F.contains(lowered, F.lit(p.lower())), w).otherwise(0) for p, w in patterns])
 
 
-def cover_rank(text: Column, words: list[str]) -> Column:
-    """Density of the query's words: matched words by the distance from their first to their last place, an
-    approximation of cover-density ranking that orders separable cases alike."""
-    places = F.transform(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.array_position(word_array(text), w))
-    found = F.filter(places, lambda p: p > 0)
-    spread = F.array_max(found) - F.array_min(found) + 1
-    return F.when(F.size(found) == 0, 0.0).otherwise(F.lit(0.1) * F.size(found) * F.size(found) / spread)
-
-
 def best_chunks(ranked: DataFrame, score: str = "score", per_document: int = 1) -> DataFrame:
     """The best chunks of each document, ties by chunk id."""
     w = Window.partitionBy("document_id").orderBy(F.desc(score), "chunk_id")
     return ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_document)
 
 
+def best_chunk(ranked: DataFrame, score: str = "score") -> DataFrame:
+    """document_id, chunk_id and score of the best chunk of each document, ties by chunk id: a maximum, which combines before the shuffle."""
+    best = ranked.groupBy("document_id").agg(F.max(F.struct(F.col(score), (-F.col("chunk_id")).alias("c"))).alias("b"))
+    return best.select("document_id", (-F.col("b.c")).alias("chunk_id"), F.col("b")[score].alias(score))
+
+
 def page(documents: DataFrame, score: str, limit: int, offset: int = 0) -> DataFrame:
     return documents.orderBy(F.desc(score), "chunk_id").offset(offset).limit(limit)
 

@@ -61,3 +61,28 @@ def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
         for path in set(_made[before:]).difference(kept):
             remove(spark, path)
         _made[before:] = kept
+
+
+def _path(spark: SparkSession, path: str) -> tuple[object, object]:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, own = _path(spark, path)
+    return fs.exists(own)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Gives a written folder its name; if the name is taken, the folder is removed."""
+    fs, own = _path(spark, path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(to)
+    if fs.exists(there) or not fs.rename(own, there):
+        fs.delete(own, True)
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """What changes when a table's files do: their number, bytes and the time of the last change to the folder or file."""
+    fs, own = _path(spark, path)
+    size = fs.getContentSummary(own)
+    return f"{size.getFileCount()}-{size.getLength()}-{fs.getFileStatus(own).getModificationTime()}"
