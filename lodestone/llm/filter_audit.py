@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.native_text import let
@@ -73,7 +73,6 @@ def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = flagged(documents).join(labels, "doc_id", "left")
     no = F.lit(False)
     groups = rows.groupBy("part", "flags", F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic")).agg(F.count(F.lit(1)).alias("n"))
-    counts = replay(written(groups, "flag-groups"))
-    counts = written(counts.withColumn("filter", F.substring("filter_order", F.col("step"), F.lit(1))), "audit")
-    shapley = counts.groupBy("part", "filter").agg(F.sum("removed").alias("shapley"))
-    return counts.join(shapley, ["part", "filter"]).select("part", "filter_order", F.col("step").cast("int").alias("step"), *MEASURES, "shapley")
+    counts = replay(groups).withColumn("filter", F.substring("filter_order", F.col("step"), F.lit(1)))
+    shapley = F.sum("removed").over(Window.partitionBy("part", "filter"))  # of 120 rows each
+    return counts.select("part", "filter_order", F.col("step").cast("int").alias("step"), *MEASURES, shapley.alias("shapley"))
