@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: Target, most, least and overlap of chunk sizes in characters (fixed values).
 PROFILES = {"table": (1800, 2400, 100, 0), "code": (1200, 1800, 100, 200), "general": (600, 900, 80, 120)}
-CHUNK_SCHEMA = "document_id long, chunk long, begin long, end long, content string"
 
 
 def blocks(documents: DataFrame, heading: str = r"^#{1,6}\s") -> DataFrame:
@@ -40,51 +39,6 @@ def islands(rows: DataFrame, blank: Column) -> DataFrame:
     return marked.groupBy("document_id", "region").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def pack(texts: list[tuple[int, str]], target: int, most: int, least: int) -> list[tuple[int, int, str]]:
-    """Greedy packing of (offset, text) blocks in order: a chunk is closed before it would pass the target; a block above
-    most is cut at sentence ends, else hard; a last piece below least goes to the one before."""
-    pieces: list[tuple[int, str]] = []
-    for offset, text in texts:
-        while len(text) > most:
-            cut = max(text.rfind(mark, least, target) for mark in (". ", "! ", "? ", "。", "！", "？")) + 1
-            cut = cut if cut > least else target
-            pieces.append((offset, text[:cut]))
-            offset, text = offset + cut, text[cut:]
-        pieces.append((offset, text))
-    out: list[list] = []
-    for offset, text in pieces:
-        if out and (len(out[-1][2]) + 1 + len(text) <= target or len(text) < least and len(out[-1][2]) + 1 + len(text) <= most):
-            out[-1][1], out[-1][2] = offset + len(text), out[-1][2] + "\n" + text
-        else:
-            out.append([offset, offset + len(text), text])
-    return [tuple(x) for x in out]
-
-
-def candidate_windows(rows: DataFrame, chars: int = 6000, many: int = 32) -> DataFrame:
-    """Numbers the windows of each document's blocks: one ends before its characters or blocks would be too many, and a heading of the
-    first level begins one. Blocks of a document are few enough for a task; it is packed in order."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("place")
-        win, size, count, out = 0, 0, 0, []
-        for text, kind in zip(own["text"], own["kind"]):
-            if count and (size + len(text) > chars or count == many or kind == "heading" and text.startswith("# ")):
-                win, size, count = win + 1, 0, 0
-            size, count = size + len(text), count + 1
-            out.append(win)
-        return own.assign(win=out)
-
-    return rows.groupBy("document_id").applyInPandas(run, "document_id long, place long, kind string, text string, win int")
-
-
-def accept_candidate(base: DataFrame, candidate: DataFrame, tiny: int = 100) -> DataFrame:
-    """Whether the units of a candidate (document_id, chars) may take the place of those of the base: not where there are more of them
-    and two tiny ones more at least. Documents that only one of them has are judged against none."""
-    count = lambda df, name: df.groupBy("document_id").agg(F.count(F.lit(1)).alias(name), F.count_if(F.col("chars") < tiny).alias(name + "_tiny"))
-    both = count(base, "base").join(count(candidate, "candidate"), "document_id", "full").fillna(0)
-    return both.withColumn("accepted", ~((F.col("candidate") > F.col("base")) & (F.col("candidate_tiny") >= F.col("base_tiny") + 2)))
-
-
 def page_safe(rows: DataFrame, quality: DataFrame) -> DataFrame:
     """Headings of documents whose verdict in quality (one row a document) is fallback are paragraphs, so that they open no sections."""
     verdict = quality.select("document_id", "verdict")
@@ -128,42 +82,6 @@ def row_parts(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("n", (F.col("i") + 1).alias("part"), F.when(F.col("k") == 1, F.col("body")).otherwise(F.concat(head, "body")).alias("text"))
 
 
-def uncovered(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """document_id, lines and characters of the lines (document_id, begin, end) that the spans (the same) leave out in part, each document once."""
-    last = spans.groupBy("document_id").agg(F.max("end").alias("end"))
-    ends = lines.groupBy("document_id").agg(F.max("end").alias("until")).join(last, "document_id", "left").select("document_id", F.coalesce("end", F.lit(0)).alias("begin"), F.col("until").alias("end")).where("begin < end")
-    gaps = coverage_gaps(spans).unionByName(ends).select("document_id", F.col("begin").alias("from"), F.col("end").alias("to"))
-    missed = lines.join(gaps, "document_id").where("from < end and to > begin").groupBy("document_id").agg(F.sum(F.least("to", "end") - F.greatest("from", "begin")).alias("missed"))
-    return lines.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_lines")).join(missed, "document_id", "left").select("document_id", "n_lines", F.coalesce("missed", F.lit(0)).alias("uncovered"))
-
-
-def child_chunks(documents: DataFrame, profile: str = "general") -> DataFrame:
-    """Chunks of the whole text of each document, with their place in it. A document is one row already, so nothing is
-    shuffled; packing is sequential inside it."""
-    target, most, least, _ = PROFILES[profile]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for document, text in zip(batch["document_id"], batch["text"]):
-                at, lines = 0, []
-                for line in (text or "").split("\n"):
-                    if line.strip():
-                        lines.append((at, line))
-                    at += len(line) + 1
-                out += [(document, k, *x) for k, x in enumerate(pack(lines, target, most, least))]
-            yield pd.DataFrame(out, columns=["document_id", "chunk", "begin", "end", "content"])
-
-    return documents.select("document_id", "text").mapInPandas(run, CHUNK_SCHEMA)
-
-
-def with_overlap(chunks: DataFrame, overlap: int) -> DataFrame:
-    """Each chunk with the end of the one before it in front; the core keeps its own place."""
-    w = Window.partitionBy("document_id").orderBy("chunk")
-    tail = F.substring(F.lag("content").over(w), -overlap, overlap)
-    return chunks.withColumn("overlapped", F.concat_ws("\n", tail, F.col("content")))
-
-
 def chunk_quality(chunks: DataFrame, short: int = 80) -> DataFrame:
     """A score of 100, less up to 45 for short chunks and 20 for repeated ones."""
     per = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("content") < short).alias("n_short"), (F.count(F.lit(1)) - F.count_distinct("content")).alias("n_repeated"))
@@ -178,21 +96,3 @@ def demote_repeated_headings(rows: DataFrame, page: Column) -> DataFrame:
     heads = rows.where("kind = 'heading'").groupBy("document_id", "text").agg((F.min("page") != F.max("page")).alias("repeated"))
     out = rows.join(heads, ["document_id", "text"], "left")
     return out.withColumn("kind", F.when((F.col("kind") == "heading") & F.col("repeated"), "paragraph").otherwise(F.col("kind"))).drop("repeated")
-
-
-def coverage_gaps(spans: DataFrame) -> DataFrame:
-    """Places of a document that no span covers: where a span begins after all before it have ended."""
-    w = Window.partitionBy("document_id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.coalesce(F.max("end").over(w), F.lit(0))
-    return spans.withColumn("reached", reached).where(F.col("begin") > F.col("reached")).select("document_id", F.col("reached").alias("begin"), F.col("begin").alias("end"))
-
-
-def source_windows(rows: DataFrame, size: int = 6000) -> DataFrame:
-    """Cuts each block's characters at multiples of size over the document, so windows cover every character once."""
-    n = F.length("text")
-    w = Window.partitionBy("document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("begin", F.coalesce(F.sum(n).over(w), F.lit(0)))
-    parts = F.sequence(F.floor(F.col("begin") / size), F.floor((F.col("begin") + n - 1) / size))
-    rows = rows.where(n > 0).withColumn("window", F.explode(parts))
-    lo, hi = F.greatest("begin", F.col("window") * size), F.least(F.col("begin") + n, (F.col("window") + 1) * size)
-    return rows.groupBy("document_id", "window").agg(F.count(F.lit(1)).alias("n_segments"), F.sum(hi - lo).alias("chars"))

@@ -163,16 +163,6 @@ def ocr_select(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.when((local["defects"] == 0) & outside, "external").when(F.length("text") < 40, "none").otherwise(local["name"]).alias("chosen"))
 
 
-@query("build_chunks", None)
-def build_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return C.child_chunks(documents(spark, sf))
-
-
-@query("child_overlap", None)
-def child_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return C.with_overlap(C.child_chunks(documents(spark, sf)), 120)
-
-
 @query("chunk_quality", BLOCKS + """, p AS (SELECT document_id, count(*) AS n, count(*) FILTER (WHERE length(text) < 80) AS n_short, count(*) - count(DISTINCT text) AS n_repeated FROM blocks GROUP BY 1),
 s AS (SELECT *, 100 - CAST(round_even(45.0 * n_short / n, 0) AS BIGINT) - least(2 * n_repeated, 20) AS score FROM p) SELECT document_id, n, n_short, n_repeated, score, CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'review' ELSE 'fallback' END AS verdict FROM s""")
 def chunk_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,20 +220,6 @@ def prepare_structured(spark: SparkSession, sf: str) -> DataFrame:
     return C.demote_repeated_headings(rows, F.floor(F.col("place") / 5)).select("document_id", "place", "kind")
 
 
-@query("source_windows", BLOCKS + """, b AS (SELECT document_id, length(text) AS n, sum(length(text)) OVER (PARTITION BY document_id ORDER BY place) - length(text) AS begin FROM blocks),
-w AS (SELECT *, unnest(range(CAST(begin // 6000 AS BIGINT), CAST((begin + n - 1) // 6000 + 1 AS BIGINT))) AS win FROM b)
-SELECT document_id, win AS "window", count(*) AS n_segments, CAST(sum(least(begin + n, (win + 1) * 6000) - greatest(begin, win * 6000)) AS BIGINT) AS chars FROM w GROUP BY 1, 2""")
-def source_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return C.source_windows(C.blocks(documents(spark, sf)))
-
-
-@query("structural_coverage", "WITH s AS (SELECT doc_id AS document_id, i * 500 AS b, i * 500 + CASE WHEN i % 3 = 2 THEN 400 ELSE 500 END AS e FROM (SELECT doc_id, unnest(range(0, n_chars // 500)) AS i FROM documents)), r AS (SELECT *, coalesce(max(e) OVER (PARTITION BY document_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM s) SELECT document_id, reached AS \"begin\", b AS \"end\" FROM r WHERE b > reached")
-def structural_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.floor(F.col("n_chars") / 500)
-    s = documents(spark, sf).where(n > 0).select("document_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
-    return C.coverage_gaps(s.select("document_id", (F.col("i") * 500).alias("begin"), (F.col("i") * 500 + F.when(F.col("i") % 3 == 2, 400).otherwise(500)).alias("end")))
-
-
 @query("replace_chunks", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version FROM documents")
 def replace_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The new version's chunks replace those of older versions of the same documents."""

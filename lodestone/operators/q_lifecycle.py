@@ -11,7 +11,6 @@ from lodestone.operators import chunking, evidence
 from lodestone.operators import relations as R
 from lodestone.operators.q_documents import BLOCKS, documents
 from lodestone.operators.q_plan import DATASET, FIELDS, dataset
-from lodestone.operators.q_search import CHUNKS
 from lodestone.operators.registry import query
 from lodestone.plans import compiler, units
 from lodestone.plans.model import Field, validate
@@ -37,19 +36,6 @@ def vector_repair(spark: SparkSession, sf: str) -> DataFrame:
     return R.missing_vectors(live, vectors, 64).select(F.concat(F.lit("embed:"), F.col("document_id").cast("string")).alias("key"), "reason")
 
 
-@query("structural_candidate", CHUNKS + "SELECT document_id, count(*) AS n_lines, CAST(0 AS BIGINT) AS uncovered, true AS accepted FROM chunks GROUP BY 1")
-def structural_candidate(spark: SparkSession, sf: str) -> DataFrame:
-    """Builds chunks anew and proves from their places that they cover every line of the source; one that left a character out would
-    not be accepted."""
-    at = F.col("place")
-    lines = documents(spark, sf).select("document_id", F.expr("transform(split(text, '\\n'), (x, i) -> struct(i as place, x as line))").alias("lines"))
-    begins = F.expr("aggregate(lines, array(0), (acc, x) -> array_append(acc, element_at(acc, -1) + length(x.line) + 1))")
-    lines = lines.select("document_id", F.posexplode("lines").alias("place", "x"), begins.alias("begins"))
-    lines = lines.where(F.trim("x.line") != "").select("document_id", F.get("begins", at).cast("long").alias("begin"), (F.get("begins", at) + F.length("x.line")).cast("long").alias("end"))
-    found = chunking.uncovered(lines, chunking.child_chunks(documents(spark, sf)).select("document_id", "begin", "end"))
-    return found.withColumn("accepted", F.col("uncovered") == 0)
-
-
 @query("split_table_text", """WITH r AS (SELECT c_custkey AS n, '行 ' || c_custkey || '｜name=' || c_name || '｜segment=' || c_mktsegment AS line FROM customer), f AS (SELECT n, line, unnest(range(0, CAST(ceil(length(line) / 30) AS BIGINT))) AS i, CAST(ceil(length(line) / 30) AS BIGINT) AS k FROM r)
 SELECT n, i + 1 AS part, CASE WHEN k = 1 THEN line ELSE '行 ' || n || '｜【片段 ' || (i + 1) || '/' || k || '】' || substr(line, i * 30 + 1, 30) END AS text FROM f""")
 def split_table_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,16 +121,6 @@ def page_safe_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.page_safe(blocks, chunking.chunk_quality(blocks.withColumnRenamed("text", "content"))).select("document_id", "place", "kind")
 
 
-@query("candidate_build", BLOCKS + """, b AS (SELECT document_id, sum(length(text)) AS chars FROM (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY place) AS section FROM blocks) GROUP BY document_id, section),
-x AS (SELECT document_id, count(*) AS base, count(*) FILTER (WHERE chars < 100) AS base_tiny FROM b GROUP BY 1), y AS (SELECT document_id, count(*) AS candidate, count(*) FILTER (WHERE length(text) < 100) AS candidate_tiny FROM blocks GROUP BY 1)
-SELECT *, NOT (candidate > base AND candidate_tiny >= base_tiny + 2) AS accepted FROM x JOIN y USING (document_id)""")
-def candidate_build(spark: SparkSession, sf: str) -> DataFrame:
-    """Single blocks as a candidate for the sections of a document."""
-    blocks = chunking.blocks(documents(spark, sf))
-    sections = chunking.sections(blocks, F.col("kind") == "heading").groupBy("document_id", "section").agg(F.sum(F.length("text")).alias("chars"))
-    return chunking.accept_candidate(sections.select("document_id", "chars"), blocks.select("document_id", F.length("text").alias("chars")))
-
-
 @query("output_validate", """SELECT event_id, CASE WHEN NOT json_valid(props) THEN 'not_json' WHEN json_keys(props) = ['k'] AND json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN 'ok' ELSE 'wrong_shape' END AS whole,
 CASE WHEN json_valid('{"stage":"' || event_type || '","props":' || props) THEN 'ok' ELSE 'not_json' END AS cut FROM events""")
 def output_validate(spark: SparkSession, sf: str) -> DataFrame:

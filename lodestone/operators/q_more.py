@@ -152,25 +152,6 @@ def pdf_heading_level(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.blocks(documents(spark, sf)).select("document_id", "place", F.when(t.rlike(r"^\d+\.\d+\s"), 2).when(t.rlike(r"^(\d+\.|Chapter)\s"), 1).otherwise(0).alias("level"))
 
 
-@query("window_risk_score", BLOCKS + """, w AS (SELECT document_id, place // 8 AS win, count(*) AS n, count(*) FILTER (WHERE length(text) <= 40) AS small, count(*) FILTER (WHERE kind = 'table') AS tables, CAST(sum(length(text)) AS BIGINT) AS chars FROM blocks GROUP BY 1, 2)
-SELECT document_id, win, (CASE WHEN small >= 0.5 * n THEN 3 ELSE 0 END) + (CASE WHEN tables > 0 AND tables < n THEN 4 ELSE 0 END) + (CASE WHEN chars > 3000 AND tables = 0 THEN 2 ELSE 0 END) AS risk FROM w""")
-def window_risk_score(spark: SparkSession, sf: str) -> DataFrame:
-    from lodestone.operators import chunking
-
-    tables_ = F.count_if(F.col("kind") == "table")
-    w = chunking.blocks(documents(spark, sf)).groupBy("document_id", F.floor(F.col("place") / 8).alias("win")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") <= 40).alias("small"), tables_.alias("t"), F.sum(F.length("text")).alias("chars"))
-    return w.select("document_id", "win", F.expr("if(small >= 0.5 * n, 3, 0) + if(t > 0 and t < n, 4, 0) + if(chars > 3000 and t = 0, 2, 0)").alias("risk"))
-
-
-@query("boundary_validate", """WITH x AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_shipdate, l_linenumber) AS ends, max(l_linenumber) AS n FROM lineitem GROUP BY 1)
-SELECT l_orderkey, ends = list_sort(ends) AND len(ends) = len(list_distinct(ends)) AND ends[-1] = n AS valid FROM x""")
-def boundary_validate(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the numbers of an order's lines, in the order of shipping, could be the ends of groups."""
-    parts = F.array_sort(F.collect_list(F.struct("l_shipdate", "l_linenumber")))
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(parts.alias("parts"), F.max("l_linenumber").alias("n"))
-    return rows.select("l_orderkey", E.valid_boundaries(F.col("parts.l_linenumber"), F.col("n")).alias("valid"))
-
-
 @query("next_unit", "SELECT min(conv_id) AS conv_id, count(*) AS ready FROM (SELECT conv_id FROM conversations GROUP BY 1 HAVING bool_and(role <> 'system') AND count(*) >= 4)")
 def next_unit(spark: SparkSession, sf: str) -> DataFrame:
     done = table(spark, sf, "conversations").groupBy("conv_id").agg(F.bool_and(F.col("role") != "system").alias("all"), F.count(F.lit(1)).alias("n")).where("all and n >= 4")

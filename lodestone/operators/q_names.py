@@ -21,7 +21,7 @@ from lodestone.sources import snapshots, tables as cells
 SAME = {
     "filter_eq": "filter_eq_text", "filter_ne": "filter_ne_text", "filter_lte": "filter_lte_text", "sort_rows": "sort_rows_text_desc", "agg_min": "agg_min_number", "agg_max": "agg_max_date", "group_by": "group_by_two",
     "qa_recall_cjk": "qa_recall", "lease": "lease_gaps", "purge": "purge_orphans", "trash": "trash_restore", "source_url": "normalize_url",
-    "row_fallback_executor": "row_compat_sum", "split_children": "build_chunks",
+    "row_fallback_executor": "row_compat_sum",
 }
 for _name, _other in SAME.items():
     query(_name, registry._SQL.get(_other))(registry._QUERIES[_other])
@@ -177,14 +177,6 @@ def freshness_policy(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("user_id", R.freshness_action(state, mode).alias("action"))
 
 
-@query("candidate_windows", BLOCKS.replace("WITH lines", "WITH RECURSIVE lines") + """, b AS (SELECT document_id, length(text) AS n, text LIKE '# %' AND kind = 'heading' AS edge, row_number() OVER (PARTITION BY document_id ORDER BY place) AS k FROM blocks),
-w AS (SELECT document_id, k, n AS chars, 1 AS many, 0 AS win FROM b WHERE k = 1 UNION ALL SELECT b.document_id, b.k, CASE WHEN w.chars + b.n > 6000 OR w.many = 32 OR b.edge THEN b.n ELSE w.chars + b.n END, CASE WHEN w.chars + b.n > 6000 OR w.many = 32 OR b.edge THEN 1 ELSE w.many + 1 END, CASE WHEN w.chars + b.n > 6000 OR w.many = 32 OR b.edge THEN w.win + 1 ELSE w.win END
-  FROM w JOIN b ON b.document_id = w.document_id AND b.k = w.k + 1) SELECT document_id, win, count(*) AS n, CAST(max(chars) AS BIGINT) AS chars FROM w GROUP BY 1, 2""")
-def candidate_windows(spark: SparkSession, sf: str) -> DataFrame:
-    windows = chunking.candidate_windows(chunking.blocks(documents(spark, sf)))
-    return windows.groupBy("document_id", "win").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
-
-
 @query("normalize_filter", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_filter(list(l_partkey), lambda x: x > 0))), ',') AS ids, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS sources FROM lineitem GROUP BY 1")
 def normalize_filter(spark: SparkSession, sf: str) -> DataFrame:
     """The parts and flags of an order's lines as a filter says them: positive, once each, in order."""

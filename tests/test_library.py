@@ -63,16 +63,6 @@ def test_websearch(spark):
     assert [r.id for r in rows.where(search.matches_any(F.col("t"), ["0%"])).collect()] == [4]
 
 
-def test_chunks_cover_the_text(spark):
-    body = "\n".join(["w" * 50] * 30 + ["Long sentence here. " * 120] + ["", "end"])
-    docs = spark.createDataFrame([(1, body), (2, None), (3, "short")], "document_id long, text string")
-    rows = chunking.child_chunks(docs).collect()
-    own = [r for r in rows if r.document_id == 1]
-    assert max(len(r.content) for r in own) <= 900 and [r.chunk for r in own] == list(range(len(own)))
-    assert "".join(r.content for r in own).replace("\n", "") == body.replace("\n", "")
-    assert [r.content for r in rows if r.document_id == 3] == ["short"] and not any(r.document_id == 2 for r in rows)
-
-
 def test_code_fences_and_headings(spark):
     docs = spark.createDataFrame([(1, "# T\n```\n# no\n```\n- item\n> q\nplain")], "document_id long, text string")
     assert [r.kind for r in chunking.blocks(docs).orderBy("place").collect()] == ["heading", "code_block", "list_item", "blockquote", "paragraph"]
@@ -158,12 +148,6 @@ def test_snapshot_changes(spark):
     assert {r.k: r.state for r in snapshots.changes(old, new, "k").collect()} == {1: "unchanged", 2: "changed", 3: "removed", 4: "added"}
 
 
-def test_a_candidate_that_leaves_text_out_is_seen(spark):
-    lines = spark.createDataFrame([(1, 0, 10), (1, 11, 20), (2, 0, 5), (3, 0, 4)], "document_id long, begin long, end long")
-    spans = spark.createDataFrame([(1, 0, 10), (1, 13, 18), (2, 0, 5)], "document_id long, begin long, end long")
-    assert {r.document_id: r.uncovered for r in chunking.uncovered(lines, spans).collect()} == {1: 4, 2: 0, 3: 4}
-
-
 def test_temporary_tables_go_but_those_that_are_kept(spark):
     with store.temporary(spark) as keep:
         gone, stays = store.written(spark.range(3), "gone"), store.written(spark.range(4), "stays")
@@ -229,9 +213,6 @@ def test_news_outputs_and_candidates(spark):
     said = spark.createDataFrame([(k, t) for k, t in enumerate(['{"k": 1}', '{"k": "1"}', '{"k": 1, "x": 2}', "{}", "{", None])], "k int, t string")
     verdicts = [r[0] for r in said.orderBy("k").select(relations.output_verdict(F.col("t"), "OBJECT<k: BIGINT>")).collect()]
     assert verdicts == ["ok", "wrong_shape", "wrong_shape", "wrong_shape", "not_json", "not_json"]
-    units = lambda *x: spark.createDataFrame([(d, c) for d, c in x], "document_id long, chars int")
-    judged = chunking.accept_candidate(units((1, 500), (2, 500), (3, 10)), units((1, 250), (1, 90), (2, 90), (2, 90), (3, 9)))
-    assert {r.document_id: r.accepted for r in judged.collect()} == {1: True, 2: False, 3: True}
 
 
 def test_page_safe_blocks_and_source_spans(spark):
