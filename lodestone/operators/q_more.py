@@ -28,15 +28,6 @@ def dataset_schema(spark: SparkSession, sf: str) -> DataFrame:
     return names.select("name", F.col("name").endswith("key").alias("identifier"))
 
 
-@query("field_semantics_validate", "SELECT * FROM (VALUES ('amount', 'paid', CAST(1 AS DOUBLE)), ('day', '', CAST(0 AS DOUBLE))) t(name, about, confidence)")
-def field_semantics_validate(spark: SparkSession, sf: str) -> DataFrame:
-    """Described fields with exact, unique names; texts trimmed and cut, confidence from 0 to 1."""
-    said = spark.createDataFrame([('[{"name":"amount","about":" paid ","confidence":1.5},{"name":"day","confidence":-1},{"name":"nope","about":"x"},{"name":"dup"},{"name":"dup"}]',)], "j string")
-    rows = said.select(F.inline(F.from_json("j", "array<struct<name:string,about:string,confidence:double>>")))
-    once = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))).where((F.col("n") == 1) & F.col("name").isin("amount", "day", "dup"))
-    return once.select("name", F.substring(F.trim(F.coalesce("about", F.lit(""))), 1, 500).alias("about"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0)))).alias("confidence"))
-
-
 @query("catalog_text", "SELECT n_regionkey, 'region ' || n_regionkey || chr(10) || string_agg(n_name, '; ' ORDER BY n_nationkey) AS about FROM nation GROUP BY 1")
 def catalog_text(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), "; ")
@@ -54,17 +45,6 @@ def answer_completion(spark: SparkSession, sf: str) -> DataFrame:
     return nation.select(F.col(identity).alias("missing")).where(~F.contains(F.lit("NATION_1, NATION_3 and nation_7"), F.col("missing"))).distinct()
 
 
-@query("weighted_patterns", "SELECT * FROM (VALUES ('sales', 5), ('华东地', 2), ('东地区', 2), ('华东', 1), ('东地', 1), ('地区', 1)) t(pattern, weight)")
-def weighted_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    from lodestone.functions import text as T
-
-    q = spark.createDataFrame([("sales 华东地区",)], "q string")
-    terms = F.filter(T.query_terms(F.col("q")), lambda t: ~t.rlike(T.CJK))
-    grams = lambda n, w: F.transform(T.cjk_grams(F.col("q"), (n,), 12), lambda g: F.struct(g.alias("pattern"), F.lit(w).alias("weight")))
-    all_ = F.slice(F.concat(F.transform(terms, lambda t: F.struct(t.alias("pattern"), F.lit(5).alias("weight"))), grams(3, 2), grams(2, 1)), 1, 16)
-    return q.select(F.inline(all_))
-
-
 @query("qa_snippet", CHUNKS + "SELECT chunk_id, CASE WHEN length(content) <= 600 THEN content ELSE substr(content, greatest(1, instr(lower(content), 'that') - 80), 600) END AS snippet FROM chunks WHERE contains(lower(content), 'that')")
 def qa_snippet(spark: SparkSession, sf: str) -> DataFrame:
     hits = chunks(spark, sf).where(search.matches_any(F.col("content"), ["that"]))
@@ -91,11 +71,6 @@ def vector_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("lang").agg(F.count(F.lit(1)).alias("expected"), F.count("vec_id").alias("completed"), (F.count(F.lit(1)) - F.count("vec_id")).alias("missing"))
 
 
-@query("canary_similarity", "SELECT * FROM (VALUES ('first', CAST(1 AS DOUBLE)), ('second', CAST(0 AS DOUBLE))) t(name, similarity)")
-def canary_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return E.canary_similarity(spark.createDataFrame([("first", [1.0, 2.0], [2.0, 4.0]), ("second", [1.0, 0.0], [0.0, 1.0])], "name string, a array<double>, b array<double>"))
-
-
 @query("neighbor_merge_overlap", None)
 def neighbor_merge_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return E.merged_neighbours(chunks(spark, sf))
@@ -106,12 +81,6 @@ def anchor_truncate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", E.centred(F.col("text"), F.instr("text", "."), 400).alias("cut"))
 
 
-@query("evidence_budget", "SELECT * FROM (VALUES (1, '100,250,3650'), (2, '1333,1333,1334'), (3, '')) t(k, given)")
-def evidence_budget(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [100, 250, 9000]), (2, [5000, 5000, 5000]), (3, [])], "k int, sizes array<int>")
-    return rows.select("k", F.array_join(F.transform(E.fair_share(F.col("sizes"), 4000), lambda x: x.cast("string")), ",").alias("given"))
-
-
 @query("evidence_classify", "SELECT page_id, CASE WHEN contains(html, '<table') THEN 'dataset' WHEN url LIKE '%.pdf%' THEN 'pdf_word' WHEN url LIKE '%.md%' THEN 'markdown' ELSE 'document' END AS kind FROM pages")
 def evidence_classify(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("url")

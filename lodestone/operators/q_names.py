@@ -115,25 +115,6 @@ def query_hints(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(h.values()) for h in compiler.hints(plan, fields)], "column string, operator string, value string")
 
 
-@query("plan_validate", "SELECT * FROM (VALUES (0, 'ok'), (1, 'invalid_query'), (2, 'invalid_query'), (3, 'ok')) t(k, outcome)")
-def plan_validate(spark: SparkSession, sf: str) -> DataFrame:
-    raws = [{"limit": 5}, {"filters": [{"column": "nope", "operator": "eq", "value": 1}]}, {"metric": "sum"}, {"metric": "sum", "metric_column": "amount", "group_by": ["segment"]}]
-    out = []
-    for k, raw in enumerate(raws):
-        try:
-            validate(raw, FIELDS)
-            out.append((k, "ok"))
-        except PlanError as error:
-            out.append((k, error.code))
-    return spark.createDataFrame(out, "k int, outcome string")
-
-
-@query("plan_validate_nl", "SELECT 'count' AS metric, 'desc' AS sort_order, 20 AS \"limit\"")
-def plan_validate_nl(spark: SparkSession, sf: str) -> DataFrame:
-    echo = validate_drafted({"limit": None}, FIELDS).echo()
-    return spark.createDataFrame([(echo["metric"], echo["sort_order"], echo["limit"])], "metric string, sort_order string, limit int")
-
-
 def _root(spark: SparkSession) -> str:
     """A new folder for snapshots in the shared one."""
     return store.new_path(spark, "snapshots")

@@ -43,12 +43,6 @@ def dataset_quality(spark: SparkSession, sf: str) -> DataFrame:
     return profile.dataset_quality(dataset(spark, sf), COLUMNS)
 
 
-@query("semantic_role", "SELECT * FROM (VALUES ('o_orderdate', 'time'), ('o_orderkey', 'identifier'), ('c_acctbal', 'measure'), ('o_orderstatus', 'status'), ('p_brand', 'category'), ('l_comment', NULL)) AS t(name, role)")
-def semantic_role(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in ("o_orderdate", "o_orderkey", "c_acctbal", "o_orderstatus", "p_brand", "l_comment")], "name string")
-    return names.select("name", profile.semantic_role(F.col("name")).alias("role"))
-
-
 QUESTION = "how much did asia-nation_2 and EUROPE-NATION_8 sell to BUILDING in 2024?"
 
 
@@ -98,11 +92,3 @@ def intent_classify(spark: SparkSession, sf: str) -> DataFrame:
     said = F.lower("text")
     turns = table(spark, sf, "conversations").where("role = 'user'")
     return turns.agg(F.count_if(said.rlike("(how many|combien|wie viele|count)")).alias("counting"), F.count_if(said.rlike("(sum|total|average|somme|moyenne)")).alias("structured"), F.count(F.lit(1)).alias("n"))
-
-
-@query("semantics_reuse", """WITH old AS (SELECT name, kind, 'about ' || name AS about FROM (VALUES ('a', 'text'), ('b', 'number'), ('c', 'date')) t(name, kind)), new AS (SELECT * FROM (VALUES ('a', 'text'), ('b', 'text'), ('c', 'date'), ('d', 'text')) t(name, kind))
-SELECT new.name, new.kind, coalesce(old.about, '') AS about, old.about IS NULL AS ask FROM new LEFT JOIN old USING (name, kind)""")
-def semantics_reuse(spark: SparkSession, sf: str) -> DataFrame:
-    old = spark.createDataFrame([("a", "text"), ("b", "number"), ("c", "date")], "name string, kind string").withColumn("about", F.concat(F.lit("about "), "name"))
-    new = spark.createDataFrame([("a", "text"), ("b", "text"), ("c", "date"), ("d", "text")], "name string, kind string")
-    return new.join(old, ["name", "kind"], "left").select("name", "kind", F.coalesce("about", F.lit("")).alias("about"), F.col("about").isNull().alias("ask"))

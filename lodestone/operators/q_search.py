@@ -38,12 +38,6 @@ def normalize_query(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.query_terms(F.col("text"))), " ").alias("terms"))
 
 
-@query("cjk_ngrams", "SELECT * FROM (VALUES ('华东地区销售额', '华东地,东地区,地区销,区销售,销售额,华东,东地,地区,区销,销售,售额'), ('abc 数据 x', '数据'), ('none', '')) t(q, grams)")
-def cjk_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("华东地区销售额",), ("abc 数据 x",), ("none",)], "q string")
-    return rows.select("q", F.array_join(T.cjk_grams(F.col("q")), ",").alias("grams"))
-
-
 @query("fts_match", CHUNKS + r"""SELECT chunk_id FROM chunks WHERE list_contains(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), 'the') AND list_contains(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), 'with')""")
 def fts_match(spark: SparkSession, sf: str) -> DataFrame:
     return index(spark, sf).with_all(["The", "with"]).select("chunk_id")
