@@ -14,9 +14,9 @@ OWN_ID = "own_doc_id"
 
 def one_id_a_row(docs: DataFrame) -> DataFrame:
     """docs with the doc_id as given in OWN_ID, and in doc_id a number that no two rows share and that has the order of the ids
-    (null first; rows of one id in the order they are read): the id itself where no two rows share one, else a written rank."""
+    (null first; rows of one id in the order they are read): the id itself where no two rows share one and none is null, else a written rank."""
     docs = docs.withColumns({OWN_ID: F.col("doc_id"), "doc_id": F.col("doc_id").cast("long")})
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs
     rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
     ranks = written(global_rank(rows.select("doc_id", "row"), F.asc_nulls_first("doc_id"), F.col("row")).select("row", "rank"), "row-ids")

@@ -15,7 +15,7 @@ suffixes that can repeat, so three jobs come before the trees:
 
 In each group the suffixes are sorted and neighbours compared: the sorted leaves and the lengths of their common prefixes
 are the subtree, and a run of leaves that agree on all ``width`` words is an internal node at that depth, a repeat. Its
-earliest leaf stays; the windows of the others are removed. Words are compared by 32-bit codes, ``width`` of them at once.
+earliest leaf stays; the windows of the others are removed. Words are compared by 64-bit codes, ``width`` of them at once.
 
 Windows are judged on the input, and earlier means a smaller doc_id, or an earlier start in the same document.
 
@@ -99,7 +99,7 @@ def _entries(width: int):
 
 def _leaf_types(width: int) -> tuple[np.dtype, np.dtype]:
     base = [("doc", "<i8"), ("pos", "<i4")]
-    return np.dtype([*base, ("lo", "u1"), ("hi", "u1"), ("w", "<u4", (2 * width - K,))]), np.dtype([*base, ("w", "<u4", (width,))])
+    return np.dtype([*base, ("lo", "u1"), ("hi", "u1"), ("w", "<u8", (2 * width - K,))]), np.dtype([*base, ("w", "<u8", (width,))])
 
 
 def _distinct_nodes(windows: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ def _distinct_nodes(windows: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tu
     n, width = windows.shape
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    leaf = np.ascontiguousarray(windows.astype(">u4")).view(f"V{4 * width}").ravel()
+    leaf = np.ascontiguousarray(windows.astype(">u8")).view(f"V{8 * width}").ravel()
     order = np.argsort(leaf)
     rows = windows[order]
     same = rows[1:] == rows[:-1]
@@ -165,7 +165,7 @@ def _suffixes(width: int, groups: int):
                 use = flag[anchor] > 0
                 at, anchor = at[use], anchor[use]
                 row = np.searchsorted(w.first, at, "right") - 1
-                code = np.concatenate([np.zeros(side, np.uint32), (w.code >> np.uint64(32)).astype(np.uint32), np.zeros(width, np.uint32)])
+                code = np.concatenate([np.zeros(side, np.uint64), w.code, np.zeros(width, np.uint64)])
                 out: list[tuple[int, int, bytes]] = []
                 hot = flag[anchor] == 2
                 # windows of a frequent anchor, equal ones of this slice merged

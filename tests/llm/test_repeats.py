@@ -108,3 +108,18 @@ def test_groups_grow_with_the_table(spark, monkeypatch):
     assert got == brute.substring_dedup(docs, 20)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(frame(spark, docs), 4, 85).collect()}
     assert found == brute.jaccard_groups(docs, 4, 85)
+
+
+def test_words_that_share_32_bits_of_their_codes_are_not_equal(spark):
+    """Windows that differ in one word alone, whose codes agree in their first half."""
+    words = [f"w{i}" for i in range(44)]
+    docs = [(1, " ".join([*words[:22], "w219102", *words[22:]])), (2, " ".join([*words[:22], "w332044", *words[22:]]))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.substring_dedup(docs, 20)
+
+
+def test_a_null_id_and_the_least_one_are_documents_each(spark):
+    text = " ".join(f"v{i}" for i in range(30))
+    rows = spark.createDataFrame([(None, text), (-(1 << 63), text), (5, "other words " * 30)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(rows).collect()}
+    assert got == {None: 0, -(1 << 63): 30, 5: 58}
