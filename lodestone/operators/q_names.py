@@ -20,7 +20,7 @@ from lodestone.sources import snapshots, tables as cells
 #: Inventory name: the query that has it.
 SAME = {
     "filter_eq": "filter_eq_text", "filter_ne": "filter_ne_text", "filter_lte": "filter_lte_text", "sort_rows": "sort_rows_text_desc", "agg_min": "agg_min_number", "agg_max": "agg_max_date", "group_by": "group_by_two",
-    "qa_recall_cjk": "qa_recall", "lease": "lease_gaps", "purge": "purge_orphans", "trash": "trash_restore", "source_url": "normalize_url",
+    "qa_recall_cjk": "qa_recall", "purge": "purge_orphans", "trash": "trash_restore", "source_url": "normalize_url",
     "row_fallback_executor": "row_compat_sum",
 }
 for _name, _other in SAME.items():

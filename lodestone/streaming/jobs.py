@@ -89,3 +89,11 @@ def scan_folder(spark: SparkSession, folder: str, schema: str, out: str, checkpo
 def run_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a query over all that is available into Parquet; a checkpoint makes the next run go on from there."""
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+
+
+def run_appended(stream: DataFrame) -> DataFrame:
+    """Runs an append query over all that is available into files in the shared folder, and reads them."""
+    spark, root = stream.sparkSession, store.new_path(stream.sparkSession, "appended")
+    query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/rows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
