@@ -32,13 +32,6 @@ def sections(rows: DataFrame, opens: Column) -> DataFrame:
     return rows.withColumn("section", F.sum(opens.cast("long")).over(w))
 
 
-def islands(rows: DataFrame, blank: Column) -> DataFrame:
-    """Regions of rows between blank ones: first, last and how many."""
-    w = Window.partitionBy("document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = rows.withColumn("blank", blank).withColumn("region", F.sum(F.col("blank").cast("long")).over(w)).where("not blank")
-    return marked.groupBy("document_id", "region").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
-
-
 def page_safe(rows: DataFrame, quality: DataFrame) -> DataFrame:
     """Headings of documents whose verdict in quality (one row a document) is fallback are paragraphs, so that they open no sections."""
     verdict = quality.select("document_id", "verdict")

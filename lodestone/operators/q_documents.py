@@ -53,18 +53,6 @@ def sectionize(spark: SparkSession, sf: str) -> DataFrame:
     return C.sections(C.blocks(documents(spark, sf)), F.expr(OPENS)).select("document_id", "place", "section")
 
 
-@query("sheet_regions", LINES + ", m AS (SELECT *, trim(line) = '' OR length(line) < 25 AS blank, sum(CASE WHEN trim(line) = '' OR length(line) < 25 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY place) AS region FROM lines) SELECT document_id, CAST(region AS BIGINT) AS region, min(place) AS first, max(place) AS last, count(*) AS n FROM m WHERE NOT blank GROUP BY 1, 2")
-def sheet_regions(spark: SparkSession, sf: str) -> DataFrame:
-    lines = documents(spark, sf).select("document_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("place", F.col("place").cast("long"))
-    return C.islands(lines, (F.trim("line") == "") | (F.length("line") < 25))
-
-
-@query("sheet_layout_risks", BLOCKS + "SELECT document_id, bool_or(kind = 'table') AND bool_or(kind <> 'table') AS mixed, count(*) FILTER (WHERE kind = 'table') AS n_table, bool_or(contains(lower(text), 'total')) AS summary FROM blocks GROUP BY 1")
-def sheet_layout_risks(spark: SparkSession, sf: str) -> DataFrame:
-    is_table = F.col("kind") == "table"
-    return C.blocks(documents(spark, sf)).groupBy("document_id").agg((F.bool_or(is_table) & F.bool_or(~is_table)).alias("mixed"), F.count_if(is_table).alias("n_table"), F.bool_or(F.contains(F.lower("text"), F.lit("total"))).alias("summary"))
-
-
 @query("cell_normalise", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS t, '[binary ' || strlen(o_orderpriority) || ' bytes sha256:' || sha256(o_orderpriority) || ']' AS b, CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS f, substr(o_orderpriority, 1, 4096) AS s FROM orders")
 def cell_normalise(spark: SparkSession, sf: str) -> DataFrame:
     cell = tables.cell_text

@@ -6,3 +6,4 @@ from lodestone.operators import q_names  # noqa: F401
 from lodestone.operators import q_lifecycle  # noqa: F401
 from lodestone.operators import q_structure  # noqa: F401
 from lodestone.operators import q_inputs  # noqa: F401
+from lodestone.operators import q_sheets  # noqa: F401

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 CELLS = "path string, sheet string, row_number long, column_number int, cell string"
+MERGES = "path string, sheet string, r1 long, c1 int, r2 long, c2 int"
 PARAGRAPHS = "path string, place long, kind string, level int, text string"
 #: Parts of a package that are larger than this are refused.
 MAX_PART = 256 << 20
@@ -47,17 +48,21 @@ def _column(reference: str) -> int:
     return number
 
 
+def _sheets(package: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Name and part of each sheet, in order."""
+    book = _part(package, "xl/workbook.xml")
+    names = [x.get("name") for x in book.iter() if _local(x.tag) == "sheet"] if book is not None else []
+    parts = sorted((n for n in package.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+    return [(names[k] if k < len(names) else part, part) for k, part in enumerate(parts)]
+
+
 def sheet_cells(content: bytes) -> list[tuple[str, int, int, str]]:
     """sheet, row, column and shown text of each cell with a value; a formula shows its kept value."""
     package = zipfile.ZipFile(io.BytesIO(content))
     shared = _part(package, "xl/sharedStrings.xml")
     strings = [_text(x) for x in shared] if shared is not None else []
-    book = _part(package, "xl/workbook.xml")
-    names = [x.get("name") for x in book.iter() if _local(x.tag) == "sheet"] if book is not None else []
     found = []
-    sheets = sorted((n for n in package.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
-    for k, part in enumerate(sheets):
-        name = names[k] if k < len(names) else part
+    for name, part in _sheets(package):
         for cell in (x for x in _part(package, part).iter() if _local(x.tag) == "c"):
             value = next((x.text for x in cell if _local(x.tag) == "v"), None)
             kind = cell.get("t")
@@ -68,6 +73,18 @@ def sheet_cells(content: bytes) -> list[tuple[str, int, int, str]]:
     return found
 
 
+def sheet_merges(content: bytes) -> list[tuple[str, int, int, int, int]]:
+    """sheet, first and last row and column of each merged range."""
+    package = zipfile.ZipFile(io.BytesIO(content))
+    found = []
+    for name, part in _sheets(package):
+        for merge in (x for x in _part(package, part).iter() if _local(x.tag) == "mergeCell"):
+            ends = merge.get("ref").split(":")
+            places = [(int(re.search(r"\d+", e)[0]), _column(e)) for e in (ends[0], ends[-1])]
+            found.append((name, *places[0], *places[1]))
+    return found
+
+
 def paragraphs(content: bytes) -> list[tuple[str, int, str]]:
     """kind, level and final text (insertions kept, deletions left out) of paragraphs and table rows in body order."""
     body = next(iter(_part(zipfile.ZipFile(io.BytesIO(content)), "word/document.xml")))
@@ -103,6 +120,10 @@ def workbooks(files: DataFrame) -> DataFrame:
     return files.mapInPandas(_per_file(lambda path, content: [(path, *x) for x in sheet_cells(content)], CELLS), CELLS)
 
 
+def merged_ranges(files: DataFrame) -> DataFrame:
+    return files.mapInPandas(_per_file(lambda path, content: [(path, *x) for x in sheet_merges(content)], MERGES), MERGES)
+
+
 def text_documents(files: DataFrame) -> DataFrame:
     return files.mapInPandas(_per_file(lambda path, content: [(path, k, *x) for k, x in enumerate(paragraphs(content))], PARAGRAPHS), PARAGRAPHS)
 
