@@ -195,13 +195,6 @@ def chunk_profile(spark: SparkSession, sf: str) -> DataFrame:
     return C.blocks(documents(spark, sf)).select("kind").distinct().select("kind", names.alias("target"))
 
 
-@query("doc_type_detect", BLOCKS + ", p AS (SELECT document_id, count(*) FILTER (WHERE kind = 'table') / count(*) AS tables, count(*) FILTER (WHERE kind = 'code_block') / count(*) AS code FROM blocks GROUP BY 1) SELECT document_id, CASE WHEN tables >= 0.6 THEN 'table' WHEN code >= 0.6 THEN 'code' ELSE 'general' END AS profile FROM p")
-def doc_type_detect(spark: SparkSession, sf: str) -> DataFrame:
-    share = lambda k: F.count_if(F.col("kind") == k) / F.count(F.lit(1))
-    p = C.blocks(documents(spark, sf)).groupBy("document_id").agg(share("table").alias("t"), share("code_block").alias("c"))
-    return p.select("document_id", F.when(F.col("t") >= 0.6, "table").when(F.col("c") >= 0.6, "code").otherwise("general").alias("profile"))
-
-
 @query("prepare_structured", BLOCKS + ", h AS (SELECT document_id, text, min(place // 5) <> max(place // 5) AS rep FROM blocks WHERE length(text) < 60 GROUP BY 1, 2) SELECT b.document_id, b.place, CASE WHEN length(b.text) >= 60 THEN b.kind WHEN h.rep THEN 'paragraph' ELSE 'heading' END AS kind FROM blocks b LEFT JOIN h USING (document_id, text)")
 def prepare_structured(spark: SparkSession, sf: str) -> DataFrame:
     rows = C.blocks(documents(spark, sf)).withColumn("kind", F.when(F.length("text") < 60, "heading").otherwise(F.col("kind")))

@@ -246,3 +246,24 @@ def structural_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """What children that are joined anew prove of their source: those of long lines say something else than their places do."""
     blocks = line_blocks(spark, sf)
     return S.coverage(S.children(blocks), S.source_texts(blocks))
+
+
+#: Words that stand for kinds in the tables' invented languages.
+WORDS = {"legal": ["the ", "tion", "which", "with", "ing"], "contract": ["ung", "keit", "lich", "nicht", "und"], "paper": ["ción", "mente", "que", "los", "ado"], "meeting": ["src1", "eaux", "ouque", "dans", "elle"]}
+
+
+def _signals_sql(kind: str) -> str:
+    n = " + ".join(f"CAST(contains(said, '{w}') AS INT)" for w in WORDS[kind])
+    return f"CASE WHEN {n} >= 4 THEN 0.9 WHEN {n} = 3 THEN 0.75 WHEN {n} = 2 THEN 0.6 ELSE 0 END"
+
+
+@query("doc_type_detect", BLOCKS + """, e AS (SELECT *, row_number() OVER (PARTITION BY document_id, kind ORDER BY place) AS r FROM blocks WHERE trim(text) <> ''),
+d AS (SELECT document_id, count(*) AS n, count(*) FILTER (WHERE kind = 'code_block') AS code, count(*) FILTER (WHERE kind = 'table') AS tab, string_agg(lower(CASE WHEN kind = 'paragraph' THEN substr(text, 1, 800) ELSE text END), chr(10)) FILTER (WHERE kind = 'paragraph' AND r <= 8 OR kind = 'heading' AND r <= 20) AS said FROM e GROUP BY 1),
+t AS (SELECT d.document_id, n, code, tab, lower(coalesce(source, '')) || chr(10) || coalesce(said, '') AS said FROM d JOIN documents ON doc_id = d.document_id),
+s AS (SELECT document_id, unnest(['general', 'legal', 'contract', 'paper', 'meeting', 'code', 'table']) AS name, unnest([0, 1, 2, 3, 4, 5, 6]) AS k, CAST(unnest([0, """ + ", ".join(map(_signals_sql, S.WORDED)) + """, CASE WHEN code >= 1 AND code * 2 >= n THEN 0.9 WHEN code >= 2 AND code * 4 >= n THEN 0.7 ELSE 0 END, CASE WHEN tab >= 1 AND tab * 2 >= n THEN 0.9 WHEN tab >= 2 AND tab * 4 >= n THEN 0.7 ELSE 0 END]) AS DOUBLE) AS score FROM t),
+r AS (SELECT document_id, name, score, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, k) AS p FROM s),
+b AS (SELECT a.document_id, a.name, a.score, round(a.score - c.score, 6) AS margin FROM r a JOIN r c ON c.document_id = a.document_id AND a.p = 1 AND c.p = 2)
+SELECT document_id, CASE WHEN score >= 0.6 AND margin >= 0.1 THEN name ELSE 'general' END AS profile, score, margin, round(CASE WHEN score >= 0.6 AND margin >= 0.1 THEN least(score, 1.0) ELSE greatest(0.5, 1 - score) END, 3) AS confidence FROM b""")
+def doc_type_detect(spark: SparkSession, sf: str) -> DataFrame:
+    titles = documents(spark, sf).select("document_id", F.col("source").alias("title"))
+    return S.document_profiles(chunking.blocks(documents(spark, sf)), titles, WORDS)

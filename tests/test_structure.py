@@ -378,3 +378,15 @@ def test_repaired_headings(spark, text, level, kind):
 def test_nothing_gives_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert S.children(none).collect() == S.parents(none).collect() == S.window_numbers(none).collect() == S.source_segments(none).collect() == []
+
+
+@pytest.mark.parametrize("title, blocks, profile, score, confidence", [
+    ("合同", [("paragraph", "甲方 乙方 违约责任 不可抗力")], "contract", 0.9, 0.9), ("x", [("paragraph", "甲方")], "general", 0.0, 1.0), ("摘要 参考文献", [("heading", "DOI")], "paper", 0.75, 0.75),
+    ("x", [("paragraph", "甲方 乙方 摘要 关键词")], "general", 0.6, 0.5), ("x", [("code_block", "a"), ("code_block", "b"), ("paragraph", "c")], "code", 0.9, 0.9),
+    ("x", [("table", "a"), ("table", "b"), *[("paragraph", "c")] * 6], "table", 0.7, 0.7), ("x", [("paragraph", "z" * 800 + "甲方 乙方 违约责任 不可抗力")], "general", 0.0, 1.0),
+    (None, [*[("paragraph", "c")] * 8, ("paragraph", "甲方 乙方 违约责任 不可抗力")], "general", 0.0, 1.0),
+])
+def test_kinds_of_documents(spark, title, blocks, profile, score, confidence):
+    rows = spark.createDataFrame([(1, k, kind, None, None, text) for k, (kind, text) in enumerate(blocks)], SCHEMA)
+    got = S.document_profiles(rows, spark.createDataFrame([(1, title)], "document_id long, title string")).first()
+    assert (got.profile, got.score, got.confidence) == (profile, score, confidence)
