@@ -96,18 +96,15 @@ def next_profile_state(state: str, wanted: str, missing: int = 0) -> str:
     return wanted
 
 
-def compatibility(old: dict, new: dict, canaries: list[tuple[list[float], list[float]]], least: float = 0.999) -> str:
-    """same, compatible, rebuild_required or unknown, by fingerprint, dimension, model and the canaries' similarity."""
-    import math
-
-    if old.get("fingerprint") and old.get("fingerprint") == new.get("fingerprint"):
-        return "same"
-    if old.get("dimension") != new.get("dimension") or old.get("model") != new.get("model"):
-        return "rebuild_required"
-    if not canaries:
-        return "unknown"
-    cos = [sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b)) for a, b in canaries]
-    return "compatible" if min(cos) >= least else "rebuild_required"
+def compatibility(pairs: DataFrame, profiles: DataFrame, keys: list[str], least: float = 0.999) -> DataFrame:
+    """profiles (keys, same_fingerprint, same_shape: dimension and model) with a verdict: same, compatible, rebuild_required or unknown, by the least similarity of the canaries' vectors. pairs:
+    keys, e and other, a canary's vector before and now."""
+    found = pairs.groupBy(*keys).agg(F.min(cosine(F.col("e"), F.col("other"))).alias("similarity"))
+    verdict = (
+        F.when(F.col("same_fingerprint"), "same").when(~F.col("same_shape"), "rebuild_required").when(F.col("similarity").isNull(), "unknown")
+        .when(F.col("similarity") >= least, "compatible").otherwise("rebuild_required")
+    )
+    return profiles.join(found, keys, "left").withColumn("verdict", verdict)
 
 
 def canary_similarity(pairs: DataFrame) -> DataFrame:

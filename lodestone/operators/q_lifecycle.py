@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import store
@@ -68,18 +68,27 @@ def profile_state_machine(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r["lang"], evidence.next_profile_state("ready", "active", r["missing"])) for r in n], "profile string, state string")
 
 
-@query("compatibility_judge", "SELECT a.label, 'rebuild_required' AS verdict FROM embeddings a WHERE a.label <> 0 GROUP BY 1 UNION ALL SELECT 0, 'same' FROM embeddings HAVING count(*) FILTER (WHERE label = 0) > 0")
+VARIANTS = ["same", "scaled", "next", "model", "none"]
+
+
+@query("compatibility_judge", """WITH r AS (SELECT label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings), c AS (SELECT * FROM r WHERE place <= 3),
+l AS (SELECT DISTINCT label FROM c), v AS (SELECT label, unnest(['same', 'scaled', 'next', 'model', 'none']) AS variant FROM l),
+s AS (SELECT a.label, 'scaled' AS variant, list_cosine_similarity(a.e, list_transform(a.e, lambda x: 2 * x)) AS s FROM c a UNION ALL SELECT a.label, 'next', list_cosine_similarity(a.e, b.e) FROM c a JOIN c b ON b.label = a.label + 1 AND b.place = a.place
+  UNION ALL SELECT label, unnest(['same', 'model']), 1.0 FROM c),
+m AS (SELECT label, variant, min(s) AS s FROM s GROUP BY 1, 2)
+SELECT label, variant, CASE WHEN variant = 'same' THEN 'same' WHEN variant = 'model' THEN 'rebuild_required' WHEN s IS NULL THEN 'unknown' WHEN s >= 0.999 THEN 'compatible' ELSE 'rebuild_required' END AS verdict FROM v LEFT JOIN m USING (label, variant)""")
 def compatibility_judge(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the vectors of each label fit those of label 0, by three canaries of either; its own have the same fingerprint."""
-    rows = table(spark, sf, "embeddings")
-    first = rows.groupBy("label").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))  # ids alone, for the three least
-    ids = [x for r in first.select(F.slice("ids", 1, 3).alias("ids")).collect() for x in r["ids"]]
-    canaries: dict[int, list] = {}
-    for r in rows.where(F.col("vec_id").isin(ids)).orderBy("label", "vec_id").collect():  # three a label
-        canaries.setdefault(r["label"], []).append(r["embedding"])
-    profile = lambda label: {"fingerprint": str(label), "dimension": 64, "model": "m"}
-    out = [(label, evidence.compatibility(profile(0), profile(label), list(zip(canaries[0], own)))) for label, own in canaries.items()]
-    return spark.createDataFrame(out, "label int, verdict string")
+    """Whether vectors of another profile may stand beside those of a label, by three canaries: the same profile, one that gives vectors of twice the length, the next label's, one of another model,
+    and one without canaries."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))  # limited in each task before the shuffle
+    canaries = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e"), place.alias("place")).where("place <= 3")
+    variants = F.array(*[F.lit(v) for v in VARIANTS])
+    profiles = canaries.select("label").distinct().select("label", F.explode(variants).alias("variant"))
+    own = canaries.select("label", F.explode(F.array(F.lit("same"), F.lit("scaled"), F.lit("model"))).alias("variant"), "e", F.when(F.col("variant") == "scaled", F.transform("e", lambda x: 2 * x)).otherwise(F.col("e")).alias("other"))
+    after = canaries.select((F.col("label") - 1).alias("label"), "place", F.col("e").alias("other"))
+    pairs = own.unionByName(canaries.join(after, ["label", "place"]).select("label", F.lit("next").alias("variant"), "e", "other"))
+    judged = evidence.compatibility(pairs, profiles.withColumns({"same_fingerprint": F.col("variant") == "same", "same_shape": F.col("variant") != "model"}), ["label", "variant"])
+    return judged.select("label", "variant", "verdict")
 
 
 @query("aggregate_withholding", DATASET + "SELECT 'blocked' AS verdict, CAST(0 AS BIGINT) AS n_rows, count(*) AS matched_rows FROM typed")

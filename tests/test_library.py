@@ -180,11 +180,9 @@ def test_evidence_helpers(spark):
     assert evidence.next_profile_state("ready", "active", missing=3) == "building" and evidence.next_profile_state("ready", "active") == "active"
     with pytest.raises(ValueError):
         evidence.next_profile_state("draft", "active")
-    same = {"fingerprint": "f", "dimension": 2, "model": "m"}
-    assert evidence.compatibility(same, same, []) == "same"
-    other = same | {"fingerprint": "g"}
-    assert evidence.compatibility(same, other, []) == "unknown" and evidence.compatibility(same, other, [([1.0, 0.0], [1.0, 0.0])]) == "compatible"
-    assert evidence.compatibility(same, other | {"dimension": 3}, []) == "rebuild_required"
+    pairs = spark.createDataFrame([(k, [1.0, 0.0], other) for k, other in ((1, [2.0, 0.0]), (2, [2.0, 0.0]), (2, [0.0, 1.0]), (4, [1.0, 0.0]), (5, [1.0, 0.0]))], "k int, e array<double>, other array<double>")
+    profiles = spark.createDataFrame([(1, False, True), (2, False, True), (3, False, True), (4, False, False), (5, True, False)], "k int, same_fingerprint boolean, same_shape boolean")
+    assert {r.k: r.verdict for r in evidence.compatibility(pairs, profiles, ["k"]).collect()} == {1: "compatible", 2: "rebuild_required", 3: "unknown", 4: "rebuild_required", 5: "same"}
 
 
 def test_filters_and_citations_by_hand(spark):
