@@ -53,6 +53,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+        if with_ids:  # a step of a pipeline, after which workers do other things
+            enc.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -76,9 +76,19 @@ class Encoder:
         stay = np.flatnonzero(self.hits > 1)
         if len(stay) > CACHE // 2:
             return self._forget()
+        self._hold(stay)
+
+    def _hold(self, stay: np.ndarray) -> None:
+        """Keeps the pieces of these numbers alone."""
         self.kept, self.size, self.pool = self.kept.take(pa.array(stay)), self.size[stay], _gather(self.pool, self.begin[stay], self.size[stay])
         self.begin, self.hits = (np.cumsum(self.size) - self.size).astype(np.int32), np.ones(len(stay), np.int32)
 
+    def rest(self, most: int = 50_000) -> None:
+        """Keeps the most frequent pieces alone, so that a worker that goes on with other work holds little."""
+        if self.by_pieces and len(self.kept) > most:
+            self._hold(np.sort(np.argpartition(self.hits, -most)[-most:]))
+            pa.default_memory_pool().release_unused()
+
     def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Encodes new pieces, many in one text, and cuts the ids where the bytes of a piece end: all ids, and how many each piece has."""
         parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]

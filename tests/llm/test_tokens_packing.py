@@ -185,3 +185,12 @@ def test_exact_groups(spark):
     assert sorted((r.group_size, r.kept) for r in none) == [(1, True), (2, False), (2, True)]
     heavy = exact_dedup.heavy_groups(exact_dedup.digests(frame), 0.25)  # three pairs of ten rows each do not pass a quarter
     assert heavy.count() == 0
+
+
+def test_an_encoder_that_rests_gives_the_same_ids():
+    enc = tokens.Encoder(PATH, 0)
+    texts = pa.array([" ".join(f"word{i}" for i in range(200)), "the the of the", None])
+    first = [ids.tolist() for _, _, ids, _ in enc.encode(texts)]
+    enc.rest(3)
+    assert len(enc.kept) == 3
+    assert [ids.tolist() for _, _, ids, _ in enc.encode(texts)] == first
