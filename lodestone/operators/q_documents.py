@@ -105,12 +105,14 @@ def sanitize_unicode(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.length(clean).alias("n"), clean.alias("text"))
 
 
-@query("import_batch", "SELECT doc_id FROM documents WHERE doc_id <= (SELECT max(doc_id) FROM documents) AND lang <> 'en' ORDER BY doc_id LIMIT 50")
+@query("import_batch", "SELECT doc_id FROM documents WHERE doc_id <= (SELECT max(vec_id) FROM embeddings) AND lang <> 'en' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY doc_id DESC LIMIT 50")
 def import_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The first batch up to the id that is the greatest when the import begins; rows that come later are not part of it."""
-    rows = table(spark, sf, "documents")
-    through = rows.agg(F.max("doc_id").alias("through_id"))
-    return rows.join(F.broadcast(through), F.col("doc_id") <= F.col("through_id")).where("lang <> 'en'").orderBy("doc_id").select("doc_id").limit(50)
+    """The last batch up to the id that was the greatest when the import began (the last one with a vector); rows that came later are not part of it, nor are those in a state that is not imported (labelled toxic)."""
+    rows, labels, vectors = table(spark, sf, "documents"), table(spark, sf, "labels"), table(spark, sf, "embeddings")
+    through = vectors.agg(F.max("vec_id").alias("through_id"))  # one row
+    barred = labels.where("toxic = 1").select("doc_id")
+    kept = rows.join(F.broadcast(through), F.col("doc_id") <= F.col("through_id")).where("lang <> 'en'").join(barred, "doc_id", "left_anti")
+    return kept.orderBy(F.desc("doc_id")).select("doc_id").limit(50)
 
 
 @query("sink_export", "SELECT '# ' || source || chr(10) || chr(10) || text AS value FROM documents")
