@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,24 @@ def test_an_index_over_nothing(spark, tmp_path):
     spark.createDataFrame([], "chunk_id long, document_id long, content string").write.parquet(source)
     own = term_index.ensure(spark, source, lambda: spark.read.parquet(source))
     assert own.with_all(["a"]).collect() == own.weighted([("a", 1)], top=3).collect() == own.cover_ranked(["a"]).collect() == []
+
+
+@pytest.mark.parametrize("at_once", [1, 5, 10**6])
+def test_a_document_is_in_one_block_of_a_term(at_once, monkeypatch):
+    monkeypatch.setattr(term_index, "AT_ONCE", at_once)
+    texts = [(0, 7, "a b"), (1, 7, "b a b"), (2, 8, "a"), (5, 8, "c"), (4, 9, "b"), (3, 9, "b c")]  # (chunk, document, words), dealt to batches that cross documents
+    table = pa.table({"chunk_id": [c for c, _, _ in texts], "document_id": [d for _, d, _ in texts], "length": pa.array([len(t) for _, _, t in texts], pa.int32()), "words": [t.split() for _, _, t in texts]})
+    for size in (1, 2, 4, 6):
+        found = [r for b in term_index._blocks(iter(table.to_batches(size))) for r in b.to_pylist()]
+        postings = sorted((r["term"], *p) for r in found for p in zip(r["chunks"], r["documents"], r["counts"], map(tuple, r["positions"])))
+        assert postings == sorted((w, c, d, t.split().count(w), tuple(k for k, x in enumerate(t.split()) if x == w)) for c, d, t in texts for w in set(t.split()))
+        assert all(r["chunks"] == sorted(r["chunks"]) and r["n"] == len(r["chunks"]) and r["d"] == len(set(r["documents"])) for r in found)
+        for term, documents in (("a", 2), ("b", 2), ("c", 2)):
+            assert sum(r["d"] for r in found if r["term"] == term) == documents
+
+
+def test_texts_are_not_written_again(spark, made):
+    own = made[0]
+    folders = spark._jvm.org.apache.hadoop.fs.Path(own.path)
+    names = {f.getPath().getName() for f in folders.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folders)}
+    assert names == {"postings", "terms"}
