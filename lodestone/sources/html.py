@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,9 @@ SKIP = {
 VOID = {"input", "embed", "source", "track"}
 BLOCKS = {"p": "paragraph", "li": "list_item", "blockquote": "blockquote", "pre": "code_block"} | {f"h{i}": "heading" for i in range(1, 7)}
 SCHEMA = "page_id long, place long, kind string, level int, text string"
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+#: Pages that are parsed before their blocks are handed on.
+AT_ONCE = 32
 
 
 class _Blocks(HTMLParser):
@@ -52,18 +55,21 @@ class _Blocks(HTMLParser):
             self.text.append(data)
 
 
-def html_blocks(pages: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, AT_ONCE):
             out = []
-            for page, html in zip(batch["page_id"], batch["html"]):
+            for page, html in zip(*(c.to_pylist() for c in batch.slice(k, AT_ONCE).columns)):
                 parser = _Blocks()
                 parser.feed(html or "")
                 parser.close_block()
-                out += [(page, k, *x) for k, x in enumerate(parser.found)]
-            yield pd.DataFrame(out, columns=["page_id", "place", "kind", "level", "text"])
+                out += [(page, place, *x) for place, x in enumerate(parser.found)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(TYPES)], [c.split()[0] for c in SCHEMA.split(", ")])
+
 
-    return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """The blocks of each page. Pages of a batch are parsed a few at a time, and what they give is handed on before the next ones."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_parsed, SCHEMA)
 
 
 def title(html: Column) -> Column:

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -229,3 +230,10 @@ def test_an_empty_refresh_keeps_the_version_before(spark, tmp_path):
     root, rows = f"file://{tmp_path}/kept", spark.range(3).select(F.col("id").cast("string").alias("id"))
     assert [snapshots.refresh(r, root) for r in (rows, rows.limit(0))] == ["published", "kept"]
     assert snapshots.active(spark, root).count() == 3
+
+
+def test_html_is_handed_on_before_a_batch_ends():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([f"<p>text {k}</p>" for k in range(99)] + [None])], ["page_id", "html"])
+    found = list(html._parsed(iter([batch])))
+    assert len(found) == -(-100 // html.AT_ONCE) > 1
+    assert [tuple(r.values()) for b in found for r in b.to_pylist()] == [(k, 0, "paragraph", 0, f"text {k}") for k in range(99)]
