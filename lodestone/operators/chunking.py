@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.structure import let
+
 #: Target, most, least and overlap of chunk sizes in characters (fixed values).
 PROFILES = {"table": (1800, 2400, 100, 0), "code": (1200, 1800, 100, 200), "general": (600, 900, 80, 120)}
 
@@ -75,6 +77,12 @@ def row_parts(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("n", (F.col("i") + 1).alias("part"), F.when(F.col("k") == 1, F.col("body")).otherwise(F.concat(head, "body")).alias("text"))
 
 
+def lines_of_words(texts: DataFrame, size: int) -> DataFrame:
+    """A row for each line of so many words of the column text, numbered from 0, with the other columns; words stand between single spaces."""
+    lines = let(F.split("text", " "), lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda k: F.array_join(F.slice(w, k * size + 1, size), " ")))
+    return texts.where("text is not null").select(*[c for c in texts.columns if c != "text"], F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
+
+
 def chunk_quality(chunks: DataFrame, short: int = 80) -> DataFrame:
     """A score of 100, less up to 45 for short chunks and 20 for repeated ones."""
     per = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("content") < short).alias("n_short"), (F.count(F.lit(1)) - F.count_distinct("content")).alias("n_repeated"))

@@ -141,10 +141,21 @@ def source_db_catalog(spark: SparkSession, sf: str) -> DataFrame:
 @query("ocr_line_aggregate", r"""WITH w AS (SELECT doc_id, i, i // 8 AS line, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))
 SELECT doc_id, line, string_agg(word, ' ' ORDER BY i) AS text, min(i % 8 * 10) AS x0, max(i % 8 * 10 + length(word)) AS x1, round(avg(i % 100), 4) AS confidence FROM w GROUP BY 1, 2""")
 def ocr_line_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    w = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).withColumn("line", F.floor(F.col("i") / 8))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ")
-    x = F.col("i") % 8 * 10
-    return w.groupBy("doc_id", "line").agg(text.alias("text"), F.min(x).alias("x0"), F.max(x + F.length("word")).alias("x1"), F.round(F.avg(F.col("i") % 100), 4).alias("confidence"))
+    """Eight words a line. A text gives whole lines, so nothing is shuffled but the ids; where rows share an id (or several have none), lines of one number are merged."""
+    docs = table(spark, sf, "documents")
+    lines = C.lines_of_words(docs.select("doc_id", "text"), 8)
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        lines = lines.withColumn("texts", F.array("text"))
+    else:
+        lines = lines.groupBy("doc_id", "line").agg(F.collect_list("text").alias("texts"))
+    words = F.flatten(F.transform("texts", lambda t: F.transform(F.split(t, " "), lambda w, k: F.struct(k.alias("k"), w.alias("word")))))
+    rows = lines.select("doc_id", "line", F.array_sort(words).alias("w"))
+    total = lambda f: F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + f(x))
+    place = lambda x: (F.col("line") * 8 + x["k"]) % 100
+    end = F.array_max(F.transform("w", lambda x: x["k"] * 10 + F.length(x["word"])))
+    text = F.array_join(F.transform("w", lambda x: x["word"]), " ")
+    confidence = F.round(total(place) / F.size("w"), 4)
+    return rows.select("doc_id", "line", text.alias("text"), F.array_min(F.transform("w", lambda x: x["k"] * 10)).alias("x0"), end.alias("x1"), confidence.alias("confidence"))
 
 
 @query("ocr_select", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND length(text) > 200 THEN 'external' WHEN length(text) < 40 THEN 'none' ELSE 'local' END AS chosen FROM documents")

@@ -237,3 +237,19 @@ def test_html_is_handed_on_before_a_batch_ends():
     found = list(html._parsed(iter([batch])))
     assert len(found) == -(-100 // html.AT_ONCE) > 1
     assert [tuple(r.values()) for b in found for r in b.to_pylist()] == [(k, 0, "paragraph", 0, f"text {k}") for k in range(99)]
+
+
+@pytest.mark.parametrize("ids", [[0, 1, 2, 3, 4], [0, 0, None, None, 4]])
+def test_lines_of_words_are_made_where_the_text_is(spark, tmp_path, ids):
+    from lodestone.operators.q_documents import ocr_line_aggregate
+
+    texts = ["a  bb " * 9, "", "one", None, " ".join(f"w{k}" for k in range(230))]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = ocr_line_aggregate(spark, str(tmp_path))
+    assert ("Exchange" in rows._jdf.queryExecution().executedPlan().toString()) == (len(set(ids)) < len(ids))
+    want = {}
+    for own, t in zip(ids, texts):
+        for i, w in enumerate(t.split(" ") if t is not None else []):
+            want.setdefault((own, i // 8), []).append((i, w))
+    made = {k: (" ".join(w for _, w in sorted(v)), 0, max(i % 8 * 10 + len(w) for i, w in v), round(sum(i % 100 for i, _ in v) / len(v), 4)) for k, v in want.items()}
+    assert {(r.doc_id, r.line): (r.text, r.x0, r.x1, r.confidence) for r in rows.collect()} == made
