@@ -10,10 +10,11 @@ document serves them all.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,17 @@ def hard_pieces(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
 
 
+INTS = pa.list_(pa.int32())
+#: Rows of a batch that Python has as lists at once.
+AT_ONCE = 256
+
+
+def _rows(*columns: pa.Array) -> Iterator[tuple]:
+    """The rows of columns of equal length, made into Python values a few at a time."""
+    for k in range(0, len(columns[0]), AT_ONCE):
+        yield from zip(*(c.slice(k, AT_ONCE).to_pylist() for c in columns))
+
+
 # The functions below are marked as not deterministic so that the optimizer runs them once and where they stand, and never moves them into a lambda or a filter.
 
 
@@ -87,9 +99,9 @@ def packer(most: int, gap: int, least: int = 0) -> Callable[..., Column]:
     """A function of arrays (sizes, alone, pages): where groups of units begin. A unit joins the group before it while their sizes, with a gap after each, stay within
     most; units that stand alone, and those of another page than the group's first (-1: no page), do not. A last group smaller than least goes to the one before it."""
 
-    @F.pandas_udf("array<int>")
-    def starts(sizes: pd.Series, alone: pd.Series, pages: pd.Series) -> pd.Series:
-        return pd.Series([_pack(*(x.tolist() for x in own), most, gap, least) for own in zip(sizes, alone, pages)])
+    @F.arrow_udf("array<int>")
+    def starts(sizes: pa.Array, alone: pa.Array, pages: pa.Array) -> pa.Array:
+        return pa.array((_pack(*own, most, gap, least) for own in _rows(sizes, alone, pages)), INTS)
 
     return starts.asNondeterministic()
 
@@ -98,11 +110,10 @@ def cascade(sizes: Sizes) -> Callable[..., Column]:
     """A function of arrays (sizes, paragraphs, hard): where pieces begin, of units that are sentences, short paragraphs or, where hard, parts of a fixed size. Sentences
     are packed inside their paragraph, and where there are several paragraphs, what that gives is packed once more."""
 
-    @F.pandas_udf("array<int>")
-    def starts(lengths: pd.Series, paragraphs: pd.Series, hard: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def starts(lengths: pa.Array, paragraphs: pa.Array, hard: pa.Array) -> pa.Array:
         out = []
-        for own in zip(lengths, paragraphs, hard):
-            n, of, fixed = (x.tolist() for x in own)
+        for n, of, fixed in _rows(lengths, paragraphs, hard):
             begins: list[int] = []
             borders = [k for k in range(len(n)) if not k or of[k] != of[k - 1]] + [len(n)]
             for a, b in zip(borders, borders[1:]):
@@ -112,7 +123,7 @@ def cascade(sizes: Sizes) -> Callable[..., Column]:
                 whole = [sum(n[a:b]) + b - a - 1 for a, b in zip(begins, ends)]
                 begins = [begins[k] for k in _pack(whole, [False] * len(whole), [-1] * len(whole), sizes.pack, 1, sizes.least)]
             out.append(begins)
-        return pd.Series(out)
+        return pa.array(out, INTS)
 
     return starts.asNondeterministic()
 
@@ -179,10 +190,30 @@ def parents(blocks: DataFrame) -> DataFrame:
 # children
 
 
+def split(rows: DataFrame, sizes: Sizes, prose: str | None = None, table: str | None = None, of_prose: str = "pieces", of_table: str = "pieces") -> DataFrame:
+    """rows with of_prose, the pieces of the column prose (as ``split_long`` says), and of_table, those of the column table (as ``split_rows`` says). Both go through Python at once."""
+    units = ({"prose_units": prose_units(prose, sizes)} if prose else {}) | ({"table_units": table_units(table, sizes)} if table else {})
+    rows = rows.withColumns(units)
+    each = lambda column, name: F.transform(column, lambda u: u[name])
+    sized = lambda column: F.transform(column, lambda u: F.length(u["text"]))
+    starts = {"prose_starts": cascade(sizes)(sized("prose_units"), each("prose_units", "p"), each("prose_units", "hard"))} if prose else {}
+    if table:
+        starts["table_starts"] = packer(sizes.pack, 1)(sized("table_units"), each("table_units", "alone"), F.transform("table_units", lambda u: F.lit(-1)))
+    rows = rows.withColumns(starts)
+    joined = lambda name, gap: F.transform(runs(F.col(f"{name}_units"), F.col(f"{name}_starts")), lambda r: F.array_join(each(r, "text"), gap))
+    found = ({of_prose: joined("prose", " ")} if prose else {}) | ({of_table: joined("table", "\n")} if table else {})
+    return rows.withColumns(found).drop(*units, *starts)
+
+
 def split_long(rows: DataFrame, sizes: Sizes, text: str = "text", pieces: str = "pieces") -> DataFrame:
     """rows with pieces, an array of texts, of the column text. One within the hard limit is one piece. A longer one is cut at blank lines, a paragraph that is too long at sentences, and what has one sentence
     into parts of the limit. Sentences and paragraphs are joined again by a space while they stay within the target, and a last piece that is too short goes to the one before; a
     single sentence longer than the limit stays whole, as long as there are others."""
+    return split(rows, sizes, prose=text, of_prose=pieces)
+
+
+def prose_units(text: str, sizes: Sizes) -> Column:
+    """The parts (text, number of the paragraph, whether of a fixed size) that pieces are made of."""
     short = F.length(text) <= sizes.hard
     paragraphs = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), stripped), lambda p: p != "")
     paragraphs = F.when(~short & (F.size(paragraphs) > 1), paragraphs).otherwise(F.array(text))
@@ -191,14 +222,16 @@ def split_long(rows: DataFrame, sizes: Sizes, text: str = "text", pieces: str =
         whole = lambda texts, hard: F.transform(texts, lambda x: F.struct(x.alias("text"), k.alias("p"), F.lit(hard).alias("hard")))
         return F.when(F.length(p) <= sizes.hard, whole(F.array(p), False)).otherwise(let(sentences(p), lambda s: F.when(F.size(s) > 1, whole(s, False)).otherwise(whole(hard_pieces(p, sizes.hard), True))))
 
-    rows = rows.withColumn("units", F.flatten(F.transform(paragraphs, unit)))
-    rows = rows.withColumn("starts", cascade(sizes)(F.transform("units", lambda u: F.length(u["text"])), F.transform("units", lambda u: u["p"]), F.transform("units", lambda u: u["hard"])))
-    found = F.transform(runs(F.col("units"), F.col("starts")), lambda r: F.array_join(F.transform(r, lambda u: u["text"]), " "))
-    return rows.withColumn(pieces, found).drop("units", "starts")
+    return F.flatten(F.transform(paragraphs, unit))
 
 
 def split_rows(rows: DataFrame, sizes: Sizes, text: str = "text", pieces: str = "pieces") -> DataFrame:
     """rows with pieces, an array of texts, of table texts in the column text: rows packed up to the target; a row beyond the limit is cut by itself into parts, each of which names it where it begins with its number; a single row is cut into parts of the limit."""
+    return split(rows, sizes, table=text, of_table=pieces)
+
+
+def table_units(text: str, sizes: Sizes) -> Column:
+    """The parts (text, and whether it stands alone) that pieces of table texts are made of."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: stripped(x) != "")
 
     def unit(line: Column) -> Column:
@@ -211,10 +244,7 @@ def split_rows(rows: DataFrame, sizes: Sizes, text: str = "text", pieces: str =
         return F.when(F.length(line) <= sizes.hard, each(F.array(line), False)).when(name != "", each(named, True)).otherwise(each(hard_pieces(line, sizes.hard), True))
 
     only = F.transform(hard_pieces(F.col(text), sizes.hard), lambda x: F.struct(x.alias("text"), F.lit(True).alias("alone")))  # one row has no name to repeat
-    rows = rows.withColumn("units", F.when(F.size(lines) > 1, F.flatten(F.transform(lines, unit))).otherwise(only))
-    rows = rows.withColumn("starts", packer(sizes.pack, 1)(F.transform("units", lambda u: F.length(u["text"])), F.transform("units", lambda u: u["alone"]), F.transform("units", lambda u: F.lit(-1))))
-    found = F.transform(runs(F.col("units"), F.col("starts")), lambda r: F.array_join(F.transform(r, lambda u: u["text"]), "\n"))
-    return rows.withColumn(pieces, found).drop("units", "starts")
+    return F.when(F.size(lines) > 1, F.flatten(F.transform(lines, unit))).otherwise(only)
 
 
 def exact_spans(sizes: Sizes) -> Callable[..., Column]:
@@ -225,26 +255,26 @@ def exact_spans(sizes: Sizes) -> Callable[..., Column]:
 
     marks = {True: re.compile(r"\r?\n"), False: re.compile(r"\n\s*\n|[。！？!?；;]\s*|[.]\s+")}
 
-    @F.pandas_udf("array<struct<since:int,text:string>>")
-    def spans(texts: pd.Series, by_rows: pd.Series) -> pd.Series:
-        out = []
-        for text, rows in zip(texts, by_rows):
-            places = [m.end() for m in marks[bool(rows)].finditer(text)]
-            found, at = [], 0
-            while at < len(text):
-                last = bisect_right(places, at + sizes.pack)
-                end = at + sizes.hard
-                if end >= len(text):
-                    end = len(text)
-                elif last and places[last - 1] > at:
-                    end = places[last - 1]
-                elif last < len(places) and places[last] <= end:
-                    end = places[last]
-                if text[at:end].strip():
-                    found.append({"since": at, "text": text[at:end]})
-                at = end
-            out.append(found)
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<since:int,text:string>>")
+    def spans(texts: pa.Array, by_rows: pa.Array) -> pa.Array:
+        return pa.array((_spans(*own) for own in _rows(texts, by_rows)), pa.list_(pa.struct([("since", pa.int32()), ("text", pa.string())])))
+
+    def _spans(text: str, rows: bool) -> list[dict]:
+        places = [m.end() for m in marks[bool(rows)].finditer(text)]
+        found, at = [], 0
+        while at < len(text):
+            last = bisect_right(places, at + sizes.pack)
+            end = at + sizes.hard
+            if end >= len(text):
+                end = len(text)
+            elif last and places[last - 1] > at:
+                end = places[last - 1]
+            elif last < len(places) and places[last] <= end:
+                end = places[last]
+            if text[at:end].strip():
+                found.append({"since": at, "text": text[at:end]})
+            at = end
+        return found
 
     return spans.asNondeterministic()
 
@@ -279,8 +309,7 @@ def children(blocks: DataFrame, sizes: Sizes = Sizes(), exact: bool = False) ->
     else:
         long, table = F.col("long"), F.col("kind") == "table"
         own = lambda when: F.when(when, F.col("text")).otherwise("")
-        rows = split_long(rows.withColumn("prose", own(long & ~table)), sizes, "prose", "of_prose")
-        rows = split_rows(rows.withColumn("rows", own(long & table)), sizes, "rows", "of_rows")
+        rows = split(rows.withColumns({"prose": own(long & ~table), "rows": own(long & table)}), sizes, "prose", "rows", "of_prose", "of_rows")
         rows = rows.select("*", F.posexplode(F.when(long & table, F.col("of_rows")).when(long, F.col("of_prose")).otherwise(F.array("text"))).alias("piece", "content"))
         order = Window.partitionBy("document_id", "section", "g").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("since", F.coalesce(F.sum(F.length("content") + 2).over(order), F.lit(0)))

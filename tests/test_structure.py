@@ -390,3 +390,14 @@ def test_kinds_of_documents(spark, title, blocks, profile, score, confidence):
     rows = spark.createDataFrame([(1, k, kind, None, None, text) for k, (kind, text) in enumerate(blocks)], SCHEMA)
     got = S.document_profiles(rows, spark.createDataFrame([(1, title)], "document_id long, title string")).first()
     assert (got.profile, got.score, got.confidence) == (profile, score, confidence)
+
+
+def test_children_go_through_python_twice(spark):
+    rows = [(d, 0, "paragraph", None, None, "One two. " * (d % 7 * 60)) for d in range(3 * S.AT_ONCE)] + [(-1, 0, "table", None, None, "a | b\n" * 500)]
+    blocks = spark.createDataFrame(rows, "document_id long, place long, kind string, level int, page int, text string")
+    made = S.children(blocks)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+    both = S.split(blocks, S.Sizes(), "text", "text", "a", "b").select("document_id", "a", "b")
+    single = S.split_long(blocks, S.Sizes(), "text", "a").join(S.split_rows(blocks, S.Sizes(), "text", "b"), "document_id").select("document_id", "a", "b")
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, single.collect()))
