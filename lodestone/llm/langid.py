@@ -8,8 +8,8 @@ batches, as one matrix product for all filters (narrower ones have zeros at thei
 Training takes a bounded sample of labelled rows (``SAMPLE_DOCS``, with ``PIECES`` pieces of each), those with the least
 hash of their doc_id and text, and learns from text and lang only, all windows of each piece. It runs on the driver, on data of that bound.
 
-``recognised`` keeps the rows whose score is ``least_score`` at least. That threshold is calibrated on labelled rows that were not
-learned from (``CALIBRATION`` at most, by the least hash of doc_id): of n of them, the floor((n + 1) * CLEAN_LOSS)-th smallest score, so
+``recognised`` keeps the rows whose score is ``least_score`` at least. That threshold is calibrated on all labelled rows that were not
+learned from: of n of them, the floor((n + 1) * CLEAN_LOSS)-th smallest score, so
 that a text like them falls below it with a chance of CLEAN_LOSS at most. Fewer than 1 / CLEAN_LOSS - 1 of them say nothing about so
 small a share; the threshold is 0 then. Without a model, every text with a letter is kept.
 
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.sampling import least_hashes
+from lodestone.llm.store import temporary, written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -41,8 +42,8 @@ EPOCHS, BATCH, RATE = 5, 64, 0.004
 #: Windows in one matrix product.
 AT_ONCE = 128
 UNKNOWN = "und"
-#: Of clean texts, the share that the threshold may cost, and the rows that it is set on.
-CLEAN_LOSS, CALIBRATION = 0.001, 4000
+#: Of clean texts, the share that the threshold may cost.
+CLEAN_LOSS = 0.001
 _WORDLY = re.compile(r"[^\W\d_]")
 
 
@@ -198,16 +199,27 @@ def threshold(scores: list[float], loss: float) -> float:
     return sorted(scores)[k - 1] if k else 0.0
 
 
+def threshold_of(scores: DataFrame, loss: float) -> float:
+    """``threshold`` of the column score. Only values up to a bound somewhat above it are counted one by one, so that what reaches the driver is about twice as many as may be lost."""
+    found = scores.agg(F.count("score").alias("n"), F.percentile_approx("score", min(1.0, 2 * loss), 100_000).alias("bound")).first()
+    k = int((found["n"] + 1) * loss)
+    if not k:
+        return 0.0
+    seen = 0
+    for row in scores.where(F.col("score") <= found["bound"]).groupBy("score").count().orderBy("score").toLocalIterator():
+        seen += row["count"]
+        if seen >= k:
+            return row["score"]
+    return scores.orderBy("score").offset(k - 1).first()["score"]  # the bound is approximate
+
+
 def least_score(docs: DataFrame, model: Model | None) -> float:
-    """The threshold, set on labelled rows of docs that the model has not seen."""
+    """The threshold, set on all labelled rows of docs that the model has not seen."""
     if model is None:
         return 0.0
-    unseen = docs.where(held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).withColumn("by", F.xxhash64("doc_id"))
-    few = least_hashes(unseen.select("by"), "by", unseen.count(), CALIBRATION).agg(F.max("by").alias("last"), F.count(F.lit(1)).alias("n")).first()
-    if not few["n"]:
-        return 0.0
-    found = predict(unseen.where(F.col("by") <= few["last"]), model).where(F.col("lang_pred") != UNKNOWN)
-    return threshold([r["score"] for r in found.select("score").limit(CALIBRATION).collect()], CLEAN_LOSS)
+    unseen = docs.where(held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    with temporary(docs.sparkSession):
+        return threshold_of(written(predict(unseen, model).where(F.col("lang_pred") != UNKNOWN).select("score"), "scores"), CLEAN_LOSS)
 
 
 def recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:

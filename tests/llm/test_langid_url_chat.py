@@ -179,3 +179,16 @@ def test_samples_are_the_least_hashes(spark):
     assert sampling.least_hashes(rows, "by", 20_000, 30_000).count() == 20_000
     plan = sampling.least_hashes(rows, "by", 20_000, 500)._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter (xxhash64" in plan or "Filter (by" in plan
+
+
+def test_the_threshold_is_that_of_all_unseen_rows(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    for n in (0, 998, 999, 12_000):
+        scores = [round(rng.random(), 3 if n == 999 else 9) for _ in range(n)]  # some with many equal ones
+        assert langid.threshold_of(spark.createDataFrame([(x,) for x in scores], "score double"), 0.001) == langid.threshold(scores, 0.001)
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("en").alias("lang"))
+    monkeypatch.setattr(langid, "predict", lambda rows, model: rows.select("doc_id", F.lit("en").alias("lang_pred"), (F.col("doc_id") / 30_000).alias("score")))
+    unseen = [r.doc_id / 30_000 for r in docs.where(langid.held_out()).collect()]
+    assert len(unseen) > 7000 and langid.least_score(docs, object()) == langid.threshold(unseen, 0.001)
