@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
+from lodestone.llm.memory import releasing
 from lodestone.llm.store import written
 from lodestone.llm.words import mix, runs_hash, within_row, word_slices
 
@@ -263,7 +264,7 @@ def _verified(percent: int):
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(releasing(_verified(percent)), "a long, b long")
 
 
 def _block_links(percent: int):
@@ -341,7 +342,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 6
     percent / 100 Jaccard similarity between sets of k-word shingles (A-Z lower-cased). bits: of the signatures that name sets."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = written(rows.mapInArrow(_base(k, bits), "doc_id long, n_shingles long, sig long, check long"), "sets")
+    base = written(rows.mapInArrow(releasing(_base(k, bits)), "doc_id long, n_shingles long, sig long, check long"), "sets")
     equal = written(base.where("n_shingles > 0").groupBy("sig", "check").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "equal")
     # signatures that different sets share are hardly ever any: a few in 10^10 sets
     shared = np.array(sorted(r["sig"] for r in equal.groupBy("sig").count().where("count > 1").select("sig").limit(MOST_SHARED + 1).collect()), np.int64)
@@ -354,7 +355,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 6
     tokens, sets_ = equal.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     groups = max(4 * parts, -(-(tokens + 30 * sets_) // GROUP_TOKENS))
     node_parts = max(64, groups // 4)
-    lists = rows.mapInArrow(_entries(k, percent, groups, shared, bits), "group int, blob binary").groupBy("group").applyInPandas(_lists(percent), LISTS)
+    lists = rows.mapInArrow(releasing(_entries(k, percent, groups, shared, bits)), "group int, blob binary").groupBy("group").applyInPandas(_lists(percent), LISTS)
     lists = written(lists, "lists")
     long = lists.where("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("node"), "weight", "scheme", "spare")
     # the sets that short lists may not do for
@@ -374,12 +375,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 6
     pairs = shown.where(F.col("shown") >= enough).select("a", "b").union(stars.select(F.least("node", "hub"), F.greatest("node", "hub"))).distinct()
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct().join(nodes, "node").select("doc_id", "node")
-    sets = written(rows.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets(k, shared, bits), "node long, tokens binary"), "tokens")
+    sets = written(rows.join(wanted, "doc_id").select("node", "text").mapInArrow(releasing(_sets(k, shared, bits)), "node long, tokens binary"), "tokens")
     links = written(_verify(pairs, sets, percent), "links")
     labels = components(links)
     # what hubs left apart in long lists
     deal, alone, count = _rare(groups, node_parts)
-    rare = sets.join(members.select("node"), "node", "left_semi").mapInArrow(deal, "group int, blob binary").groupBy("group").applyInPandas(alone, "part int, blob binary").groupBy("part").applyInPandas(count, "node long, rare long")
+    rare = sets.join(members.select("node"), "node", "left_semi").mapInArrow(releasing(deal), "group int, blob binary").groupBy("group").applyInPandas(alone, "part int, blob binary").groupBy("part").applyInPandas(count, "node long, rare long")
     near = bound.join(hubs.select("list", "least"), "list").groupBy("node").agg(F.min("least").alias("least"))
     able = members.join(near, "node").join(rare, "node", "left").withColumn("cap", F.col("n") - F.coalesce("rare", F.lit(0)))
     # the best partner is as large as the tokens that can be shared, or the least that its lists have

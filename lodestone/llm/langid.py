@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.memory import releasing
 from lodestone.llm.sampling import least_hashes
 from lodestone.llm.store import temporary, written
 
@@ -190,7 +191,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": pred, "score": score})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(releasing(run), schema)
 
 
 def threshold(scores: list[float], loss: float) -> float:
@@ -235,7 +236,7 @@ def recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
                 keep = [p != UNKNOWN and s >= least for p, s in zip(pred, score)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

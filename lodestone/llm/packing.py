@@ -23,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.memory import release, releasing
 from lodestone.llm.store import written
 from lodestone.llm.tokens import encoder
 
 #: Pieces of one length are numbered in sorts of a SORTS-th of all pieces, or of LEAST if that is more.
 SORTS, LEAST = 4096, 1000
+#: Bytes of text that are encoded at once, and distinct pieces that are kept, where the ids go on: workers of a pipeline have little room.
+WITH_IDS = (1 << 20, 200_000)
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), in order of place
 
 
@@ -36,7 +39,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, end_id)
+        if with_ids:
+            release()  # what the stages before left
+        enc = encoder(tokenizer, end_id, *(WITH_IDS if with_ids else ()))
         for batch in batches:
             for begin, end, ids, at in enc.encode(batch.column("text")):
                 n = np.diff(at)  # one at least
@@ -53,10 +58,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+                if with_ids:
+                    release()
         if with_ids:  # a step of a pipeline, after which workers do other things
             enc.rest()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), schema)
 
 
 def _largest_pair(counts: np.ndarray, room: int) -> int:
@@ -185,24 +192,23 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         before = own.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
         ranked = ranked.join(F.broadcast(before), ["length", "salt"], "left")  # 2 * SORTS rows at most
         ranked = ranked.withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
-    names = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            order = np.argsort(length, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
-                if len(at):
-                    size = int(length[at[0]])
-                    table = slots.value[size]
-                    first, each, base, start = table[np.searchsorted(table[:, 0], rank[at], "right") - 1].T
-                    sequence[at] = base + (rank[at] - first) // each
-                    offset[at] = start + (rank[at] - first) % each * size
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
-
-    return ranked.select(*names, F.col("rank").cast("long").alias("rank")).mapInArrow(place, schema)
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
+        length, rank = length.to_numpy(), rank.to_numpy()
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        order = np.argsort(length, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            if len(at):
+                size = int(length[at[0]])
+                table = slots.value[size]
+                first, each, base, start = table[np.searchsorted(table[:, 0], rank[at], "right") - 1].T
+                sequence[at] = base + (rank[at] - first) // each
+                offset[at] = start + (rank[at] - first) % each * size
+        return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
+
+    placed = ranked.select(*pieces.columns, place.asNondeterministic()("length", F.col("rank").cast("long")).alias("place"))
+    return placed.select(*pieces.columns, "place.sequence_id", "place.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -37,13 +37,13 @@ def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 class Encoder:
-    """Encodes texts to ids; ``end_id`` follows each text if it is given."""
+    """Encodes texts to ids; ``end_id`` follows each text if it is given. at_once and cache: other bounds than SLICE and CACHE."""
 
-    def __init__(self, path: str, end_id: int | None = None):
+    def __init__(self, path: str, end_id: int | None = None, at_once: int | None = None, cache: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.end_id = end_id
+        self.end_id, self.at_once, self.cache = end_id, at_once or SLICE, cache or CACHE
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
@@ -74,7 +74,7 @@ class Encoder:
     def _shrink(self) -> None:
         """Keeps the pieces that more than one slice had; none if they are too many."""
         stay = np.flatnonzero(self.hits > 1)
-        if len(stay) > CACHE // 2:
+        if len(stay) > self.cache // 2:
             return self._forget()
         self._hold(stay)
 
@@ -87,7 +87,6 @@ class Encoder:
         """Keeps the most frequent pieces alone, so that a worker that goes on with other work holds little."""
         if self.by_pieces and len(self.kept) > most:
             self._hold(np.sort(np.argpartition(self.hits, -most)[-most:]))
-            pa.default_memory_pool().release_unused()
 
     def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Encodes new pieces, many in one text, and cuts the ids where the bytes of a piece end: all ids, and how many each piece has."""
@@ -110,7 +109,7 @@ class Encoder:
 
     def _numbers(self, pieces: pa.Array) -> np.ndarray:
         """The numbers of distinct pieces; those that are not kept yet are encoded and kept."""
-        if len(self.kept) > CACHE:
+        if len(self.kept) > self.cache:
             self._shrink()
         number = pc.index_in(pieces, value_set=self.kept)
         new = pieces.filter(number.is_null())
@@ -155,7 +154,7 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """For ranges of texts of about SLICE bytes: begin and end of the range, the ids of all its texts, and where in them each
+        """For ranges of texts of about at_once bytes: begin and end of the range, the ids of all its texts, and where in them each
         text's begin (one more than there are texts). A null text is empty."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
@@ -163,7 +162,7 @@ class Encoder:
         at, _ = text_buffers(texts)
         begin = 0
         while begin < len(texts):
-            end = max(begin + 1, int(np.searchsorted(at, at[begin] + SLICE, "right")) - 1)
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + self.at_once, "right")) - 1)
             own = texts.slice(begin, end - begin)
             ids, places = self._slice(own.cast(pa.large_string()) if at[end] - at[begin] > 1 << 29 else own)
             yield begin, end, ids, places
@@ -171,5 +170,5 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, end_id: int | None = None) -> Encoder:
-    return Encoder(path, end_id)
+def encoder(path: str, end_id: int | None = None, at_once: int | None = None, cache: int | None = None) -> Encoder:
+    return Encoder(path, end_id, at_once, cache)

@@ -194,3 +194,17 @@ def test_an_encoder_that_rests_gives_the_same_ids():
     enc.rest(3)
     assert len(enc.kept) == 3
     assert [ids.tolist() for _, _, ids, _ in enc.encode(texts)] == first
+
+
+def test_packing_with_ids_takes_little_of_a_worker(spark):
+    enc = tokens.Encoder(PATH, 0, at_once=60, cache=40)
+    texts = [f"word{k} more{k % 7} end{k}" for k in range(200)]
+    ranges = list(enc.encode(pa.array(texts)))
+    assert all(sum(len(t) for t in texts[a:b]) <= 60 for a, b, _, _ in ranges) and len(enc.kept) <= 40 + 60
+    for a, b, ids, at in ranges:
+        for k in range(a, b):
+            assert np.array_equal(ids[at[k - a] : at[k - a + 1]], reference_ids(texts[k]))
+    packed = packing.pack_documents(docs(spark), PATH, with_ids=True)
+    assert "MapInArrow" not in packed._jdf.queryExecution().executedPlan().toString()  # ids stay out of Python when places are given
+    for r in packed.collect():
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and r.offset + r.length <= 2048 and len(r.ids) == r.length
