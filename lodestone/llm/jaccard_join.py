@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.memory import releasing
+from lodestone.llm.memory import release, releasing
 from lodestone.llm.store import written
 from lodestone.llm.words import mix, runs_hash, within_row, word_slices
 
@@ -117,12 +117,17 @@ def _nodes(row: np.ndarray, token: np.ndarray, rows: int, shared: np.ndarray, bi
     return n, np.where(np.isin(sig, shared), sig ^ check, sig)
 
 
+#: Bytes of text whose sets are made at once; workers give memory back after each.
+SLICE = 1 << 20
+
+
 def _base(k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in word_slices(batch.column("text"), lower=True):
+            for w in word_slices(batch.column("text"), lower=True, at_once=SLICE):
                 n, sig, check = _signatures(*_slice_sets(w, k), w.end - w.begin, bits)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.begin, w.end - w.begin), pa.array(n.astype(np.int64)), pa.array(sig), pa.array(check)], ["doc_id", "n_shingles", "sig", "check"])
+                release()
 
     return run
 
@@ -157,7 +162,7 @@ def _scheme_entries(row, token, n, sig, percent: int, starts: np.ndarray):
 def _entries(k: int, percent: int, groups: int, shared: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in word_slices(batch.column("text"), lower=True):
+            for w in word_slices(batch.column("text"), lower=True, at_once=SLICE):
                 row, token = _slice_sets(w, k)
                 n, sig = _nodes(row, token, w.end - w.begin, shared, bits)
                 _, once = np.unique(sig, return_index=True)  # equal sets of a slice are indexed once
@@ -179,6 +184,7 @@ def _entries(k: int, percent: int, groups: int, shared: np.ndarray, bits: int):
                 cuts = np.flatnonzero(np.diff(group[order])) + 1
                 blobs = [(int(group[p[0]]), rec[p].tobytes()) for p in np.split(order, cuts)]
                 yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], ["group", "blob"])
+                release()
 
     return run
 
@@ -234,13 +240,14 @@ def _lists(percent: int):
 def _sets(k: int, shared: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in word_slices(batch.column("text"), lower=True):
+            for w in word_slices(batch.column("text"), lower=True, at_once=SLICE):
                 row, token = _slice_sets(w, k)
                 at = np.searchsorted(row, np.arange(w.end - w.begin + 1))
                 node = batch.column("node").slice(w.begin, w.end - w.begin)
                 own = pa.array(_nodes(row, token, w.end - w.begin, shared, bits)[1] == node.to_numpy())  # other rows may share the doc_id
                 blobs = pa.array([token[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([node.filter(own), blobs.filter(own)], ["node", "tokens"])
+                release()
 
     return run
 

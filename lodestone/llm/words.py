@@ -35,7 +35,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE + 1)
+        size = max(n + n // 8, (1 << 20) + 1) if n <= 4 * SLICE else n
         tables = []
         for base in (_R, _R_INVERSE):
             steps = np.full(size, base, np.uint64)
@@ -91,11 +91,11 @@ def _codes(data: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, n
     return code, np.searchsorted(starts, at)
 
 
-def word_slices(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
+def word_slices(texts: pa.Array, lower: bool = False, at_once: int = SLICE) -> Iterator[Words]:
     at, data = text_buffers(texts)
     begin, rows = 0, len(at) - 1
     while begin < rows:
-        end = max(begin + 1, int(np.searchsorted(at, at[begin] + SLICE, "right")) - 1)
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + at_once, "right")) - 1)
         end = min(end, rows)
         code, first = _codes(data[at[begin] : at[end]], at[begin : end + 1] - at[begin], lower)
         yield Words(begin, end, code, first)

@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -123,3 +124,13 @@ def test_a_null_id_and_the_least_one_are_documents_each(spark):
     rows = spark.createDataFrame([(None, text), (-(1 << 63), text), (5, "other words " * 30)], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(rows).collect()}
     assert got == {None: 0, -(1 << 63): 30, 5: 58}
+
+
+def test_sets_are_made_a_slice_at_a_time(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SLICE", 200)
+    texts = [" ".join(f"w{k}x{j}" for j in range(k % 9)) for k in range(60)] + ["long " * 300, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    parts = list(jaccard_join._base(2, 64)(iter([batch])))
+    assert len(parts) > 5 and max(p.num_rows for p in parts) < 60
+    monkeypatch.setattr(jaccard_join, "SLICE", 1 << 20)
+    assert pa.Table.from_batches(parts).combine_chunks().equals(pa.Table.from_batches(jaccard_join._base(2, 64)(iter([batch]))).combine_chunks())
