@@ -3,9 +3,9 @@
 A paragraph is a line of text with the lines that it is wrapped onto: a line that ends without a stop, colon or the like goes on in the next
 one, if that is not blank. It is classified by multinomial logistic regression over sparse word n-grams of two and three
 words. It is trained by Spark ML on the notices below, with variations, against the unknown class: sentences that
-speak of licences without giving one, and a bounded sample of the corpus's own paragraphs (``SAMPLE``, those with the least
-hash). The unknown class is calibrated on other such paragraphs: a family must reach the probability that all but
-``ALARM`` of them stay under, and at least ``LEAST``. A prediction is confirmed where the paragraph has a share ``SIMILAR`` of
+speak of licences without giving one, and half of the corpus's own distinct paragraphs (by their hash; together they weigh ``WEIGHT`` at
+most, and those with the same n-grams of the vocabulary are one weighted row). The unknown class is calibrated on the other half, all of it: a family must reach
+the probability that all but ``ALARM`` of them stay under, and at least ``LEAST``. A prediction is confirmed where the paragraph has a share ``SIMILAR`` of
 the n-grams of one of the family's notices.
 
 An n-gram without weight adds nothing, so a paragraph without any n-gram of the model's vocabulary (whose size the notices
@@ -25,11 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.native_text import bare_words, gram_hashes, gram_texts, let, words
-from lodestone.llm.sampling import least_hashes
 from lodestone.llm.store import written
 
 UNKNOWN = "unknown"
-SAMPLE, ALARM, LEAST, SIMILAR = 1500, 0.001, 0.5, 0.5
+#: The corpus's paragraphs weigh so much together, at most, beside the notices; rows that one task learns from.
+WEIGHT, TASK_ROWS = 1500, 200_000
+ALARM, LEAST, SIMILAR = 0.001, 0.5, 0.5
 #: Words of notices by family, the first of each its full name in the SPDX list (fixed values).
 NOTICES = {
     "apache-2.0": ["Apache License 2.0", "Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0", "This project is released under the Apache 2.0 license", "you may not use this file except in compliance with the Apache License", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
@@ -82,11 +83,16 @@ class Model:
         self.classes, self.weights, self.intercepts, self.threshold = classes, weights, intercepts, threshold
 
 
+def _gram_hash() -> Column:
+    """The hash of the column gram, the text of two or three words."""
+    w = F.split("gram", " ")
+    return F.when(F.size(w) == 2, gram_hashes(w, 2)[0]).otherwise(gram_hashes(w, 3)[0])
+
+
 def _vocabulary_hashes(spark: SparkSession, model: Model) -> DataFrame:
     """hash, w0.. of each gram of the model."""
     rows = spark.createDataFrame([(g, *map(float, w)) for g, w in model.weights.items()], "gram string, " + ", ".join(f"w{i} double" for i in range(len(model.classes))))
-    w = F.split("gram", " ")
-    return rows.withColumn("hash", F.when(F.size(w) == 2, gram_hashes(w, 2)[0]).otherwise(gram_hashes(w, 3)[0])).drop("gram")
+    return rows.withColumn("hash", _gram_hash()).drop("gram")
 
 
 def _probabilities(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
@@ -106,34 +112,52 @@ def _hashes(line: Column) -> Column:
     return let(words(line), lambda w: F.concat(gram_hashes(w, 2), gram_hashes(w, 3)))
 
 
+def _own_sets(docs: DataFrame, vocabulary: list[int]) -> DataFrame:
+    """Of every distinct line that speaks of no licence: by (its hash) and hashes, its n-grams of the vocabulary in order."""
+    lines = _paragraphs(docs).where(F.length("line") > 0)
+    lines = lines.where(~F.lower("line").rlike("licen[cs]e|copyright|spdx|creative commons|public domain"))  # may be a notice itself
+    return lines.select(F.xxhash64("line").alias("by"), _known(F.col("line"), vocabulary).alias("hashes")).distinct()
+
+
+def _known(line: Column, vocabulary: list[int]) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(_hashes(line), lambda h: h.isin(vocabulary))))
+
+
+def _alarm_score(held: DataFrame, model: Model, n: int) -> float | None:
+    """Of n lines, the highest score that more than a share of ALARM reach; None if that is less than LEAST. held: hashes, and how many lines have them."""
+    scored = _probabilities(held.where(F.size("hashes") > 0), model, ["hashes", "many"]).where(F.col("score") >= LEAST)
+    seen = 0
+    for row in scored.groupBy("score").agg(F.sum("many").alias("many")).orderBy(F.desc("score")).toLocalIterator():
+        seen += row["many"]
+        if seen > int(n * ALARM):
+            return row["score"]
+    return None
+
+
 def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
-    lines = _paragraphs(docs).where(F.length("line") > 0).select(F.xxhash64("line").alias("by"), "line")
-    n = lines.agg(F.approx_count_distinct("by")).first()[0]
-    share = min(1.0, 3 * SAMPLE / max(n, 1))
-    if share < 1:  # copies of a line are one, and few are left when they are told apart
-        lines = lines.where(F.col("by") < F.lit(int(-(1 << 63) + share * (1 << 64))))
-    sample = least_hashes(lines.distinct(), "by", 0, 2 * SAMPLE)
-    sample = written(sample.withColumn("half", F.pmod("by", F.lit(2))), "paragraphs")
-    said = F.lower("line").rlike("licen[cs]e|copyright|spdx|creative commons|public domain")  # may be a notice itself
-    lines = sample.where(~said)
     examples = _examples(spark)
-    rows = examples.select("family", "line").union(lines.where("half = 0").select(F.lit(UNKNOWN), "line"))
     stop = F.array(*[F.lit(w) for w in STOP])
-    grams = F.filter(_gram_texts(F.col("line")), lambda g: F.size(F.array_except(F.split(g, " "), stop)) > 0)
     features = [g[0] for g in examples.select(F.explode(F.filter(_gram_texts(F.col("notice")), lambda g: F.size(F.array_except(F.split(g, " "), stop)) > 0))).distinct().orderBy("col").collect()]  # bound by the notices
+    hash_of = {r["gram"]: r["hash"] for r in spark.createDataFrame([(g,) for g in features], "gram string").select("gram", _gram_hash().alias("hash")).collect()}
+    vocabulary = [hash_of[g] for g in features]
+    half = F.pmod("by", F.lit(2)).alias("half")
+    own = written(_own_sets(docs, vocabulary).groupBy(half, "hashes").agg(F.count(F.lit(1)).alias("many")), "paragraphs")  # lines of equal n-grams are one row
+    n = {r["half"]: r["n"] for r in own.groupBy("half").agg(F.sum("many").alias("n")).collect()}
+    weight = min(1.0, WEIGHT / max(n.get(0, 0), 1))
+    said = examples.select("family", _known(F.col("line"), vocabulary).alias("hashes"), F.lit(1.0).alias("weight"))
+    rows = said.union(own.where("half = 0").select(F.lit(UNKNOWN), "hashes", F.col("many") * F.lit(weight)))
     classes = [*sorted(NOTICES), UNKNOWN]
     label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")) - 1
-    data = rows.select(label.cast("double").alias("label"), grams.alias("grams")).coalesce(1)
-    vectors = CountVectorizerModel.from_vocabulary(features, inputCol="grams", outputCol="features", binary=True).transform(data)
-    fit = LogisticRegression(maxIter=25, regParam=0.001, family="multinomial").fit(vectors.select("label", "features"))
+    data = rows.select(label.cast("double").alias("label"), F.col("hashes").cast("array<string>").alias("grams"), "weight")
+    data = data.repartition(1 + own.count() // TASK_ROWS, "grams").sortWithinPartitions("label", "grams")
+    vectors = CountVectorizerModel.from_vocabulary([str(h) for h in vocabulary], inputCol="grams", outputCol="features", binary=True).transform(data)
+    fit = LogisticRegression(maxIter=25, regParam=0.001, family="multinomial", weightCol="weight").fit(vectors.select("label", "features", "weight"))
     matrix = fit.coefficientMatrix.toArray()
     model = Model(classes, {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(features)}, [float(b) for b in fit.interceptVector.toArray()], LEAST)
-    held = lines.where("half = 1").select("by", F.array_distinct(_hashes(F.col("line"))).alias("hashes"))
-    n = held.count()
-    over = _probabilities(held, model, ["by"]).orderBy(F.desc("score")).limit(int(n * ALARM) + 1).collect()
-    if len(over) > int(n * ALARM):
-        model.threshold = max(LEAST, min(0.99, over[-1]["score"] + 1e-6))
+    over = _alarm_score(own.where("half = 1").select("hashes", "many"), model, n.get(1, 0))
+    if over is not None:
+        model.threshold = max(LEAST, min(0.99, over + 1e-6))
     return model
 
 

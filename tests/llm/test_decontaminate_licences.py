@@ -154,3 +154,17 @@ def test_scan_is_the_model_applied_to_every_paragraph(spark):
         want[doc] = (top[2], top[3], -top[1], len(found)) if top else (None, None, None, 0)
     got = {r.doc_id: (r.licence, r.confirmed, r.paragraph, r.n_notices) for r in licences.scan(frame, model).collect()}
     assert got == want and sum(w[0] is not None for w in want.values()) > 40
+
+
+def test_model_and_threshold_come_from_every_paragraph(spark):
+    notice = "you may not use this file except in compliance with the Apache rules"
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 100 == 7, notice).otherwise("plain words of line"), F.lit(" n"), F.col("id")).alias("text"))
+    model = licences.Model(["mit", licences.UNKNOWN], {"you may": [9.0, 0.0]}, [0.0, 0.0], 0.5)
+    hashed = licences._vocabulary_hashes(spark, model).first()["hash"]
+    whole = {tuple(r["hashes"]): r["count"] for r in licences._own_sets(rows.union(rows), [hashed]).groupBy("hashes").count().collect()}
+    assert whole == {(): 5940, (hashed,): 60}  # every distinct line once
+    held = spark.createDataFrame([([hashed], 60), ([], 5940)], "hashes array<long>, many long")
+    assert licences._alarm_score(held, model, 6000) > 0.99  # 1 % of all lines are above: more than ALARM
+    assert licences._alarm_score(held, model, 60_000) is None  # 60 of 60,000 are not more than ALARM
+    model = licences.train(rows)
+    assert model.threshold >= licences.LEAST and not licences.scan(rows, model).where("licence is not null").count() > 6
