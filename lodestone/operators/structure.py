@@ -27,6 +27,8 @@ KINDS = {"list_item": "list", "code_block": "code", "blockquote": "quote"}
 #: Parents longer than this keep their head and tail; what stands between.
 PARENT, ELISION = 80_000, "\n\n…\n\n"
 LEVELS = range(1, 7)
+#: Characters of a part of a source text.
+PART = 1024
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ def stripped(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """The sentences of a text, stripped; the text itself where there is none."""
     found = F.filter(F.transform(F.split(text, SENTENCE), stripped), lambda s: s != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(stripped(text)))
+    return let(found, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(stripped(text))))
 
 
 def hard_pieces(text: Column, size: int) -> Column:
@@ -216,7 +218,7 @@ def prose_units(text: str, sizes: Sizes) -> Column:
     """The parts (text, number of the paragraph, whether of a fixed size) that pieces are made of."""
     short = F.length(text) <= sizes.hard
     paragraphs = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), stripped), lambda p: p != "")
-    paragraphs = F.when(~short & (F.size(paragraphs) > 1), paragraphs).otherwise(F.array(text))
+    paragraphs = F.when(short, F.array(text)).otherwise(let(paragraphs, lambda p: F.when(F.size(p) > 1, p).otherwise(F.array(text))))
 
     def unit(p: Column, k: Column) -> Column:
         whole = lambda texts, hard: F.transform(texts, lambda x: F.struct(x.alias("text"), k.alias("p"), F.lit(hard).alias("hard")))
@@ -291,7 +293,7 @@ def children(blocks: DataFrame, sizes: Sizes = Sizes(), exact: bool = False) ->
     starts = packer(sizes.pack, 2)(F.transform("body", length), F.transform("body", lambda x: length(x) > sizes.hard), F.transform("body", lambda x: F.coalesce(x["page"], F.lit(-1))))
     s = s.withColumn("starts", starts)
     groups = F.when(F.col("single"), F.array("body")).otherwise(runs(F.col("body"), F.col("starts")))
-    rows = s.select("document_id", "section", "path", F.col("page").alias("section_page"), F.col("begin").alias("section_begin"), F.col("end").alias("section_end"), "single", _joined(F.col("b")).alias("whole"), F.posexplode(groups).alias("g", "x"))
+    rows = s.select("document_id", "section", "path", F.col("page").alias("section_page"), F.col("begin").alias("section_begin"), F.col("end").alias("section_end"), "single", F.when(F.col("single"), _joined(F.col("b"))).alias("whole"), F.posexplode(groups).alias("g", "x"))
     first, last = F.get("x", F.lit(0)), F.get("x", F.size("x") - 1)
     kinds = F.array_distinct(F.transform("x", lambda x: x["kind"]))
     kind = F.element_at(F.create_map(*[F.lit(w) for pair in KINDS.items() for w in pair]), F.get(kinds, F.lit(0)))
@@ -305,12 +307,12 @@ def children(blocks: DataFrame, sizes: Sizes = Sizes(), exact: bool = False) ->
     if exact:
         spans = exact_spans(sizes)(F.when(F.col("long"), F.col("text")).otherwise(""), F.col("kind").isin("table", "code_block"))
         pieces = F.when(F.col("long"), spans).otherwise(F.array(F.struct(F.lit(0).alias("since"), F.col("text").alias("text"))))
-        rows = rows.select("*", F.posexplode(pieces).alias("piece", "p")).withColumns({"since": F.col("p.since"), "content": F.col("p.text")})
+        rows = rows.select("*", F.posexplode(pieces).alias("piece", "p")).withColumns({"since": F.col("p.since"), "content": F.col("p.text")}).repartition("document_id")
     else:
         long, table = F.col("long"), F.col("kind") == "table"
         own = lambda when: F.when(when, F.col("text")).otherwise("")
         rows = split(rows.withColumns({"prose": own(long & ~table), "rows": own(long & table)}), sizes, "prose", "rows", "of_prose", "of_rows")
-        rows = rows.select("*", F.posexplode(F.when(long & table, F.col("of_rows")).when(long, F.col("of_prose")).otherwise(F.array("text"))).alias("piece", "content"))
+        rows = rows.select("*", F.posexplode(F.when(long & table, F.col("of_rows")).when(long, F.col("of_prose")).otherwise(F.array("text"))).alias("piece", "content")).repartition("document_id")
         order = Window.partitionBy("document_id", "section", "g").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("since", F.coalesce(F.sum(F.length("content") + 2).over(order), F.lit(0)))
     begin = F.col("at") + F.col("since")
@@ -320,16 +322,24 @@ def children(blocks: DataFrame, sizes: Sizes = Sizes(), exact: bool = False) ->
 
 
 def semantic_tail(text: Column, most: Column) -> Column:
-    """The last sentences of a text, joined by a space, that stay within most characters; the end of the last one where that alone is longer."""
+    """The last sentences of a text, joined by a space, that stay within most characters; the end of the last one where that alone is longer. The text's last 2 * most characters tell them, where
+    the sentences there are longer than most together: only the first of these may have lost its beginning, and it did not fit."""
     start = F.struct(F.lit("").alias("t"), F.lit(False).alias("full"))
 
-    def step(s: Column, x: Column) -> Column:
-        alone, grown = s["t"] == "", F.length(s["t"]) + F.length(x) + 1
-        add = lambda t, full: F.struct(t.alias("t"), F.lit(full).alias("full"))
-        long = F.when(F.length(x) > most, add(stripped(F.right(x, most)), True)).otherwise(add(x, False))
-        return F.when(s["full"], s).when(alone, long).when(grown > most, add(s["t"], True)).otherwise(add(F.concat_ws(" ", x, s["t"]), False))
+    def last(sentences: Column, m: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            alone, grown = s["t"] == "", F.length(s["t"]) + F.length(x) + 1
+            add = lambda t, full: F.struct(t.alias("t"), F.lit(full).alias("full"))
+            long = F.when(F.length(x) > m, add(stripped(F.right(x, m)), True)).otherwise(add(x, False))
+            return F.when(s["full"], s).when(alone, long).when(grown > m, add(s["t"], True)).otherwise(add(F.concat_ws(" ", x, s["t"]), False))
 
-    return F.when(most > 0, F.aggregate(F.reverse(sentences(text)), start, step)["t"]).otherwise("")
+        return F.aggregate(F.reverse(sentences), start, step)["t"]
+
+    def of(m: Column) -> Column:
+        near = lambda s: F.when((F.length(F.array_join(s, " ")) > m) | (F.length(text) <= m * 2), last(s, m)).otherwise(last(sentences(text), m))
+        return F.when(m > 0, let(sentences(F.right(text, m * 2)), near)).otherwise("")
+
+    return let(most, of)
 
 
 def with_overlap(rows: DataFrame, sizes: Sizes = Sizes(), exempt: Column | None = None) -> DataFrame:
@@ -504,9 +514,13 @@ def window_risks(windows: DataFrame, hard: int = 900, chars: int = 6000, many: i
 # candidates
 
 
+def tally(children: str, short_children: str, short: int = 100) -> list[Column]:
+    return [F.count(F.lit(1)).alias(children), F.count_if(F.length("content") < short).alias(short_children)]
+
+
 def tallies(rows: DataFrame, short: int = 100) -> DataFrame:
     """document_id, children and short_children."""
-    return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("children"), F.count_if(F.length("content") < short).alias("short_children"))
+    return rows.groupBy("document_id").agg(*tally("children", "short_children", short))
 
 
 def chosen_windows(risks: DataFrame, most: int = 2) -> DataFrame:
@@ -560,11 +574,11 @@ def adaptive_candidate(blocks: DataFrame, windows: DataFrame, proposals: DataFra
 def repaired_headings(blocks: DataFrame) -> DataFrame:
     """Blocks in which false headings are paragraphs: a heading of capitals alone that has a digit, or two Latin letters at most, is one unless it is numbered. A
     numbered heading has the level that its number says."""
-    text = F.col("text")
+    heading = F.col("kind") == "heading"
+    text = F.when(heading, F.col("text"))  # the patterns are for headings, and null elsewhere
     numbered = F.when(text.rlike(r"^\s*\d+(\.\d+)+[.\s]"), F.size(F.split(F.regexp_extract(text, r"^\s*([\d.]*\d)", 1), r"\."))).when(text.rlike(r"^\s*(第[一二三四五六七八九十百\d]+章|\d+[.、]\s*\S)"), 1)
     capitals = text.rlike(r"\p{Lu}") & ~text.rlike(r"\p{Ll}")
-    false = capitals & (text.rlike(r"\p{Nd}") | (F.length(F.regexp_replace("text", "[^A-Z]", "")) <= 2)) & numbered.isNull()
-    heading = F.col("kind") == "heading"
+    false = capitals & (text.rlike(r"\p{Nd}") | (F.length(F.regexp_replace(text, "[^A-Z]", "")) <= 2)) & numbered.isNull()
     demoted = heading & F.coalesce(false, F.lit(False))
     return blocks.withColumns({"kind": F.when(demoted, "paragraph").otherwise(F.col("kind")), "level": F.when(heading & ~demoted, F.coalesce(numbered, F.col("level"), F.lit(1)))})
 
@@ -578,34 +592,52 @@ def source_texts(blocks: DataFrame) -> DataFrame:
 def coverage(spans: DataFrame, sources: DataFrame) -> DataFrame:
     """A row a document: chars that are not white space, those that no span holds (missing), those that two hold (twice), and spans that do not say what the source says at their
     place (unverified; they hold nothing). spans: document_id, begin and content."""
-    own = spans.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("begin", "content"))).alias("s"))
-    rows = sources.join(own, "document_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<begin:bigint,content:string>>")))
-    at = lambda begin, n: F.substring(F.col("text"), begin.cast("int") + 1, n.cast("int"))
+    own = spans.groupBy("document_id").agg(F.collect_list(_span("begin", "content")).alias("s"))
+    return _covered(sources.join(own, "document_id", "left"))
+
+
+def _span(begin: str, content: str) -> Column:
+    return F.struct(F.col(begin).cast("long").alias("begin"), F.col(content).alias("content"))
+
+
+def _covered(rows: DataFrame, *more: str, twice: bool = True) -> DataFrame:
+    """``coverage`` of rows with document_id, text and s, all spans (begin, content) of the document, or null; more columns are kept, and twice is left out where it isn't asked for. The text is held in parts of PART characters, so that what stands at a place is
+    found without going through all that is before it."""
+    rows = rows.select("document_id", "text", *more, F.array_sort(F.coalesce("s", F.array().cast("array<struct<begin:bigint,content:string>>"))).alias("s"), hard_pieces(F.col("text"), PART).alias("parts"))
+
+    def at(begin: Column, n: Column) -> Column:
+        begin, n = begin.cast("int"), n.cast("int")
+        first, last = F.floor(begin / PART).cast("int"), F.floor((begin + n - 1) / PART).cast("int")
+        found = F.array_join(F.transform(F.sequence(first, last), lambda k: F.get("parts", k)), "")
+        return F.when((begin < 0) | (n < 1), "").otherwise(F.substring(found, begin - first * PART + 1, n))
+
     solid = lambda text: F.length(F.regexp_replace(text, r"(?U)\s", "")).cast("long")
     said = F.filter("s", lambda x: at(x["begin"], F.length(x["content"])) == x["content"])
-    rows = rows.select("document_id", "text", F.size("s").alias("n"), said.alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("reached"), F.lit(0).cast("long").alias("missing"), F.lit(0).cast("long").alias("twice"))
+    rows = rows.select("document_id", "text", "parts", *more, F.size("s").alias("n"), said.alias("s"))
+    counts = ["reached", "missing", *(["twice"] if twice else [])]
 
     def step(a: Column, x: Column) -> Column:
-        begin, end = x["begin"].cast("long"), x["begin"].cast("long") + F.length(x["content"])
+        begin, end = x["begin"], x["begin"] + F.length(x["content"])
         gap = F.when(begin > a["reached"], solid(at(a["reached"], begin - a["reached"]))).otherwise(0)
         again = F.when(begin < a["reached"], solid(at(begin, F.least(end, a["reached"]) - begin))).otherwise(0)
-        return F.struct(F.greatest(a["reached"], end).alias("reached"), (a["missing"] + gap).alias("missing"), (a["twice"] + again).alias("twice"))
+        return F.struct(F.greatest(a["reached"], end).alias("reached"), (a["missing"] + gap).alias("missing"), *([(a["twice"] + again).alias("twice")] if twice else []))
 
     whole = F.length("text").cast("long")
-    held = rows.select("document_id", "text", "n", F.size("s").alias("verified"), F.aggregate("s", start, step).alias("a"))
+    held = rows.select("document_id", "text", "parts", *more, "n", F.size("s").alias("verified"), F.aggregate("s", F.struct(*[F.lit(0).cast("long").alias(c) for c in counts]), step).alias("a"))
     rest = F.when(F.col("a.reached") < whole, solid(at(F.col("a.reached"), whole - F.col("a.reached")))).otherwise(0)
-    return held.select("document_id", solid(F.col("text")).alias("chars"), (F.col("a.missing") + rest).alias("missing"), F.col("a.twice").alias("twice"), (F.col("n") - F.col("verified")).cast("long").alias("unverified"))
+    found = [solid(F.col("text")).alias("chars"), (F.col("a.missing") + rest).alias("missing"), *([F.col("a.twice").alias("twice")] if twice else [])]
+    return held.select("document_id", *more, *found, (F.col("n") - F.col("verified")).cast("long").alias("unverified"))
 
 
 def structural_candidate(blocks: DataFrame, serving: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """A row a document: children and short ones that serve now (serving: document_id and content) and of a candidate made of repaired headings and exact spans; what of the source its
     parents (but shortened ones) and children do not hold; and whether it is more fragmented: more children, and a greater share of short ones."""
     repaired = repaired_headings(blocks)
-    own = children(repaired, sizes, exact=True)
-    spans = own.select("document_id", "begin", "content").unionByName(parents(repaired).where("not truncated").select("document_id", "begin", "content"))
-    proof = coverage(spans, source_texts(blocks)).select("document_id", "missing", "unverified")
-    made = tallies(with_overlap(own, sizes)).withColumnsRenamed({"children": "made", "short_children": "made_short"})
-    rows = tallies(serving).join(made, "document_id").join(proof, "document_id")
+    own = with_overlap(children(repaired, sizes, exact=True).withColumn("exact", F.col("content")), sizes)
+    made = own.groupBy("document_id").agg(*tally("made", "made_short"), F.collect_list(_span("core_begin", "exact")).alias("own"))
+    held = parents(repaired).where("not truncated").groupBy("document_id").agg(F.collect_list(_span("begin", "content")).alias("held"))
+    rows = source_texts(blocks).join(made, "document_id").join(held, "document_id", "left").withColumn("s", F.concat("own", F.coalesce("held", F.array().cast("array<struct<begin:bigint,content:string>>"))))
+    proof = _covered(rows, "made", "made_short", twice=False).select("document_id", "made", "made_short", "missing", "unverified")
+    rows = tallies(serving).join(proof, "document_id")
     more = (F.col("made") > F.col("children")) & (F.col("made_short") > F.col("short_children")) & (F.col("made_short") * F.col("children") > F.col("short_children") * F.col("made"))
     return rows.select("document_id", "children", "short_children", "made", "made_short", "missing", "unverified", more.alias("regressed"))

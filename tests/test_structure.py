@@ -261,6 +261,30 @@ def test_exact_children_and_parents_prove_the_source(made):
             assert found[d].missing == sum(not c.isspace() for k, c in enumerate(text) if k not in held) and found[d].twice == found[d].unverified == 0
 
 
+def test_a_candidate_is_split_once_and_shuffled_by_document_alone(made):
+    rows = made[1]
+    plan = S.structural_candidate(rows, S.with_overlap(S.children(rows)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [spans(") == 1 and "hashpartitioning(document_id" in plan and not re.search(r"hashpartitioning\(document_id#\w+, section", plan)
+
+
+def test_tails_of_texts_with_much_white_space(spark):
+    rng = random.Random(5)
+    part = lambda: rng.choice(["a", "bc", "d" * 30, ".", "。", "?!", " ", " " * 50, "\n" * 9, "ü"])
+    cases = [("".join(part() for _ in range(rng.randint(0, 40))), rng.choice([0, 1, 2, 7, 40, 120])) for _ in range(1500)]
+    got = [r.t for r in spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, x string, m int").select("k", S.semantic_tail(F.col("x"), F.col("m")).alias("t")).orderBy("k").collect()]
+    assert got == [tail(*c) for c in cases]
+
+
+def test_coverage_of_a_text_of_many_parts(spark):
+    text = "".join(f"wört {k}. " for k in range(2 * S.PART))
+    spans = [(0, 0, text[:5]), (0, 3, text[3:9000]), (0, 9000, text[9000:9000 + S.PART]), (0, S.PART * 11, text[S.PART * 11:]), (0, S.PART * 4, "other"), (0, len(text), "beyond"), (0, -3, text[-4:]), (1, 0, "a")]
+    sources = spark.createDataFrame([(0, text), (1, ""), (2, "ab c")], "document_id long, text string")
+    got = {r.document_id: r for r in S.coverage(spark.createDataFrame(spans, "document_id long, begin long, content string"), sources).collect()}
+    solid = lambda x: len("".join(x.split()))
+    assert got[0].chars == solid(text) and got[0].missing == solid(text[9000 + S.PART:S.PART * 11]) and got[0].twice == solid(text[3:5]) and got[0].unverified == 3
+    assert (got[1].chars, got[1].unverified) == (0, 1) and (got[2].missing, got[2].unverified) == (3, 0)
+
+
 # windows
 
 
