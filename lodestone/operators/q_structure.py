@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import store
 from lodestone.catalog import table
 from lodestone.operators import chunking
 from lodestone.operators import structure as S
@@ -218,9 +219,8 @@ SELECT document_id, coalesce(windows, 0) AS windows, coalesce(accepted, 0) AS ac
 FROM old JOIN seen USING (document_id) LEFT JOIN tried USING (document_id) LEFT JOIN new USING (document_id)""")
 def candidate_build(spark: SparkSession, sf: str) -> DataFrame:
     """Of each document, the two windows of the highest risk are cut as proposed, where the proposal is valid; the candidate is refused where it has more children and two short ones more than before."""
-    blocks = line_blocks(spark, sf)
-    windows = S.window_numbers(blocks)
-    return S.adaptive_candidate(blocks, windows, proposals(windows))
+    windows = store.written(S.window_numbers(line_blocks(spark, sf)), "windows")  # all non-blank blocks are in them
+    return S.adaptive_candidate(windows, windows, proposals(windows))
 
 
 OLDER = S.Sizes(target=1200, most=1800)

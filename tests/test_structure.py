@@ -285,6 +285,11 @@ def test_coverage_of_a_text_of_many_parts(spark):
     assert (got[1].chars, got[1].unverified) == (0, 1) and (got[2].missing, got[2].unverified) == (3, 0)
 
 
+def test_windows_of_candidates_are_made_once(spark):
+    plan = q_structure.candidate_build(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windows(" not in plan and "posexplode(split(text" not in plan
+
+
 # windows
 
 
