@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import drop, written
+from lodestone.llm.store import drop, shuffled, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,10 +17,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(edges, "edges")
     table = labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
     while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        stepped = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("mid"))
+        near = edges.join(shuffled(labels), edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        stepped = labels.join(shuffled(near), labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("mid"))
         above = labels.select(F.col("node").alias("mid"), F.col("label").alias("top"))
-        moved = written(stepped.join(above, "mid", "left").select("node", "old", F.least("mid", F.coalesce("top", "mid")).alias("label")), "labels")
+        moved = written(stepped.join(shuffled(above), "mid", "left").select("node", "old", F.least("mid", F.coalesce("top", "mid")).alias("label")), "labels")
         changed = moved.where("old != label").limit(1).count()
         drop(table)
         table, labels = moved, moved.select("node", "label")

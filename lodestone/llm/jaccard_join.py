@@ -18,7 +18,8 @@ with one hub, the one that is in most long lists. What the verified hub links le
 nodes that can link at all meet by hub, in blocks of bounded size, where exact counts of common tokens come from
 matrix products, and only links between groups come out. A node cannot link if its tokens occur nowhere else in long lists
 to such an extent that no partner of its lists can reach the threshold. That leaves out no link. Every link is verified on
-whole token sets, in 64-bit hashes of shingles; sets are equal when 128 bits of their signatures are.
+whole token sets, in 64-bit hashes of shingles; sets are equal when 128 bits of their signatures are. Every join is shuffled, so
+that no table is whole on the driver.
 
 Cases: null, empty and blank texts have an empty set and link with nothing. Texts of fewer than k words have one shingle,
 the whole sequence. A null doc_id is smaller than any other and then gives a null component_id. Repeated rows are
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.memory import release, releasing
-from lodestone.llm.store import written
+from lodestone.llm.store import shuffled, written
 from lodestone.llm.words import mix, runs_hash, within_row, word_slices
 
 #: Stands for a null doc_id inside the jobs.
@@ -270,7 +271,7 @@ def _verified(percent: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    joined = pairs.join(shuffled(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))), "a").join(shuffled(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(releasing(_verified(percent)), "a long, b long")
 
 
@@ -368,42 +369,42 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, bits: int = 6
     # the sets that short lists may not do for
     own = Window.partitionBy("node", "scheme")
     bound = long.withColumn("long", F.sum("weight").over(own)).where("long > spare").select("list", "node", "weight")
-    members = bound.groupBy("node").agg(F.sum("weight").alias("degree")).join(nodes, "node").select("node", "degree", "n")
-    bound = written(bound.join(members, "node"), "bound")
+    members = bound.groupBy("node").agg(F.sum("weight").alias("degree")).join(shuffled(nodes), "node").select("node", "degree", "n")
+    bound = written(bound.join(shuffled(members), "node"), "bound")
     members = bound.select("node", "n").distinct()
     hubs = bound.groupBy("list").agg(F.max(F.struct("degree", F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.min("n").alias("least")).select("list", "h.hub", "h.hub_n", "least")
     hubs = written(hubs, "hubs")
-    stars = bound.join(hubs, "list").where(f"node != hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+    stars = bound.join(shuffled(hubs), "list").where(f"node != hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
     shown = lists.where("kind = 0").groupBy("a", "b", "scheme").agg(F.sum("weight").alias("shown"), F.first("spare").alias("spare"))
     skipped = long.groupBy("node", "scheme").agg(F.sum("weight").alias("skipped"))
     for side in ("a", "b"):
-        shown = shown.join(skipped.select(F.col("node").alias(side), "scheme", F.col("skipped").alias(f"skipped_{side}")), [side, "scheme"], "left")
+        shown = shown.join(shuffled(skipped.select(F.col("node").alias(side), "scheme", F.col("skipped").alias(f"skipped_{side}"))), [side, "scheme"], "left")
     enough = F.greatest(F.lit(1), F.col("spare") - F.least(F.coalesce("skipped_a", F.lit(0)), F.coalesce("skipped_b", F.lit(0))))
     pairs = shown.where(F.col("shown") >= enough).select("a", "b").union(stars.select(F.least("node", "hub"), F.greatest("node", "hub"))).distinct()
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct().join(nodes, "node").select("doc_id", "node")
-    sets = written(rows.join(wanted, "doc_id").select("node", "text").mapInArrow(releasing(_sets(k, shared, bits)), "node long, tokens binary"), "tokens")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct().join(shuffled(nodes), "node").select("doc_id", "node")
+    sets = written(rows.join(shuffled(wanted), "doc_id").select("node", "text").mapInArrow(releasing(_sets(k, shared, bits)), "node long, tokens binary"), "tokens")
     links = written(_verify(pairs, sets, percent), "links")
     labels = components(links)
     # what hubs left apart in long lists
     deal, alone, count = _rare(groups, node_parts)
-    rare = sets.join(members.select("node"), "node", "left_semi").mapInArrow(releasing(deal), "group int, blob binary").groupBy("group").applyInPandas(alone, "part int, blob binary").groupBy("part").applyInPandas(count, "node long, rare long")
-    near = bound.join(hubs.select("list", "least"), "list").groupBy("node").agg(F.min("least").alias("least"))
-    able = members.join(near, "node").join(rare, "node", "left").withColumn("cap", F.col("n") - F.coalesce("rare", F.lit(0)))
+    rare = sets.join(shuffled(members.select("node")), "node", "left_semi").mapInArrow(releasing(deal), "group int, blob binary").groupBy("group").applyInPandas(alone, "part int, blob binary").groupBy("part").applyInPandas(count, "node long, rare long")
+    near = bound.join(shuffled(hubs.select("list", "least")), "list").groupBy("node").agg(F.min("least").alias("least"))
+    able = members.join(shuffled(near), "node").join(shuffled(rare), "node", "left").withColumn("cap", F.col("n") - F.coalesce("rare", F.lit(0)))
     # the best partner is as large as the tokens that can be shared, or the least that its lists have
     able = able.where(f"100 * cap >= {percent} * (n + greatest(cap, least) - cap)").select("node", "cap")
-    able = able.join(labels, "node", "left").select("node", "cap", F.coalesce("label", "node").alias("label"))
-    left = written(bound.select("list", "node", "n").join(able, "node").join(hubs.select("list", "hub"), "list").select("hub", "node", "n", "label").distinct(), "left")
+    able = able.join(shuffled(labels), "node", "left").select("node", "cap", F.coalesce("label", "node").alias("label"))
+    left = written(bound.select("list", "node", "n").join(shuffled(able), "node").join(shuffled(hubs.select("list", "hub")), "list").select("hub", "node", "n", "label").distinct(), "left")
     mixed = left.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("tokens")).where("lo != hi")
     blocks = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    left = left.join(mixed.select("hub", blocks.alias("blocks")), "hub").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    left = left.join(shuffled(mixed.select("hub", blocks.alias("blocks"))), "hub").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label").join(sets, "node")
+    left = left.select("hub", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label").join(shuffled(sets), "node")
     more = written(left.groupBy("hub", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long"), "links")
     labels = components(links.union(more)) if more.limit(1).count() else labels
-    named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    named = nodes.join(shuffled(labels), "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "label").select("node", "component_id")
-    out = base.where("n_shingles > 0").withColumn("node", node).join(found, "node").select("doc_id", "n_shingles", "component_id")
+    found = named.join(shuffled(least), "label").select("node", "component_id")
+    out = base.where("n_shingles > 0").withColumn("node", node).join(shuffled(found), "node").select("doc_id", "n_shingles", "component_id")
     out = out.union(base.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
     return out.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(NULL_ID)).alias("component_id"))

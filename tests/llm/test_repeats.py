@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from lodestone.llm import jaccard_join, substring_dedup  # noqa: E402
+from lodestone.llm import jaccard_join, row_ids, substring_dedup  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -134,3 +134,27 @@ def test_sets_are_made_a_slice_at_a_time(monkeypatch):
     assert len(parts) > 5 and max(p.num_rows for p in parts) < 60
     monkeypatch.setattr(jaccard_join, "SLICE", 1 << 20)
     assert pa.Table.from_batches(parts).combine_chunks().equals(pa.Table.from_batches(jaccard_join._base(2, 64)(iter([batch]))).combine_chunks())
+
+
+def test_jaccard_groups_broadcasts_nothing_that_grows(spark, monkeypatch):
+    """The driver holds no table of the join, however small Spark takes its files for."""
+    monkeypatch.setattr(jaccard_join, "LONG", 3)
+    docs = made_corpus(5)
+    runs = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    last = max([-1, *(runs().apply(i).executionId() for i in range(runs().size()))])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(frame(spark, docs), 5, 80).collect()}
+    assert got == brute.jaccard_groups(docs, 5, 80)
+    plans = [x.physicalPlanDescription() for x in (runs().apply(i) for i in range(runs().size())) if x.executionId() > last]
+    assert sum("SortMergeJoin" in p for p in plans) > 3 and not any("BroadcastExchange" in p for p in plans)
+
+
+@pytest.mark.parametrize("most", [0, 2])
+def test_without_ids(spark, monkeypatch, most):
+    """Few ids are broadcast, as plain numbers; more meet by a shuffle."""
+    monkeypatch.setattr(row_ids, "MAX_BROADCAST", most)
+    docs = row_ids.one_id_a_row(frame(spark, [(d, "a") for d in range(-2, 4)]))
+    left = row_ids.without_ids(docs, spark.createDataFrame([(-2,), (3,), (3,)], "id long"))
+    assert sorted(r.doc_id for r in left.collect()) == [-1, 0, 1, 2]
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (most > 0, most == 0)
+    assert "isnull" not in plan.lower().replace("isnotnull", "")
