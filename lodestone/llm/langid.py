@@ -24,12 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.memory import releasing
+from lodestone.llm.memory import in_slices, releasing
 from lodestone.llm.sampling import least_hashes
 from lodestone.llm.store import temporary, written
 
@@ -42,6 +41,8 @@ SAMPLE_DOCS, PIECES, PIECE_CHARS = 3000, 3, 200
 EPOCHS, BATCH, RATE = 5, 64, 0.004
 #: Windows in one matrix product.
 AT_ONCE = 128
+#: Bytes of text that a worker has in Python at once.
+SLICE = 1 << 20
 UNKNOWN = "und"
 #: Of clean texts, the share that the threshold may cost.
 CLEAN_LOSS = 0.001
@@ -185,13 +186,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds nothing to docs but gives doc_id, held_out, lang_pred and score of each row."""
     schema = "doc_id long, held_out boolean, lang_pred string, score double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pred, score = judge(batch["text"], model)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": pred, "score": score})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text", SLICE):
+            pred, score = judge(batch.column("text").to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(releasing(run), schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def threshold(scores: list[float], loss: float) -> float:
@@ -227,7 +228,7 @@ def recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """The rows of docs whose text has a letter and, where there is a model, a score of least or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "text", SLICE):
             texts = batch.column("text").to_pylist()
             if model is None:
                 keep = [bool(t and has_letter(t)) for t in texts]

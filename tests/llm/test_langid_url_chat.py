@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,15 @@ from lodestone.llm import chat_format, langid, sampling, url_filter  # noqa: E40
 SF = "/root/testdata/sf0.01"
 
 
+class Captured:
+    """Stands for a table; keeps the function that goes to its workers."""
+
+    schema = None
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -192,3 +202,18 @@ def test_the_threshold_is_that_of_all_unseen_rows(spark, monkeypatch):
     monkeypatch.setattr(langid, "predict", lambda rows, model: rows.select("doc_id", F.lit("en").alias("lang_pred"), (F.col("doc_id") / 30_000).alias("score")))
     unseen = [r.doc_id / 30_000 for r in docs.where(langid.held_out()).collect()]
     assert len(unseen) > 7000 and langid.least_score(docs, object()) == langid.threshold(unseen, 0.001)
+
+
+def test_a_worker_has_a_slice_of_a_batch_at_once(monkeypatch):
+    docs, seen = Captured(), []
+
+    def judge(texts, model):
+        seen.append(sum(len((t or "").encode()) for t in texts))
+        return ["en"] * len(texts), np.ones(len(texts))
+
+    monkeypatch.setattr(langid, "judge", judge)
+    monkeypatch.setattr(langid, "SLICE", 100)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["é" * 20, None, "", "x" * 150, "a b"] * 8})
+    langid.recognised(docs, object(), 0.5)
+    assert pa.Table.from_batches(docs.run(iter([batch.slice(1), batch.slice(0, 0)]))).to_pydict() == batch.slice(1).to_pydict()
+    assert len(seen) > 10 and max(seen) == 150 and sum(seen) == 8 * (40 + 150 + 3) - 40
